@@ -170,6 +170,8 @@ def fit(train: DataFrame, roles: FeatureRoles, family: str = "linear", share: fl
     """Fit on training rows only. ``linear`` also scales without centring."""
     if family not in ("linear", "tree"):
         raise ContractError(f"unknown model family {family!r}")
+    require_columns(train, roles.features, "features")
+    train = train.select(*roles.features)
     check_features(train, roles)
     car_fill = owner_median(train)
     ready = fill_car_age(train, car_fill)
@@ -223,10 +225,9 @@ def group_levels(df: DataFrame, prep: FittedPrep) -> DataFrame:
 def transform(df: DataFrame, prep: FittedPrep, keep: Sequence[str] = (), output: str = "features") -> DataFrame:
     """Assemble the feature vector; unseen categories become all zeros."""
     numeric, categorical = list(prep.roles.numeric), list(prep.roles.categorical)
-    ready = group_levels(fill_car_age(df, prep.car_fill), prep)
     # carried columns keep their raw values next to the transformed ones
-    carried = [F.col(c).alias(f"_keep_{c}") for c in keep]
-    ready = ready.select(*numeric, *categorical, *carried)
+    narrow = df.select(*numeric, *categorical, *[F.col(c).alias(f"_keep_{c}") for c in keep])
+    ready = group_levels(fill_car_age(narrow, prep.car_fill), prep)
     filled = impute(ready, prep.medians, prep.indicators)
     for c in numeric:
         if prep.scales[c] != 1.0:

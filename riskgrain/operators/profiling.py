@@ -419,6 +419,6 @@ def smd_ranking(train: DataFrame, features: Sequence[str], target: str = TARGET)
     )
     smd = F.when(F.col("_sd") > 0, (F.col("_m1") - F.col("_m0")) / F.col("_sd"))
     scored = per.select("column_name", smd.alias("smd")).where(F.col("smd").isNotNull())
-    # one row per feature
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("smd")), F.asc("column_name"))
+    # one row per feature; noise below 1e-12 must not break ties
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.round(F.abs("smd"), 12)), F.asc("column_name"))
     return scored.withColumn("rank", F.row_number().over(order))
