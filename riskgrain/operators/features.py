@@ -176,18 +176,18 @@ def installment_schedules(payments: DataFrame) -> DataFrame:
     level = payments.groupBy(*SCHEDULE_KEY).agg(
         F.min(c("DAYS_INSTALMENT").cast("double")).alias("DAYS_DUE"),
         F.max(c("DAYS_ENTRY_PAYMENT").cast("double")).alias("_paid_day"),
-        F.max(c("AMT_INSTALMENT").cast(MONEY)).alias("SCHEDULED_AMOUNT"),
+        F.max("AMT_INSTALMENT").alias("_planned"),
         F.sum(c("AMT_PAYMENT").cast(MONEY)).alias("_paid"),
         F.count("*").alias("PAYMENT_EVENT_COUNT"),
         F.count_if(unpaired).alias("MISSING_PAYMENT_EVENT_COUNT"),
     )
     whole = c("MISSING_PAYMENT_EVENT_COUNT") == 0
-    due, paid_day, planned, paid = c("DAYS_DUE"), c("_paid_day"), c("SCHEDULED_AMOUNT"), c("_paid")
+    due, paid_day, planned, paid = c("DAYS_DUE"), c("_paid_day"), c("_planned").cast(MONEY), c("_paid")
     zero = F.lit(0).cast(MONEY)
     return level.select(
         *SCHEDULE_KEY,
         "DAYS_DUE",
-        "SCHEDULED_AMOUNT",
+        planned.alias("SCHEDULED_AMOUNT"),
         "PAYMENT_EVENT_COUNT",
         "MISSING_PAYMENT_EVENT_COUNT",
         F.when(whole, paid_day).alias("DAYS_PAID_LAST"),
@@ -203,9 +203,10 @@ def installment_schedules(payments: DataFrame) -> DataFrame:
 def installment_features(payments: DataFrame) -> DataFrame:
     """Customer-level payment history.
 
-    Three partial-aggregated steps: instalment, previous loan, customer. A customer, a loan or an
-    instalment that holds a large share of the events is reduced before every shuffle, and the
-    distinct loan count is a plain row count at the last step.
+    Two partial-aggregated steps: instalment, then customer. A customer, a loan or an instalment that
+    holds a large share of the events is reduced before every shuffle. The distinct loan count is
+    its own narrow branch (two columns), which keeps the wide sums out of a third shuffle; both
+    branches end partitioned by customer, so their join adds no exchange.
     """
     c = F.col
     rows = installment_schedules(payments)
@@ -237,17 +238,11 @@ def installment_features(payments: DataFrame) -> DataFrame:
         "due_max": F.max("DAYS_DUE"),
         "due_min": F.min("DAYS_DUE"),
     }
-    loan = rows.groupBy(ID, "SK_ID_PREV").agg(
+    totals = rows.groupBy(ID).agg(
         *[e.alias(n) for n, e in sums.items()], *[e.alias(n) for n, e in extremes.items()]
     )
-    customer = loan.groupBy(ID).agg(
-        F.count("SK_ID_PREV").alias("loans"),
-        *[F.sum(n).cast(MONEY if n in ("planned", "paid", "planned_seen", "gap") else "double" if n == "late_days" else "bigint").alias(n) for n in sums],
-        F.max("late_max").alias("late_max"),
-        F.max("gap_max").alias("gap_max"),
-        F.max("due_max").alias("due_max"),
-        F.min("due_min").alias("due_min"),
-    )
+    loans = _distinct_per_customer(payments, "SK_ID_PREV", "loans")
+    customer = totals.join(loans, ID, "left").fillna(0, ["loans"])
     out = {
         "SCHEDULE_COUNT": c("schedules"),
         "PREV_LOAN_COUNT": c("loans"),

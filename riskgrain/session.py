@@ -17,6 +17,7 @@ def local_session(cores: str = "8", app: str = "riskgrain", **conf: str) -> Spar
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)

@@ -76,7 +76,7 @@ INSTALLMENTS_SQL = {
     "DAYS_INSTALMENT": _DAYS,
     "DAYS_ENTRY_PAYMENT": f"CASE WHEN {_PAID_UNKNOWN} THEN NULL ELSE date_diff_days(l_shipdate) END",
     "AMT_INSTALMENT": "l_extendedprice",
-    "AMT_PAYMENT": f"CASE WHEN {_PAID_UNKNOWN} THEN NULL ELSE ROUND(l_extendedprice * (1 - l_discount), 4) END",
+    "AMT_PAYMENT": f"CASE WHEN {_PAID_UNKNOWN} THEN NULL ELSE CAST(FLOOR(l_extendedprice * (1 - l_discount) * 10000 + 0.5) AS DOUBLE) / 10000 END",
 }
 
 # Column kinds, so that both engines end with the same types.
