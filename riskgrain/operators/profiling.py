@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.functions.scalars import clean_label, ratio, ratio_or_zero
+from riskgrain.functions.scalars import clean_label, pearson, ratio, ratio_or_zero
 from riskgrain.operators.quality import level_counts
 from riskgrain.operators.ranking import (
     average_ranks,
@@ -214,7 +214,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     pairs = list(combinations(columns, 2))
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     if len(pairs) <= _PAIR_LIMIT:
-        one = numbers.agg(*[F.corr(a, b).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
+        one = numbers.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
         cells = [
             F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"_{i}").alias("correlation"))
             for i, (a, b) in enumerate(pairs)
@@ -272,7 +272,7 @@ def target_numeric(df: DataFrame, columns: Sequence[str], target: str = TARGET)
     per = long.groupBy("column_name").agg(
         *[F.count_if(y == t).alias(f"count_{t}") for t in (0, 1)],
         *[F.avg(F.when(y == t, v)).alias(f"mean_{t}") for t in (0, 1)],
-        F.corr(v, y.cast("double")).alias("_corr"),
+        pearson(v, y).alias("_corr"),
         F.min(v).alias("_lo"), F.max(v).alias("_hi"),
     )
     ranked = ranked_values(long, "value", ["column_name", target], "column_name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrain.operators.splits import seal_test
@@ -56,21 +56,26 @@ def read_assignments(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).schema(f"{ID} bigint, {TARGET} bigint, {SPLIT} string").csv(path)
 
 
-def read_descriptions(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """The column-description file; without ``encoding`` it is UTF-8, else cp1252 when UTF-8 fails."""
-    def load(name: str) -> DataFrame:
+def _cp1252(column: str) -> Column:
+    """Latin-1 text re-read as cp1252: the two differ only in 0x80..0x9F."""
+    pairs = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+    known = {k: v for k, v in pairs.items() if v}
+    return F.translate(F.col(column), "".join(known), "".join(known.values())).alias(column)
+
+
+def read_descriptions(spark: SparkSession, path: str) -> DataFrame:
+    """The column-description file: UTF-8, or cp1252 when it is not valid UTF-8."""
+
+    def load(encoding: str) -> DataFrame:
         return (
-            spark.read.option("header", True).option("encoding", name).option("multiLine", True)
+            spark.read.option("header", True).option("encoding", encoding).option("multiLine", True)
             .option("quote", '"').option("escape", '"').csv(path)
         )
 
-    if encoding:
-        df = load(encoding)
-    else:
-        df = load("UTF-8")
-        broken = df.where(F.concat_ws("", *df.columns).contains("�"))
-        if not broken.isEmpty():
-            df = load("windows-1252")
+    df = load("UTF-8")
+    if not df.where(F.concat_ws("", *df.columns).contains("\ufffd")).isEmpty():
+        df = load("ISO-8859-1")
+        df = df.select(*[_cp1252(c) for c in df.columns])
     require_columns(df, ("Table", "Row", "Description", "Special"), "descriptions")
     return df
 
