@@ -170,6 +170,8 @@ def fit(train: DataFrame, roles: FeatureRoles, family: str = "linear", share: fl
     """Fit on training rows only. ``linear`` also scales without centring."""
     if family not in ("linear", "tree"):
         raise ContractError(f"unknown model family {family!r}")
+    if not 0 < share < 1:
+        raise ContractError("the rare share must lie in (0, 1): it bounds the kept levels by 1/share")
     require_columns(train, roles.features, "features")
     train = train.select(*roles.features)
     check_features(train, roles)

@@ -8,6 +8,7 @@ one row here. Bucket edges are literals: a retried task sees the same buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,43 +22,44 @@ _B = "_bucket"
 
 @dataclass(frozen=True)
 class Edges:
-    """Literal bucket edges, one list overall or one per value of ``key``."""
+    """Literal bucket edges in a two-level grid, one overall or one per value of ``key``.
+
+    ``grids`` maps a key value (or None) to (first edge of every block but the first, blocks). A value
+    is placed by counting block starts, then edges inside one block: about 2 * sqrt(edges) tests.
+    """
 
     value: str
-    by_key: dict | None
-    flat: tuple[float, ...]
+    grids: dict
+    width: int
     key: str | None = None
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Add the bucket number: how many edges lie at or below the value."""
-        if self.by_key is None:
-            return df.withColumn(_B, _bucket_tree(F.col(self.value), self.flat))
-        spark = df.sparkSession
+        v = F.col(self.value)
+        if self.key is None:
+            starts, blocks = self.grids[None]
+            return df.withColumn(_B, self._place(v, _doubles(starts), F.array(*[_doubles(b) for b in blocks])))
         kind = df.schema[self.key].dataType.simpleString()
-        table = spark.createDataFrame(
-            list(self.by_key.items()), f"{self.key} {kind}, _edges array<double>"
+        rows = [(k, starts, blocks) for k, (starts, blocks) in self.grids.items()]
+        table = df.sparkSession.createDataFrame(
+            rows, f"{self.key} {kind}, _starts array<double>, _blocks array<array<double>>"
         )
         # one row per key (feature names), so the broadcast does not grow with the data
-        return (
-            df.join(F.broadcast(table), self.key, "left")
-            .withColumn(
-                _B,
-                F.coalesce(
-                    F.size(F.filter("_edges", lambda e: e <= F.col(self.value))), F.lit(0)
-                ),
-            )
-            .drop("_edges")
-        )
+        joined = df.join(F.broadcast(table), self.key, "left")
+        return joined.withColumn(
+            _B, F.coalesce(self._place(v, F.col("_starts"), F.col("_blocks")), F.lit(0))
+        ).drop("_starts", "_blocks")
 
+    def _place(self, value: Column, starts: Column, blocks: Column) -> Column:
+        block = F.size(F.filter(starts, lambda e: e <= value))
+        inside = F.size(F.filter(F.get(blocks, block), lambda e: e <= value))
+        return block * F.lit(self.width) + inside
 
-def _bucket_tree(value: Column, edges: Sequence[float], base: int = 0) -> Column:
-    """Binary search over literal edges as nested conditions (stays inside codegen)."""
-    if not edges:
-        return F.lit(base)
-    mid = len(edges) // 2
-    return F.when(value < F.lit(edges[mid]), _bucket_tree(value, edges[:mid], base)).otherwise(
-        _bucket_tree(value, edges[mid + 1 :], base + mid + 1)
-    )
+
+def _doubles(values: Sequence[float]) -> Column:
+    if not values:
+        return F.array().cast("array<double>")
+    return F.array(*[F.lit(float(v)) for v in values])
 
 
 def plan_edges(
@@ -65,20 +67,22 @@ def plan_edges(
 ) -> Edges:
     """Pick bucket edges from an approximate quantile sketch of the rows of ``df``.
 
-    Only the sketch's edges reach the driver: ``buckets - 1`` numbers per key.
+    Only the sketch's edges reach the driver: fewer than ``buckets`` numbers per key.
     """
     buckets = buckets or default_buckets(df.sparkSession)
-    if key is not None:
-        buckets = min(buckets, 64)
-    else:
-        buckets = min(buckets, 256)
+    width = max(1, math.isqrt(buckets))
     probs = [i / buckets for i in range(1, buckets)]
     sketch = F.percentile_approx(F.col(value).cast("double"), probs, 20 * buckets).alias("e")
+
+    def grid(found) -> tuple[list[float], list[list[float]]]:
+        edges = sorted(set(found or ()))
+        blocks = [edges[i : i + width] for i in range(0, len(edges), width)] or [[]]
+        return [b[0] for b in blocks[1:]], blocks
+
     if key is None:
-        row = df.agg(sketch).first()
-        return Edges(value, None, tuple(sorted(set(row["e"] or ()))))
+        return Edges(value, {None: grid(df.agg(sketch).first()["e"])}, width)
     rows = df.groupBy(key).agg(sketch).collect()
-    return Edges(value, {r[key]: sorted(set(r["e"] or ())) for r in rows}, (), key)
+    return Edges(value, {r[key]: grid(r["e"]) for r in rows}, width, key)
 
 
 def running_sums(
@@ -217,8 +221,3 @@ def order_statistic(df: DataFrame, value: str, k: int) -> float | int:
     ranked = ranked_values(df, value)
     hit = (F.col("cum_n") - F.col("n") < k) & (F.col("cum_n") >= k)
     return ranked.where(hit).select(value).first()[0]
-
-
-def scalars(df: DataFrame, small: DataFrame, names: Sequence[str]) -> dict[str, Column]:
-    """Scalar-subquery columns from a one-row frame."""
-    return {n: small.select(n).scalar() for n in names}

@@ -85,7 +85,8 @@ def _v3(s: SparkSession, d: str) -> DataFrame:
 
 
 def _train_app(s: SparkSession, d: str) -> DataFrame:
-    return profiling.train_rows(_app(s, d), _split(s, d))
+    """Training rows of the applicants; written once because the profiles read them several times."""
+    return cut_lineage(profiling.train_rows(_app(s, d), _split(s, d)))
 
 
 def _train(s: SparkSession, d: str) -> DataFrame:
