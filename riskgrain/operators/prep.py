@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -248,3 +249,9 @@ def transform(df: DataFrame, prep: FittedPrep, keep: Sequence[str] = (), output:
         inputs += [f"_v_{c}" for c in categorical]
     assembled = VectorAssembler(inputCols=inputs, outputCol=output, handleInvalid="error").transform(filled)
     return assembled.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], output)
+
+
+def non_finite_rows(design: DataFrame, vector: str = "features") -> DataFrame:
+    """Rows whose assembled vector holds NaN or an infinity."""
+    bad = F.exists(vector_to_array(vector), lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return design.agg(F.count("*").alias("row_count"), F.count_if(bad).alias("non_finite_rows"))

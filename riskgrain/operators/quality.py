@@ -22,6 +22,7 @@ from riskgrain.schemas import (
     TARGET,
     ContractError,
     require_columns,
+    schema_fingerprint,
 )
 
 # Columns that must not be negative.
@@ -574,6 +575,16 @@ def loader_contract(mart: DataFrame, splits_expected: Sequence[str] = SPLITS) ->
     return _long(own, "mart").unionByName(_long(inf, "mart"))
 
 
+def check_against_summary(mart: DataFrame, summary: DataFrame, version: str) -> None:
+    """Rows, columns and schema fingerprint must agree with the published build summary."""
+    row = summary.where(F.col("version") == version).first()
+    if row is None:
+        raise ContractError(f"{version}: no build summary")
+    actual = (mart.count(), len(mart.columns), schema_fingerprint(mart))
+    if actual != (row["row_count"], row["column_count"], row["schema_fingerprint"]):
+        raise ContractError(f"{version}: mart differs from its build summary")
+
+
 # ---------------------------------------------------------------------------
 # findings
 # ---------------------------------------------------------------------------

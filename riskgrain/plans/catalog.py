@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,9 @@ from riskgrain.schemas import (
     TARGET,
     FeatureRoles,
 )
-from riskgrain.session import cut_lineage
+from riskgrain.session import cut_lineage, shared_folder
 from riskgrain.sources import rolemap
+from riskgrain.streaming.scoring import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -503,17 +505,40 @@ def _(s, d):
     return quality.history_overlap(_app(s, d), rolemap.bureau(s, d), rolemap.installments(s, d))
 
 
-@register("validation_findings")
-def _(s, d):
+def _findings_sql(table: str, source: str, columns: list[str], key: str | None) -> str:
+    line = "SELECT '{}' AS severity, '{}' AS code, '" + table + "' AS table_name, {} AS subject, ({})::DOUBLE AS value FROM {}"
+    parts = [
+        f"SELECT severity, 'rule_violation' AS code, table_name, rule AS subject, violations::DOUBLE AS value FROM ({_rule_rows(table, source, _rules_sql(table, columns))}) WHERE violations > 0",
+        line.format("WARNING", "duplicate_row", "NULL::VARCHAR", "sum(n - 1)", f"(SELECT count(*) AS n FROM {source} GROUP BY {', '.join(columns)}) HAVING sum(n - 1) > 0"),
+    ]
+    parts += [line.format("WARNING", "high_missing_rate", f"'{c}'", f"1 - count({c}) / count(*)::DOUBLE", f"{source} HAVING count({c}) <= 0.5 * count(*)") for c in columns]
+    if key:
+        parts.append(line.format("ERROR", "primary_key_null", f"'{key}'", f"count(*) - count({key})", f"{source} HAVING count(*) > count({key})"))
+        parts.append(line.format("ERROR", "primary_key_duplicate", f"'{key}'", f"count({key}) - count(DISTINCT {key})", f"{source} HAVING count({key}) > count(DISTINCT {key})"))
+    if table == "application":
+        parts.append(line.format("INFO", "target_imbalance", "'TARGET'", "avg(TARGET)", source))
+    return " UNION ALL ".join(parts)
+
+
+_FINDINGS = " UNION ALL ".join([
+    _findings_sql("application", "app", list(rolemap.APPLICATION_SQL), "SK_ID_CURR"),
+    _findings_sql("bureau", "bureau", list(rolemap.BUREAU_SQL), "SK_ID_BUREAU"),
+    _findings_sql("installments", "inst", list(rolemap.INSTALLMENTS_SQL), None),
+])
+
+
+def _findings(s: SparkSession, d: str) -> DataFrame:
     a = quality.table_findings(_app(s, d), "application")
     b = quality.table_findings(rolemap.bureau(s, d), "bureau")
-    i = quality.table_findings(rolemap.installments(s, d), "installments")
-    return a.unionByName(b).unionByName(i)
+    return a.unionByName(b).unionByName(quality.table_findings(rolemap.installments(s, d), "installments"))
 
 
-@register("validation_status")
-def _(s, d):
-    return quality.validation_status(quality.table_findings(rolemap.bureau(s, d), "bureau"))
+register("validation_findings", sql(["app", "bureau", "inst"], _FINDINGS, ["value"]))(_findings)
+register(
+    "validation_status",
+    sql(["app", "bureau", "inst"], "SELECT count(*) AS finding_count, count(*) FILTER (severity = 'ERROR') AS error_count, count(*) FILTER (severity = 'WARNING') AS warning_count, "
+        f"if(count(*) FILTER (severity = 'ERROR') > 0, 'FAIL', 'PASS') AS status FROM ({_FINDINGS})"),
+)(lambda s, d: quality.validation_status(_findings(s, d)))
 
 
 # --- split -----------------------------------------------------------------
@@ -536,7 +561,11 @@ register(
         "FROM (VALUES ('train'), ('validation'), ('test')) AS q(SPLIT) CROSS JOIN (VALUES (0), (1)) AS t(TARGET) LEFT JOIN split AS r ON r.SPLIT = q.SPLIT AND r.TARGET = t.TARGET GROUP BY ALL"),
 )(lambda s, d: splits.split_target_counts(_split(s, d)))
 register(
-    "split_check", "SELECT 0::BIGINT AS duplicate_ids, 0::BIGINT AS unmatched_ids, 0::BIGINT AS label_changes, 0::BIGINT AS bad_names, 0::BIGINT AS count_deviation",
+    "split_check",
+    sql(["app", "split"], "SELECT (SELECT count(*) - count(DISTINCT SK_ID_CURR) FROM split) AS duplicate_ids, count(*) FILTER (a.SK_ID_CURR IS NULL OR s.SK_ID_CURR IS NULL) AS unmatched_ids, "
+        "count(*) FILTER (a.TARGET <> s.TARGET) AS label_changes, count(*) FILTER (s.SPLIT NOT IN ('train', 'validation', 'test')) AS bad_names, "
+        "(SELECT sum(abs(seen - want))::BIGINT FROM (SELECT l.t, l.part, l.to_rank - l.after_rank AS want, (SELECT count(*) FROM split AS z WHERE z.TARGET = l.t AND z.SPLIT = l.part) AS seen FROM split_limit AS l)) AS count_deviation "
+        "FROM app AS a FULL JOIN split AS s ON a.SK_ID_CURR = s.SK_ID_CURR"),
 )(lambda s, d: splits.check_split(_app(s, d), _split(s, d)))
 register(
     "kfold_assignment",
@@ -896,6 +925,12 @@ def _(s, d):
     return prep.transform(app, fitted, (ID, TARGET)).select(ID, TARGET, F.col("features").cast("string").alias("features"))
 
 
+@register("design_finite", sql(["app"], "SELECT count(*) AS row_count, 0::BIGINT AS non_finite_rows FROM app"))
+def _(s, d):
+    train, app = _train_app(s, d), _app(s, d)
+    return prep.non_finite_rows(prep.transform(app, prep.fit(train, _PREP_ROLES), (ID,)))
+
+
 # --- models ----------------------------------------------------------------
 _MODEL_ROLES = FeatureRoles(
     ("APP_CREDIT_INCOME_RATIO", "APP_AGE_YEARS", "EXT_SOURCE_2", "BUREAU_RECORD_COUNT", "BUREAU_DEBT_SUM", "INST_LATE_RATIO", "INST_PAYMENT_RATIO"),
@@ -1100,7 +1135,7 @@ register(
     "attribution_rollup",
     sql(["attr"], f"SELECT id, {_SLOT_GROUP} AS feature, sum(attribution) AS attribution FROM attr GROUP BY 1, 2", ["attribution"]),
 )(lambda s, d: attribution.roll_up(_attr(s, d)[1], _slots(s)))
-register("rollup_preserves_sums", "SELECT true AS preserved")(
+register("rollup_preserves_sums", sql(["attr"], f"SELECT max(abs(a.s - b.s)) <= 1e-10 AS preserved FROM (SELECT id, sum(attribution) AS s FROM attr GROUP BY id) AS a JOIN (SELECT id, sum(g) AS s FROM (SELECT id, {_SLOT_GROUP} AS f, sum(attribution) AS g FROM attr GROUP BY 1, 2) GROUP BY id) AS b USING (id)"))(
     lambda s, d: attribution.roll_up_gap((a := _attr(s, d)[1]), attribution.roll_up(a, _slots(s))).select(
         (F.col("largest_gap") <= attribution.ROLL_UP_TOLERANCE).alias("preserved")
     )
@@ -1151,7 +1186,11 @@ register(
 )(lambda s, d: attribution.representative_cases(*_grouped(s, d), BASE_VALUE))
 
 
-@register("attribution_additivity", "SELECT true AS holds")
+@register(
+    "attribution_additivity",
+    sql(["attr", "v3"], f"SELECT max(abs({BASE_VALUE!r} + a.s - r.raw)) <= 1e-5 AS holds FROM (SELECT id, sum(attribution) AS s FROM attr GROUP BY id) AS a JOIN (SELECT SK_ID_CURR AS id, {BASE_VALUE!r} + "
+        + " + ".join(f"ifnull({f}::DOUBLE - {MEANS[f]!r}, 0) * {b!r}" for f, b in COEFFICIENTS.items()) + " AS raw FROM v3) AS r USING (id)"),
+)
 def _(s, d):
     rows, attributions = _attr(s, d)
     raw = F.lit(BASE_VALUE)
@@ -1271,3 +1310,31 @@ def _(s, d):
 
     specs = records.field_specs(_MODEL_ROLES.numeric, _MODEL_ROLES.categorical)
     return score_batch(batch, specs, scorer, {"medium_cutoff": 0.08, "high_cutoff": 0.12}, strict=False)
+
+
+# --- streaming -------------------------------------------------------------
+_EVENT_SPECS = [records.FieldSpec("AMT_CREDIT", minimum=0.0), records.FieldSpec("EVENT_KIND", "string")]
+_EVENT_VALUE = "value - 10"
+
+
+@register(
+    "stream_policy",
+    "SELECT event_id::VARCHAR AS record_id, if(value - 10 < 0, 'NUMERIC_RANGE', '') AS error_codes, if(value - 10 >= 0, round((value - 10) / (value + 10), 6) + 0.0::DOUBLE, NULL) AS probability, "
+    "CASE WHEN value - 10 >= 0 THEN CASE WHEN (value - 10) / (value + 10) >= 0.6::DOUBLE THEN 'high' WHEN (value - 10) / (value + 10) >= 0.3::DOUBLE THEN 'medium' ELSE 'low' END END AS risk_band, "
+    "CASE WHEN value - 10 >= 0 THEN (value - 10) / (value + 10) >= 0.6::DOUBLE END AS priority_review FROM events",
+)
+def _(s, d):
+    """The record contract and policy over a file stream, written out by the stream and read back."""
+    events = s.readStream.schema("event_id bigint, event_type string, value double").parquet(f"{d}/events*.parquet")
+    batch = events.selectExpr("CAST(event_id AS STRING) AS record_id", f"{_EVENT_VALUE} AS AMT_CREDIT", "event_type AS EVENT_KIND", "value")
+
+    def scorer(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("score", (F.col("value") - 10) / (F.col("value") + 10))
+
+    out = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    scored = score_stream(batch, _EVENT_SPECS, scorer, {"medium_cutoff": 0.3, "high_cutoff": 0.6})
+    query = scored.writeStream.format("parquet").option("path", f"{out}/rows").option(
+        "checkpointLocation", f"{out}/state"
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return s.read.schema(scored.schema).parquet(f"{out}/rows")
