@@ -94,7 +94,8 @@ def bureau_features(bureau: DataFrame) -> DataFrame:
 
     The three branches each shuffle one pre-aggregated row per customer (or customer and value)
     and end partitioned by customer, so joining them adds no exchange. One aggregate with two
-    distinct counts would instead copy every row three times before its shuffle.
+    distinct counts would instead copy every row three times before its shuffle. Means are written
+    as sum / count, which share the buffers of the sums and counts that are shuffled anyway.
     """
     require_columns(bureau, REQUIRED_COLUMNS["bureau"], "bureau")
     rows = usable_credits(bureau)
@@ -130,11 +131,11 @@ def bureau_features(bureau: DataFrame) -> DataFrame:
         "PROLONG_COUNT_SUM": F.sum(c("CNT_CREDIT_PROLONG").cast("double")),
         "CREDIT_AMOUNT_OBSERVED_COUNT": F.count(money(credit)),
         "CREDIT_AMOUNT_SUM": F.sum(money(credit)),
-        "CREDIT_AMOUNT_MEAN": F.avg(money(credit)),
+        "CREDIT_AMOUNT_MEAN": ratio(F.sum(money(credit)), F.count(money(credit))),
         "CREDIT_AMOUNT_MAX": F.max(money(credit)),
         "DEBT_OBSERVED_COUNT": F.count(money(debt)),
         "DEBT_SUM": F.sum(money(debt)),
-        "DEBT_MEAN": F.avg(money(debt)),
+        "DEBT_MEAN": ratio(F.sum(money(debt)), F.count(money(debt))),
         "DEBT_MAX": F.max(money(debt)),
         "OVERDUE_AMOUNT_SUM": F.sum(money(overdue_amount)),
         "OVERDUE_AMOUNT_MAX": F.max(money(overdue_amount)),
@@ -145,7 +146,7 @@ def bureau_features(bureau: DataFrame) -> DataFrame:
         "DEBT_CREDIT_RATIO": ratio(F.sum(F.when(both, debt)), F.sum(F.when(both, credit))),
         "ANNUITY_OBSERVED_COUNT": F.count(money(annuity)),
         "ANNUITY_SUM": F.sum(money(annuity)),
-        "ANNUITY_MEAN": F.avg(money(annuity)),
+        "ANNUITY_MEAN": ratio(F.sum(money(annuity)), F.count(money(annuity))),
     }
     main = rows.groupBy(ID).agg(*[e.alias(f"BUREAU_{n}") for n, e in measures.items()])
     loans = _distinct_per_customer(rows, "SK_ID_BUREAU", "BUREAU_LOAN_COUNT")
