@@ -214,11 +214,20 @@ def representative_rows(grouped: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
-def representative_cases(grouped: DataFrame, attributions: DataFrame, base: float, key: str = "id", top: int = TOP_LOCAL) -> DataFrame:
-    """Top contributions of each representative row; the row id does not leave this function."""
+def representative_cases(
+    grouped: DataFrame, attributions: DataFrame, base: float, values: DataFrame | None = None, key: str = "id", top: int = TOP_LOCAL
+) -> DataFrame:
+    """Top contributions of each representative row; the row id does not leave this function.
+
+    ``values``: key, feature, value adds the feature's own value.
+    """
     # four rows
     chosen = F.broadcast(representative_rows(grouped, key))
     rows = attributions.join(chosen, key)
+    shown = []
+    if values is not None:
+        rows = rows.join(values.select(key, "feature", F.col("value").alias("feature_value")), [key, "feature"], "left")
+        shown = ["feature_value"]
     per = Window.partitionBy("error_group")
     order = per.orderBy(F.desc(F.abs("attribution")), F.asc("feature"))
     return (
@@ -226,7 +235,7 @@ def representative_cases(grouped: DataFrame, attributions: DataFrame, base: floa
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top)
         .select(
-            "error_group", "label", "score", "cutoff_score", "reconstructed_log_odds", "rank", "feature", "attribution",
+            "error_group", "label", "score", "cutoff_score", "reconstructed_log_odds", "rank", "feature", *shown, "attribution",
             F.when(F.col("attribution") > 0, "raises_risk_score").otherwise("lowers_risk_score").alias("effect"),
         )
     )

@@ -226,3 +226,10 @@ def seal_test(split: str) -> str:
     if split == "test":
         raise ContractError("the test split is sealed")
     return split
+
+
+def check_sealed(scored: DataFrame, assignments: DataFrame, id_column: str = ID) -> None:
+    """No scored row may belong to the test part."""
+    held = assignments.where(F.col(SPLIT) == "test").select(F.col(ID).alias(id_column))
+    if not scored.join(held, id_column, "left_semi").isEmpty():
+        raise ContractError("scores of the sealed test split")

@@ -1178,12 +1178,18 @@ register(
     sql(["reviewed", "attr"], "SELECT *, row_number() OVER (ORDER BY abs(difference) DESC, feature)::INTEGER AS rank FROM (SELECT *, captured_mean - missed_mean AS difference FROM (SELECT feature, avg(attribution) FILTER (error_group = 'captured_positive') AS captured_mean, "
         "avg(attribution) FILTER (error_group = 'missed_positive') AS missed_mean FROM attr JOIN reviewed USING (id) GROUP BY feature))", ["captured_mean", "missed_mean", "difference"]),
 )(lambda s, d: attribution.captured_minus_missed(*_grouped(s, d)))
-register(
+@register(
     "representative_cases",
-    sql(["reviewed", "attr"], "SELECT error_group, label, score, cutoff_score, reconstructed_log_odds, rk::INTEGER AS rank, feature, attribution, if(attribution > 0, 'raises_risk_score', 'lowers_risk_score') AS effect FROM (SELECT *, -2.4 + sum(attribution) OVER (PARTITION BY error_group) AS reconstructed_log_odds, "
+    sql(["reviewed", "attr"], "SELECT error_group, label, score, cutoff_score, reconstructed_log_odds, rk::INTEGER AS rank, feature, value AS feature_value, attribution, if(attribution > 0, 'raises_risk_score', 'lowers_risk_score') AS effect FROM (SELECT *, -2.4 + sum(attribution) OVER (PARTITION BY error_group) AS reconstructed_log_odds, "
         "row_number() OVER (PARTITION BY error_group ORDER BY abs(attribution) DESC, feature) AS rk FROM attr JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY error_group ORDER BY if(error_group = 'not_reviewed_negative', score, -score), id) AS pick FROM reviewed) WHERE pick = 1) USING (id)) WHERE rk <= 10",
-        ["score", "cutoff_score", "reconstructed_log_odds", "attribution"]),
-)(lambda s, d: attribution.representative_cases(*_grouped(s, d), BASE_VALUE))
+        ["score", "cutoff_score", "reconstructed_log_odds", "feature_value", "attribution"]),
+)
+def _(s, d):
+    rows, attributions = _attr(s, d)
+    values = _with_values(rows, attributions).select("id", "feature", "value")
+    return attribution.representative_cases(attribution.error_groups(rows.select("id", "label", "score")), attributions, BASE_VALUE, values)
+
+
 
 
 @register(
