@@ -30,10 +30,14 @@ DEFAULT_BINS = 10
 DEFAULT_BANDS = 10
 
 
-def score_violations(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """Counts of rows that break the score contract."""
+def score_violations(
+    scored: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Counts of rows that break the score contract; ``keys`` also counts rows without a group."""
     y, s = F.col(label), F.col(score)
+    ungrouped = [F.count_if(F.col(k).isNull()).alias(f"missing_{k}") for k in keys]
     return scored.agg(
+        *ungrouped,
         F.count("*").alias("row_count"),
         F.count_if(y.isNull() | ~y.isin(0, 1)).alias("bad_labels"),
         F.count_if(~finite(s)).alias("non_finite_scores"),
@@ -41,11 +45,14 @@ def score_violations(scored: DataFrame, label: str = "label", score: str = "scor
     )
 
 
-def check_scores(scored: DataFrame, label: str = "label", score: str = "score") -> None:
-    r = score_violations(scored, label, score).first()
+def check_scores(
+    scored: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = ()
+) -> None:
+    """Run before any metric: the curve needs finite scores in [0, 1] and non-NULL keys."""
+    r = score_violations(scored, label, score, keys).first()
     if not r["row_count"]:
         raise ContractError("no scores to evaluate")
-    if r["bad_labels"] or r["non_finite_scores"] or r["out_of_range_scores"]:
+    if any(v for name, v in r.asDict().items() if name != "row_count"):
         raise ContractError(f"score contract broken: {r.asDict()}")
 
 

@@ -618,7 +618,12 @@ register(
 )(lambda s, d: profiling.correlation_pairs(_train_app(s, d), _CORR))
 _WIDE = [c for c in ob.V1_DOUBLES + ob.BUREAU_DOUBLES + ob.INST_DOUBLES if c in DERIVED_FEATURES and c not in ("APP_CREDIT_GOODS_RATIO",)]
 _WIDE_PAIRS = [(a, b) for i, a in enumerate(_WIDE) for b in _WIDE[i + 1:]]
-register("correlation_pairs_wide")(lambda s, d: profiling.correlation_pairs(_train(s, d), _WIDE))
+register(
+    "correlation_pairs_wide",
+    sql(["train"], "SELECT left_column, right_column, r AS correlation, abs(r) AS absolute_correlation, abs(r) >= 0.95 AS high FROM (SELECT unnest(cells, recursive := true) FROM (SELECT ["
+        + ", ".join(f"{{'left_column': '{a}', 'right_column': '{b}', 'r': corr({a}::DOUBLE, {b}::DOUBLE)}}" for a, b in _WIDE_PAIRS) + "] AS cells FROM train)) WHERE r IS NOT NULL AND NOT isnan(r)",
+        ["correlation", "absolute_correlation"]),
+)(lambda s, d: profiling.correlation_pairs(_train(s, d), _WIDE))
 register(
     "target_numeric",
     sql(["train_app"], "SELECT column_name, count(*) FILTER (y = 0) AS count_0, count(*) FILTER (y = 1) AS count_1, avg(value) FILTER (y = 0) AS mean_0, avg(value) FILTER (y = 1) AS mean_1, "
