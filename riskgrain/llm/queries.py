@@ -6,11 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrain.llm import bpe, decontaminate, line_dedup, ngram_join, quality
+from riskgrain.llm import bit_index, bpe, decontaminate, line_dedup, ngram_join, quality, sharding, url_filter
 from riskgrain.llm.common import sha_hex, table, whole
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+SHARD_BYTES = 64 << 20
+#: (verdict, host, path)
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
 
 def tokenizer_json(path: str = TOKENIZER) -> str:
     with open(path, encoding="utf-8") as f:
@@ -25,6 +32,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -43,6 +54,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", bit_index.quantised("embedding", 256).alias("embedding"))
+    return bit_index.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), "doc_id", size=3, share=0.9)
 
@@ -54,10 +75,75 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
     "op5_decontamination": op5_decontamination,
+    "op6_top_k": op6_top_k,
+    "op8_url_filter": op8_url_filter,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES = {
+    # rows larger than a shard alone, then buckets split level by level
+    "op2_sharding": f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS bytes,
+    row_number() OVER (PARTITION BY doc_id, strlen(coalesce(text, ''))) - 1 AS copy
+  FROM documents),
+h AS (
+  SELECT *, ('0x' || substr(md5(CASE WHEN copy = 0 THEN coalesce(doc_id::VARCHAR, '')
+    ELSE concat_ws('#', coalesce(doc_id::VARCHAR, ''), copy::VARCHAR, bytes::VARCHAR) END), 1, 15))::BIGINT AS h FROM r),
+b AS (
+  SELECT doc_id, copy, bytes, h, 0 AS depth, sum(bytes) OVER () AS total FROM h WHERE bytes <= {SHARD_BYTES}
+  UNION ALL
+  SELECT doc_id, copy, bytes, h, depth + 1, sum(bytes) OVER (PARTITION BY h >> (59 - depth)) FROM b
+  WHERE total > {SHARD_BYTES} AND depth < 60)
+SELECT doc_id, copy, bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard,
+  total::BIGINT AS shard_bytes FROM b WHERE total <= {SHARD_BYTES}
+UNION ALL
+SELECT doc_id, copy, bytes, 60, '+' || coalesce(doc_id::VARCHAR, '') || '#' || copy, bytes FROM h WHERE bytes > {SHARD_BYTES}
+""",
+    "op5_decontamination": f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+g AS (
+  SELECT doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes WHERE len(w) >= k)),
+m AS (SELECT doc_id, p, g.k, item_id FROM g JOIN win ON g.k = win.k AND g.gram = win.gram),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM m) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(items.s, '')) AS items_sha256, hits.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op6_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op8_url_filter": f"""
+WITH u AS (
+  SELECT page_id, {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(v, h, p) AS (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}),
+m AS (
+  SELECT page_id, h || p AS rule, v,
+    row_number() OVER (PARTITION BY page_id ORDER BY len(string_split(h, '.')) DESC, len(p) DESC, v DESC) AS n
+  FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND n = 1
+""",
+}
