@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrain.llm import bit_index, bpe, decontaminate, line_dedup, ngram_join, quality, sharding, url_filter
+from riskgrain.llm import bit_index, bpe, decontaminate, line_dedup, ngram_join, pii, quality, sharding, url_filter
 from riskgrain.llm.common import sha_hex, table, whole
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -59,6 +59,13 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_index.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), base="base_spans", spans="all_spans")
+    named = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, sha_hex(named("base_spans")).alias("base_sha256"), named("all_spans").alias("spans"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -79,6 +86,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op5_decontamination": op5_decontamination,
     "op6_top_k": op6_top_k,
+    "op7_pii": op7_pii,
     "op8_url_filter": op8_url_filter,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
