@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from riskgrain.llm.common import mix, settle, spans_hash, text_pieces
 
 #: Bytes of text in one block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Below this code point texts are in composed form, lower-case letter by letter, and classes agree between libraries.
 _PLAIN = 0x300
 #: Marks a special token in a list of words; no word mixes it with letters.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskgrain.session import shared_folder
 
 #: Text bytes worked on at once inside a task; one longer text is one piece.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Any fixed odd multiplier serves; hashes must only agree between tasks.
 _BASE = 0x9E3779B97F4A7C55
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)

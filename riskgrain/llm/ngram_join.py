@@ -8,6 +8,7 @@ soon as the elements that remain cannot reach the overlap the similarity asks fo
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,10 +63,10 @@ def common_sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS)
                 g, _ = _sets(data, offsets, size)
                 total += np.bincount(g >> _U(64 - bits), minlength=1 << bits)
         parts = total.reshape(-1, min(_SLICE, 1 << bits))
-        yield pa.RecordBatch.from_pydict({"slice": pa.array(np.arange(len(parts)), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"slice": pa.array(np.arange(len(parts)), pa.int32()), "counts": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
 
     def add(rows):
-        total = sum(np.frombuffer(v.as_buffer(), np.int64) for v in rows.column("counts"))
+        total = sum(np.frombuffer(zlib.decompress(v.as_buffer()), np.int64) for v in rows.column("counts"))
         return pa.table({"slice": rows.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     schema = "slice int, counts binary"
