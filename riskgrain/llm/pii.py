@@ -289,7 +289,7 @@ def labelled_examples(n: int, seed: int = 7) -> list[tuple[str, list[tuple[str,
     return out
 
 
-def train(n: int = 600, rounds: int = 60, penalty: float = 0.02) -> SemiCrf:
+def train(n: int = 300, rounds: int = 40, penalty: float = 0.02) -> SemiCrf:
     """Fit by gradient ascent with per-weight steps on ``n`` made-up sentences; takes seconds and no input table."""
     k, d = len(LABELS), len(FEATURES)
     data = []
