@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.llm.common import mix, settle, spans_hash, text_pieces
+from riskgrain.llm.common import mix, settle, small_batches, spans_hash, text_pieces
 
 #: Bytes of text in one block.
 BLOCK_BYTES = 4 << 20
@@ -103,6 +103,19 @@ def _unpack(data: bytes) -> list[str]:
     return zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Small batches put together to about ``size`` bytes."""
+    waiting, held = [], 0
+    for b in batches:
+        waiting.append(b)
+        held += b.nbytes
+        if held >= size:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            waiting, held = [], 0
+    if held:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()[:1]
+
+
 def _split_blocks(df: DataFrame, key: str, text: str, spec, buckets: int, block_bytes: int) -> DataFrame:
     """(block, bucket, payload, keys, codes): the distinct words of a block by hash bucket, and its texts as positions.
 
@@ -114,7 +127,7 @@ def _split_blocks(df: DataFrame, key: str, text: str, spec, buckets: int, block_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = Splitter(spec.value)
-        for b in batches:
+        for b in _gathered(batches, block_bytes):
             keys, texts = b.column(0), b.column(1)
             for x, y, data, offsets in text_pieces(texts, block_bytes):
                 name = mix(spans_hash(data, np.array([0]), np.array([len(data)])) ^ np.uint64(y - x)).view(np.int64)[0]
@@ -146,6 +159,7 @@ def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
     bounded by ``block_bytes`` (one longer text is a block), buckets of distinct words hold about a block's words each,
     and equal blocks share their words, so no key, copy or common word piles up.
     """
+    small_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext
     spec = sc.broadcast(tokenizer_json)
     pieces = sc.broadcast(dict(piece_table(tokenizer_json)))  # bounded by the vocabulary

@@ -46,6 +46,16 @@ def unsettle(df: DataFrame | None) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bound the rows of an Arrow batch for this session, so that whole long texts fit a task's memory.
+
+    A session that already asks for fewer keeps its setting.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that clashes with none of ``df`` (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.llm.common import LOWER, byte_class, free_name, spans_hash, text_pieces, words_of
+from riskgrain.llm.common import LOWER, byte_class, free_name, small_batches, spans_hash, text_pieces, words_of
 
 #: Every byte that is not in \x00-\x2F, \x3A-\x60 (after lower-casing) or \x7B-\x7F.
 WORD_BYTES = byte_class((48, 57), (97, 122), (128, 255))
@@ -195,6 +195,7 @@ def longest_matches(df: DataFrame, tests: DataFrame, text: str = "text", item_id
     larger than that is a block of its own. Neither side is shuffled, so skew and repeated rows do not matter.
     """
     spark = df.sparkSession
+    small_batches(spark)
     types = [*df.schema.fields, T.StructField(words, T.LongType()), T.StructField(matches, T.StructType.fromDDL(f"m {MATCHES}")["m"].dataType)]
     schema = T.StructType(types)
     spec = pa.list_(pa.struct([("item_id", pa.string()), ("item_start", pa.int32()), ("start", pa.int32()), ("words", pa.int32())]))

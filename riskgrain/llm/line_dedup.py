@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrain.llm.common import free_name, hash_filter, mix, power_tables, settle
+from riskgrain.llm.common import free_name, hash_filter, mix, power_tables, settle, small_batches
 from riskgrain.llm.linking import connect, shared_members
 
 SHINGLE = 8
@@ -123,6 +123,7 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     line with the smallest (key, position) stays. Lines of white space only take no part. Equal lines are told by a
     64-bit hash, unequal ones found through ``bands`` x ``rows`` MinHash values.
     """
+    small_batches(df.sparkSession)
     occurrences = _lines(df, key, text)
     members = settle(shared_members(band_members(occurrences, shingle, bands, rows)))
     may_need = hash_filter(members, "node")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrain.llm.common import LOWER, byte_class, free_name, mix, settle, spans_hash, text_pieces, words_of
+from riskgrain.llm.common import LOWER, byte_class, free_name, mix, settle, small_batches, spans_hash, text_pieces, words_of
 from riskgrain.llm.linking import connect, shared_members
 
 #: Every byte but space and \x09-\x0D.
@@ -203,6 +203,7 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     smallest only if all keys there are null.
     """
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     sent = spark.sparkContext.broadcast(common_sketch(docs, "text", size, bits))
     base = settle(prefixes(docs, "key", "text", size, share, sent, bits))

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskgrain.llm.common import free_name, small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: Segment types of the random field.
 LABELS = ("none", *KINDS)
@@ -336,6 +338,7 @@ def find_spans(df: DataFrame, text: str = "text", model: SemiCrf | None = None,
     ``base`` has the matches of the fixed patterns in each whole text, ``spans`` these and the random field's. Null and
     empty texts have none. Both names must be free. Rows are independent of each other, so skew does not matter.
     """
+    small_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model or train())
     kind = "array<struct<kind:string,start:int,end:int>>"
     extra = T.StructType.fromDDL(f"`{base}` {kind}, `{spans}` {kind}")
@@ -358,8 +361,6 @@ def find_spans(df: DataFrame, text: str = "text", model: SemiCrf | None = None,
 
 def redact(df: DataFrame, text: str = "text", model: SemiCrf | None = None) -> DataFrame:
     """``df`` with every span found in the text replaced by its kind in brackets; other columns unchanged."""
-    from riskgrain.llm.common import free_name
-
     base, spans = free_name(df, "base_spans"), free_name(df, "pii_spans")
     found = find_spans(df, text, model, base, spans)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))

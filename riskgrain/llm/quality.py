@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.llm.common import LOWER, byte_class, free_name, spans_hash, text_pieces, words_of
+from riskgrain.llm.common import LOWER, byte_class, free_name, small_batches, spans_hash, text_pieces, words_of
 
 _SPACE = byte_class((9, 13), (32, 32))
 _WORD = ~_SPACE
@@ -88,6 +88,7 @@ def _statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def with_statistics(df: DataFrame, text: str = "text", out: str = "statistics") -> DataFrame:
     """``df`` with an array column of the statistics of each whole text; null counts as empty. ``out`` must be free."""
+    small_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

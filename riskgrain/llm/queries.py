@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrain.llm import bit_index, bpe, decontaminate, line_dedup, ngram_join, pii, quality, sharding, url_filter
+from riskgrain.llm import bit_index, bpe, decontaminate, html_text, line_dedup, ngram_join, pii, quality, sharding, url_filter
 from riskgrain.llm.common import sha_hex, table, whole
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +43,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.ACCEPTED).cast("int").alias("predicted"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), out="text")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.longest_matches(docs, table(spark, sf_dir, "benchmark"))
@@ -84,6 +89,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
     "op3_quality": op3_quality,
+    "op4_html_text": op4_html_text,
     "op5_decontamination": op5_decontamination,
     "op6_top_k": op6_top_k,
     "op7_pii": op7_pii,
