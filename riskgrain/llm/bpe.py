@@ -23,7 +23,7 @@ from riskgrain.llm.common import mix, settle, small_batches, spans_hash, text_pi
 #: Bytes of text in one block.
 BLOCK_BYTES = 4 << 20
 #: Below this code point texts are in composed form, lower-case letter by letter, and classes agree between libraries.
-_PLAIN = 0x300
+_PLAIN = 0x180
 #: Marks a special token in a list of words; no word mixes it with letters.
 _SPECIAL = "\0"
 
