@@ -83,26 +83,48 @@ def band_members(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataF
     return lines.select("node", "line").mapInArrow(run, "bucket bigint, node bigint, n bigint")
 
 
-def verify_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines in (node, line) have at least the Jaccard similarity, computed exactly."""
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams): the distinct shingles of each line in (node, line), as sorted packed 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            left, right = b.column(2), b.column(3)
-            last, mine = None, None
-            for k in range(b.num_rows):
-                x, y = left[k].as_py(), right[k].as_py()
-                if x != last:
-                    last, mine = x, _shingles(x, shingle)
-                other = _shingles(y, shingle)
-                common = len(mine & other)
-                keep.append(common >= similarity * (len(mine) + len(other) - common) - 1e-9)
-            flags = pa.array(keep, pa.bool_())
+            text, packed = b.column(1).to_pylist(), []
+            for x, y in _runs(text):
+                h, bounds = shingle_hashes(text[x:y], shingle)
+                row = np.repeat(np.arange(y - x), np.diff(bounds))
+                order = np.lexsort((h, row))
+                h, row = h[order], row[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                ends = np.searchsorted(row[new], np.arange(y - x + 1))
+                h = h[new]
+                packed += [h[u:v].tobytes() for u, v in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["node", "grams"])
+
+    return texts.select("node", "line").mapInArrow(run, "node bigint, grams binary")
+
+
+def verify_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets in (node, grams) have at least the Jaccard similarity, counted exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, left, right = np.array(b.column(0)), b.column(2), b.column(3)
+            keep, start = np.zeros(len(a), bool), 0
+            for end in [*(np.flatnonzero(a[1:] != a[:-1]) + 1), len(a)] if len(a) else []:
+                mine = np.frombuffer(left[start].as_buffer(), np.uint64)
+                others = [np.frombuffer(x.as_buffer(), np.uint64) for x in right[start:end]]
+                sizes = np.array([len(o) for o in others])
+                flat = np.concatenate(others)
+                spot = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                common = np.add.reduceat((mine[spot] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                keep[start:end] = common >= similarity * (len(mine) + sizes - common) - 1e-9
+                start = end
+            flags = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(flags), b.column(1).filter(flags)], names=["a", "b"])
 
-    a = texts.select(F.col("node").alias("a"), F.col("line").alias("left"))
-    z = texts.select(F.col("node").alias("b"), F.col("line").alias("right"))
+    a = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
+    z = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
     return pairs.join(z, "b").join(a, "a").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -112,7 +134,7 @@ def _shingles(line: str, size: int) -> set[str]:
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("at", "line"))
-    return lines.where(F.length(F.trim(F.translate("line", "\t\r\x0b\x0c", "    "))) > 0).withColumn("node", F.xxhash64("line"))
+    return lines.where(F.col("line").rlike(r"[^ \t\r\x0b\x0c]")).withColumn("node", F.xxhash64("line"))
 
 
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -129,9 +151,9 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     may_need = hash_filter(members, "node")
     needed = members.select("node").distinct()
     texts = occurrences.select("node", "line").where(may_need("node")).dropDuplicates(["node"])
-    texts = settle(texts.join(needed, "node", "left_semi"))
-    labels = connect(members, 0.0, lambda pairs: verify_pairs(pairs, texts, shingle, similarity))
-    slim = occurrences.select("key", "at", "node")
+    sets = settle(shingle_sets(texts.join(needed, "node", "left_semi"), shingle))
+    labels = connect(members, 0.0, lambda pairs: verify_pairs(pairs, sets, similarity))
+    slim = settle(occurrences.select("key", "at", "node"))
     first = slim.groupBy("node").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("copies"))
     first = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = first.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("copies"))

@@ -23,7 +23,7 @@ HUB_ROUNDS = (1, 8)
 def shared_members(members: DataFrame) -> DataFrame:
     """The rows of (bucket, node, n) whose bucket holds at least two different nodes."""
     shared = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    return members.join(shared.select("bucket"), "bucket").select("bucket", "node", "n").distinct()
+    return members.join(shared.select("bucket").hint("shuffle_hash"), "bucket").select("bucket", "node", "n").distinct()
 
 
 def _size_ok(a: str, b: str, share: float):
@@ -34,11 +34,10 @@ def _size_ok(a: str, b: str, share: float):
 def connect(members: DataFrame, share: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) over the verified links among the members (bucket, node, n) of shared buckets.
 
-    ``share``: the smallest ratio of set sizes that a link can have. ``verify`` takes pairs (a, b), a < b, and returns
+    ``members`` should be a written table, as every round reads it. ``share``: the smallest ratio of set sizes that a link can have. ``verify`` takes pairs (a, b), a < b, and returns
     those that are links. The result covers the nodes that have a link.
     """
-    members = settle(members)
-    edges = tested = labels = None
+    labels = tested = None
     for hubs in (*HUB_ROUNDS, None):
         now = members.withColumn("comp", F.col("node"))
         if labels is not None:
@@ -53,14 +52,26 @@ def connect(members: DataFrame, share: float, verify: Callable[[DataFrame], Data
             least = F.min(F.struct("o_node", "o_n", "o_comp")).alias("hub")
             other = other.groupBy("bucket", slot.alias("slot")).agg(least).select("bucket", "hub.*")
         pairs = now.join(other, "bucket").where((F.col("comp") != F.col("o_comp")) & _size_ok("n", "o_n", share))
-        pairs = pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b")).distinct()
+        swap = F.col("node") > F.col("o_node")
+        flip = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+        pairs = pairs.select(flip("node", "o_node").alias("a"), flip("o_node", "node").alias("b"), flip("comp", "o_comp").alias("comp_a"), flip("o_comp", "comp").alias("comp_b"))
+        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs)
         if tested is not None and pairs.limit(1).count() == 0:
             continue
-        found = settle(verify(pairs))
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
+        both = pairs.select("a", "b")
+        found = settle(verify(both))
+        tested = both if tested is None else tested.unionByName(both)
+        # links join whole components: only these need to be connected further
+        joined = found.join(pairs, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+        merged = components(joined)
+        if labels is None:
+            labels = merged
+        else:
+            moved = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+            old = labels.join(moved, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+            fresh = merged.join(labels.select("node"), "node", "left_anti")
+            labels = settle(old.unionByName(fresh))
     return labels

@@ -72,7 +72,10 @@ def common_sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS)
     schema = "slice int, counts binary"
     partial = df.select(text).mapInArrow(count, schema)
     rows = partial.groupBy("slice").applyInArrow(add, schema).collect()  # 2**bits numbers, whatever the input
-    return np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(rows, key=lambda r: r["slice"])])
+    total = np.zeros((-(-(1 << bits) // _SLICE), min(_SLICE, 1 << bits)), np.int64)
+    for r in rows:
+        total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+    return total.ravel()
 
 
 def _ordered(g: np.ndarray, bounds: np.ndarray, common: np.ndarray, bits: int) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.llm.common import LOWER, byte_class, free_name, small_batches, spans_hash, text_pieces, words_of
+from riskgrain.llm.common import LOWER, byte_class, small_batches, spans_hash, text_pieces, words_of
 
 _SPACE = byte_class((9, 13), (32, 32))
 _WORD = ~_SPACE
@@ -170,15 +170,19 @@ def fit(labelled: DataFrame, label: str, statistics: str = "statistics", shrinka
 
 
 def score(df: DataFrame, model: Discriminant, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` with the probability of good quality of each whole text. Null and empty texts are scored as empty."""
-    column = free_name(df, "statistics")
-    stats = with_statistics(df, text, column)
+    """``df`` with the probability of good quality of each whole text; ``out`` must be a free name.
 
-    @F.pandas_udf("double")
-    def of(x):
-        return __import__("pandas").Series(model.scores(np.stack(x.to_numpy())) if len(x) else [])
+    Null and empty texts are scored as empty.
+    """
+    small_batches(df.sparkSession)
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [model.scores(_statistics(data, offsets)) for _, _, data, offsets in text_pieces(b.column(b.schema.names.index(text)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=schema.names)
 
-    return stats.withColumn(out, of(column)).drop(column)
+    return df.mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
