@@ -152,7 +152,7 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     needed = members.select("node").distinct()
     texts = occurrences.select("node", "line").where(may_need("node")).dropDuplicates(["node"])
     sets = settle(shingle_sets(texts.join(needed, "node", "left_semi"), shingle))
-    labels = connect(members, 0.0, lambda pairs: verify_pairs(pairs, sets, similarity))
+    labels = connect(members, sets, similarity, 0.0, lambda pairs: verify_pairs(pairs, sets, similarity))
     slim = settle(occurrences.select("key", "at", "node"))
     first = slim.groupBy("node").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("copies"))
     first = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

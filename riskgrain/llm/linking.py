@@ -2,22 +2,28 @@
 
 A bucket (a prefix n-gram, a MinHash band) proposes its members as candidates of each other. In a bucket of m copies,
 m - 1 links already connect everything, so comparing all pairs would be quadratic work for nothing. Members are first
-compared with a few hubs of their bucket. Only pairs that still lie in different components are compared after
-that, so the components at the end are those of the full candidate graph.
+compared with a few hubs of their bucket, as pairs. Buckets whose members then still lie in different components are
+compared completely, but not as pairs of rows: their members are cut into blocks, each two blocks meet in one task that
+counts the overlaps of all their sets at once and returns links only. So the components at the end are those of the full
+candidate graph, and neither candidates nor partners are capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrain.llm.common import settle
 from riskgrain.llm.components import components
 
-#: Hubs of a bucket in the successive rounds; after them come all pairs still in different components.
+#: Hubs of a bucket in the successive rounds of pairs.
 HUB_ROUNDS = (1, 8)
+#: Members of one block of the complete comparison.
+BLOCK = 256
 
 
 def shared_members(members: DataFrame) -> DataFrame:
@@ -31,27 +37,87 @@ def _size_ok(a: str, b: str, share: float):
     return F.least(a, b) >= F.greatest(a, b) * F.lit(share - 1e-9)
 
 
-def connect(members: DataFrame, share: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def block_links(members: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """(comp_a, comp_b) of all links between members (bucket, node, comp) of one bucket and different components.
+
+    ``sets`` has (node, grams), the packed hashes of each member's set. A bucket of m members becomes about m / BLOCK
+    blocks, and each block travels once for each other block, with half of the tasks' keys.
+    """
+    size = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(size, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    sent = placed.join(sets, "node").select("bucket", low, high, "comp", "grams")
+
+    def compare(rows):
+        comps = np.array(rows.column("comp"))
+        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("grams")]
+        a, b = set_links(grams, share)
+        x, y = comps[a], comps[b]
+        pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)])[x != y], axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return sent.groupBy("bucket", "low", "high").applyInArrow(compare, "a bigint, b bigint")
+
+
+def set_links(sets: list[np.ndarray], share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sets whose Jaccard similarity is at least ``share``, from one product of their incidence matrix.
+
+    Elements that only one set has cannot overlap and are left out; the others go through in slices of columns.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    at = np.full(len(count), -1)
+    at[shared] = np.arange(len(shared))
+    column = at[column]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, len(shared), 4096):
+        own = (column >= start) & (column < start + 4096)
+        part = np.zeros((len(sets), min(4096, len(shared) - start)), np.float32)
+        part[row[own], column[own] - start] = 1
+        common += part @ part.T
+    need = share * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+    a, b = np.nonzero(np.triu(common >= need, 1) & (common > 0))
+    return a, b
+
+
+def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after joining whole components by links (a, b) between them."""
+    merged = components(links)
+    if labels is None:
+        return merged
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    old = labels.join(moved, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    return settle(old.unionByName(merged.join(labels.select("node"), "node", "left_anti")))
+
+
+def _mixed(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The members of buckets that hold more than one component, with their components."""
+    if labels is None:
+        return members.withColumn("comp", F.col("node"))
+    known = labels.select("node", F.col("component").alias("known"))
+    now = members.join(known, "node", "left").withColumn("comp", F.coalesce("known", "node")).select(*members.columns, "comp")
+    mixed = now.groupBy("bucket").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    return now.join(mixed.select("bucket"), "bucket")
+
+
+def connect(members: DataFrame, sets: DataFrame, share: float, size_share: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) over the verified links among the members (bucket, node, n) of shared buckets.
 
-    ``members`` should be a written table, as every round reads it. ``share``: the smallest ratio of set sizes that a link can have. ``verify`` takes pairs (a, b), a < b, and returns
+    ``members`` and ``sets`` (node, grams) should be written tables, as every round reads them. ``share``: the least
+    Jaccard similarity of a link; ``size_share``: the least ratio of n. ``verify`` takes pairs (a, b), a < b, and returns
     those that are links. The result covers the nodes that have a link.
     """
     labels = tested = None
-    for hubs in (*HUB_ROUNDS, None):
-        now = members.withColumn("comp", F.col("node"))
-        if labels is not None:
-            known = labels.select("node", F.col("component").alias("known"))
-            now = members.join(known, "node", "left").withColumn("comp", F.coalesce("known", "node"))
-            mixed = now.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-            now = now.join(mixed.where("low < high").select("bucket"), "bucket")
-        now = now.select("bucket", "node", "n", "comp")
-        other = now.select("bucket", *(F.col(c).alias(f"o_{c}") for c in ("node", "n", "comp")))
-        if hubs is not None:
-            slot = F.pmod(F.xxhash64("o_node"), F.lit(hubs))
-            least = F.min(F.struct("o_node", "o_n", "o_comp")).alias("hub")
-            other = other.groupBy("bucket", slot.alias("slot")).agg(least).select("bucket", "hub.*")
-        pairs = now.join(other, "bucket").where((F.col("comp") != F.col("o_comp")) & _size_ok("n", "o_n", share))
+    for hubs in HUB_ROUNDS:
+        now = _mixed(members, labels)
+        slot = F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("slot")
+        least = F.min(F.struct(F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("comp").alias("o_comp"))).alias("hub")
+        pairs = now.join(now.groupBy("bucket", slot).agg(least).select("bucket", "hub.*"), "bucket")
+        pairs = pairs.where((F.col("comp") != F.col("o_comp")) & _size_ok("n", "o_n", size_share))
         swap = F.col("node") > F.col("o_node")
         flip = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
         pairs = pairs.select(flip("node", "o_node").alias("a"), flip("o_node", "node").alias("b"), flip("comp", "o_comp").alias("comp_a"), flip("o_comp", "comp").alias("comp_b"))
@@ -59,19 +125,11 @@ def connect(members: DataFrame, share: float, verify: Callable[[DataFrame], Data
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = settle(pairs)
-        if tested is not None and pairs.limit(1).count() == 0:
-            continue
-        both = pairs.select("a", "b")
-        found = settle(verify(both))
-        tested = both if tested is None else tested.unionByName(both)
+        found = settle(verify(pairs.select("a", "b")))
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         # links join whole components: only these need to be connected further
-        joined = found.join(pairs, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
-        merged = components(joined)
-        if labels is None:
-            labels = merged
-        else:
-            moved = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
-            old = labels.join(moved, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-            fresh = merged.join(labels.select("node"), "node", "left_anti")
-            labels = settle(old.unionByName(fresh))
-    return labels
+        labels = _merge(labels, found.join(pairs, ["a", "b"]).select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    # a bucket whose pairs were all compared with its hubs needs no further look
+    rest = _mixed(members, labels).select("bucket", "node", "comp")
+    large = rest.groupBy("bucket").agg(F.count_distinct("node").alias("m")).where("m > 2").select("bucket")
+    return _merge(labels, block_links(rest.join(large, "bucket"), sets, share).distinct())

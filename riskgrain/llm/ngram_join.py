@@ -216,7 +216,7 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     first = base.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
     chosen = first.join(needed, "node", "left_semi")
     sets = settle(ordered_sets(docs.join(chosen, "key"), "node", "text", size, sent, bits).dropDuplicates(["node"]))
-    labels = connect(members, share, lambda pairs: verify_pairs(pairs, sets, share))
+    labels = connect(members, sets, share, share, lambda pairs: verify_pairs(pairs, sets, share))
     roots = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = roots.groupBy("component").agg(F.min("key").alias("component_id"))
     named = roots.select("node", "component").join(least, "component").select("node", "component_id")
