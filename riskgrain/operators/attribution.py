@@ -17,8 +17,6 @@ from riskgrain.schemas import ContractError, source_group
 from riskgrain.session import small_table
 
 # List lengths and the direction band.
-TOP_FEATURES = 20
-TOP_LOCAL = 10
 DIRECTION_BAND = 0.1
 LOW_SHARE, HIGH_SHARE = 0.2, 0.8
 ADDITIVITY_TOLERANCE = 1e-5
@@ -26,15 +24,19 @@ ROLL_UP_TOLERANCE = 1e-10
 
 
 def linear_attribution(
-    rows: DataFrame, coefficients: Mapping[str, float], means: Mapping[str, float], key: str = "id"
+    rows: DataFrame, coefficients: Mapping[str, float], means: Mapping[str, float], key: str = "id", values: bool = False
 ) -> DataFrame:
-    """``coefficient * (value - mean)`` per row and feature; a missing value stands at the mean."""
-    parts = {
-        f: F.coalesce((F.col(f).cast("double") - F.lit(float(means[f]))) * F.lit(float(b)), F.lit(0.0))
-        for f, b in coefficients.items()
-    }
-    wide = rows.select(key, *[e.alias(f) for f, e in parts.items()])
-    return wide.unpivot([key], list(parts), "feature", "attribution")
+    """``coefficient * (value - mean)`` per row and feature; a missing value stands at the mean.
+
+    ``values`` puts the feature's value beside its attribution, which spares a join of two tables of this length.
+    """
+    cells = []
+    for f, b in coefficients.items():
+        value = F.col(f).cast("double")
+        part = F.coalesce((value - F.lit(float(means[f]))) * F.lit(float(b)), F.lit(0.0))
+        cells.append(F.struct(F.lit(f).alias("feature"), value.alias("value"), part.alias("attribution")))
+    long = rows.select(key, F.inline(F.array(*cells)))
+    return long if values else long.drop("value")
 
 
 def model_attribution(design: DataFrame, model, names: Sequence[str], train_design: DataFrame, key: str) -> tuple[DataFrame, float]:
@@ -183,16 +185,20 @@ def error_group_summary(grouped: DataFrame) -> DataFrame:
     return basic.join(medians, "error_group")
 
 
-def error_group_features(grouped: DataFrame, attributions: DataFrame, key: str = "id", top: int = TOP_LOCAL) -> DataFrame:
-    """Strongest features per outcome."""
+def _first(ranked: DataFrame, top: int | None) -> DataFrame:
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
+
+
+def error_group_features(grouped: DataFrame, attributions: DataFrame, key: str = "id", top: int | None = None) -> DataFrame:
+    """Features per outcome, the strongest first; ``top`` keeps the first ranks."""
     per = attributions.join(grouped.select(key, "error_group"), key).groupBy("error_group", "feature").agg(
         F.avg(F.abs("attribution")).alias("mean_abs"), F.avg("attribution").alias("mean_signed")
     )
     order = Window.partitionBy("error_group").orderBy(F.desc("mean_abs"), F.asc("feature"))
-    return per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return _first(per.withColumn("rank", F.row_number().over(order)), top)
 
 
-def captured_minus_missed(grouped: DataFrame, attributions: DataFrame, key: str = "id", top: int = TOP_FEATURES) -> DataFrame:
+def captured_minus_missed(grouped: DataFrame, attributions: DataFrame, key: str = "id", top: int | None = None) -> DataFrame:
     """Mean attribution of captured minus missed positives, ranked by size."""
     g, a = F.col("error_group"), F.col("attribution")
     positives = grouped.where(g.isin("captured_positive", "missed_positive")).select(key, "error_group")
@@ -201,7 +207,7 @@ def captured_minus_missed(grouped: DataFrame, attributions: DataFrame, key: str
         F.avg(F.when(g == "missed_positive", a)).alias("missed_mean"),
     ).withColumn("difference", F.col("captured_mean") - F.col("missed_mean"))
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("difference")), F.asc("feature"))
-    return per.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return _first(per.withColumn("rank", F.row_number().over(order)), top)
 
 
 def representative_rows(grouped: DataFrame, key: str = "id") -> DataFrame:
@@ -215,29 +221,24 @@ def representative_rows(grouped: DataFrame, key: str = "id") -> DataFrame:
 
 
 def representative_cases(
-    grouped: DataFrame, attributions: DataFrame, base: float, values: DataFrame | None = None, key: str = "id", top: int = TOP_LOCAL
+    grouped: DataFrame, attributions: DataFrame, base: float, key: str = "id", top: int | None = None
 ) -> DataFrame:
-    """Top contributions of each representative row; the row id does not leave this function.
+    """Ranked contributions of each representative row; the row id does not leave this function.
 
-    ``values``: key, feature, value adds the feature's own value.
+    A ``value`` column of the attributions is shown as the feature's own value; ``top`` keeps the first ranks.
     """
     # four rows
     chosen = F.broadcast(representative_rows(grouped, key))
     rows = attributions.join(chosen, key)
     shown = []
-    if values is not None:
-        rows = rows.join(values.select(key, "feature", F.col("value").alias("feature_value")), [key, "feature"], "left")
-        shown = ["feature_value"]
+    if "value" in attributions.columns:
+        shown = [F.col("value").alias("feature_value")]
     per = Window.partitionBy("error_group")
     order = per.orderBy(F.desc(F.abs("attribution")), F.asc("feature"))
-    return (
-        rows.withColumn("reconstructed_log_odds", F.lit(float(base)) + F.sum("attribution").over(per))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top)
-        .select(
-            "error_group", "label", "score", "cutoff_score", "reconstructed_log_odds", "rank", "feature", *shown, "attribution",
-            F.when(F.col("attribution") > 0, "raises_risk_score").otherwise("lowers_risk_score").alias("effect"),
-        )
+    ranked = rows.withColumn("reconstructed_log_odds", F.lit(float(base)) + F.sum("attribution").over(per)).withColumn("rank", F.row_number().over(order))
+    return _first(ranked, top).select(
+        "error_group", "label", "score", "cutoff_score", "reconstructed_log_odds", "rank", "feature", *shown, "attribution",
+        F.when(F.col("attribution") > 0, "raises_risk_score").otherwise("lowers_risk_score").alias("effect"),
     )
 
 

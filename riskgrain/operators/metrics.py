@@ -180,8 +180,15 @@ def binary_metrics(
 
 
 def evaluate(scored: DataFrame, keys: Sequence[str] = (), **options) -> DataFrame:
+    """Metrics of each score set; a row that breaks the score contract, or has no group, fails the job that reads it."""
     label, score = options.pop("label", "label"), options.pop("score", "score")
-    return binary_metrics(score_curve(scored, keys, label, score), keys, **options)
+    y, s = F.col(label), F.col(score)
+    sound = y.isin(0, 1) & finite(s) & s.between(0, 1)
+    for k in keys:
+        sound = sound & F.col(k).isNotNull()
+    broken = F.raise_error(F.lit("score contract broken: labels are 0 or 1, scores in [0, 1], groups not NULL")).cast("int")
+    checked = scored.withColumn(label, F.when(F.coalesce(sound, F.lit(False)), y.cast("int")).otherwise(broken))
+    return binary_metrics(score_curve(checked, keys, label, score), keys, **options)
 
 
 def roc_pr_points(curve: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -68,16 +68,17 @@ def has_car_rule(df: DataFrame) -> bool:
     return bool(present)
 
 
+#: Violated if the car age and its two flags contradict each other: the flags are 0 or 1 and not both 1, and the age
+#: is there exactly if both are 0.
+CAR_CONFLICT = (
+    f"NOT coalesce({CAR_NOT_APPLICABLE} IN (0, 1) AND {CAR_MISSING} IN (0, 1), false)"
+    f" OR {CAR_NOT_APPLICABLE} + {CAR_MISSING} > 1 OR ({CAR_NOT_APPLICABLE} + {CAR_MISSING} = 0) <> ({CAR_AGE} IS NOT NULL)"
+)
+
+
 def car_conflict():
     """Row predicate: the car age and its two flags contradict each other."""
-    age, na, miss = F.col(CAR_AGE), F.col(CAR_NOT_APPLICABLE), F.col(CAR_MISSING)
-    bad_flag = na.isNull() | miss.isNull() | ~na.isin(0, 1) | ~miss.isin(0, 1)
-    return (
-        bad_flag
-        | ((na == 1) & (miss == 1))
-        | (((na == 1) | (miss == 1)) & age.isNotNull())
-        | (age.isNull() & (na == 0) & (miss == 0))
-    )
+    return F.expr(CAR_CONFLICT)
 
 
 def check_features(df: DataFrame, roles: FeatureRoles) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.functions.scalars import clean_label, pearson, ratio, ratio_or_zero
+from riskgrain.functions.scalars import clean_label, finite, pearson, ratio, ratio_or_zero
 from riskgrain.operators.quality import level_counts
 from riskgrain.operators.ranking import (
     average_ranks,
@@ -26,14 +25,9 @@ from riskgrain.session import small_table
 SUMMARY_PROBS = {"p1": 0.01, "q1": 0.25, "median": 0.5, "q3": 0.75, "p95": 0.95, "p99": 0.99, "p99_9": 0.999}
 IQR_FACTOR = 1.5
 HIGH_CORRELATION = 0.95
-MAX_CORRELATION_COLUMNS = 120
 NEAR_CONSTANT_SHARE = 0.99
 HIGH_MISSING_SHARE = 0.40
 RARE_SHARE = 0.001
-MAX_LABELLED_LEVELS = 100
-PREFERRED_COLUMNS = (
-    "AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "DAYS_BIRTH", "EXT_SOURCE_2",
-)
 
 OTHER_LEVEL = "[rare levels]"
 MISSING_LEVEL = "[missing]"
@@ -137,8 +131,8 @@ def missingness(df: DataFrame) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(order))
 
 
-def categorical_summary(df: DataFrame, columns: Sequence[str], top: int = 10) -> DataFrame:
-    """Top levels per column with NULL kept as a level, plus missing and distinct counts."""
+def categorical_summary(df: DataFrame, columns: Sequence[str], top: int | None = None) -> DataFrame:
+    """Ranked levels per column with NULL kept as a level, plus missing and distinct counts; ``top`` keeps the first."""
     counts = level_counts(df, columns)
     per = counts.groupBy("column_name").agg(
         F.sum("n").alias("row_count"),
@@ -146,7 +140,9 @@ def categorical_summary(df: DataFrame, columns: Sequence[str], top: int = 10) ->
         F.count("value").alias("unique_count"),
     )
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc_nulls_first("value"))
-    ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = counts.withColumn("rank", F.row_number().over(order))
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)
     return ranked.join(per, "column_name").select(
         "column_name", "rank", clean_label(F.col("value")).alias("value_label"), "n",
         ratio_or_zero(F.col("n"), F.col("row_count")).alias("rate"), "missing_count", "unique_count",
@@ -156,7 +152,8 @@ def categorical_summary(df: DataFrame, columns: Sequence[str], top: int = 10) ->
 # ---------------------------------------------------------------------------
 # correlation
 # ---------------------------------------------------------------------------
-_PAIR_LIMIT = 200
+#: A variance below this share of the second moment about the centre is rounding: the column is constant there.
+_FLAT = 1e-12
 _GRAM_SCHEMA = (
     "left_column string, right_column string, n double, sx double, sy double, sxx double, syy double, sxy double"
 )
@@ -188,49 +185,29 @@ def _gram_batches(columns: list[str], centers: dict[str, float]):
     return run
 
 
-def correlation_columns(df: DataFrame, columns: Sequence[str], limit: int = MAX_CORRELATION_COLUMNS) -> list[str]:
-    """Columns with more than two distinct values: preferred ones first, then by observed rows."""
-    stats = ranked_free_counts(df, columns)
-    eligible = {r["column_name"]: r["observed"] for r in stats.collect() if r["distinct"] > 2}
-    first = [c for c in PREFERRED_COLUMNS if c in eligible]
-    rest = sorted((c for c in eligible if c not in first), key=lambda c: (-eligible[c], c))
-    return (first + rest)[:limit]
-
-
-def ranked_free_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Observed and distinct value counts per column."""
-    long = long_numbers(df, columns).where(F.col("value").isNotNull())
-    values = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
-    return values.groupBy("column_name").agg(F.sum("n").alias("observed"), F.count("*").alias("distinct"))
-
-
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation of every column pair, over all rows.
 
-    Few pairs run as built-in aggregates in one pass. Many pairs run as matrix products inside each
-    partition (one partial row per pair and partition), then a sum per pair.
+    Matrix products inside each partition (one partial row per pair and partition), then a sum per pair. NaN and
+    infinite values count as missing; a pair in which a column is constant where both are observed has no correlation
+    and no row.
     """
     columns = list(columns)
-    pairs = list(combinations(columns, 2))
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    if len(pairs) <= _PAIR_LIMIT:
-        one = numbers.agg(*[pearson(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-        cells = [
-            F.struct(F.lit(a).alias("left_column"), F.lit(b).alias("right_column"), F.col(f"_{i}").alias("correlation"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-        long = one.select(F.inline(F.array(*cells)))
-    else:
-        means = numbers.agg(*[F.avg(c).alias(c) for c in columns]).first()
-        centers = {c: float(means[c] or 0.0) for c in columns}
-        moments = numbers.mapInPandas(_gram_batches(columns, centers), _GRAM_SCHEMA)
-        s = moments.groupBy("left_column", "right_column").agg(
-            *[F.sum(m).alias(m) for m in ("n", "sx", "sy", "sxx", "syy", "sxy")]
-        )
-        c = F.col
-        cov = c("sxy") - c("sx") * c("sy") / c("n")
-        var = (c("sxx") - c("sx") * c("sx") / c("n")) * (c("syy") - c("sy") * c("sy") / c("n"))
-        long = s.where(c("n") > 1).select("left_column", "right_column", F.when(var > 0, cov / F.sqrt(var)).alias("correlation"))
+    cast = {c: F.col(c).cast("double") for c in columns}
+    numbers = df.select(*[F.when(finite(v), v).alias(c) for c, v in cast.items()])
+    means = numbers.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    centers = {c: float(means[c] or 0.0) for c in columns}
+    moments = numbers.mapInPandas(_gram_batches(columns, centers), _GRAM_SCHEMA)
+    s = moments.groupBy("left_column", "right_column").agg(
+        *[F.sum(m).alias(m) for m in ("n", "sx", "sy", "sxx", "syy", "sxy")]
+    )
+    c = F.col
+    cov = c("sxy") - c("sx") * c("sy") / c("n")
+    var_x, var_y = (c(f"s{v}{v}") - c(f"s{v}") * c(f"s{v}") / c("n") for v in "xy")
+    varied = (var_x > F.lit(_FLAT) * c("sxx")) & (var_y > F.lit(_FLAT) * c("syy"))
+    long = s.where(c("n") > 1).select(
+        "left_column", "right_column", F.when(varied, cov / (F.sqrt(var_x) * F.sqrt(var_y))).alias("correlation")
+    )
     known = F.col("correlation").isNotNull() & ~F.isnan("correlation")
     return long.where(known).withColumn("absolute_correlation", F.abs("correlation")).withColumn(
         "high", F.abs("correlation") >= HIGH_CORRELATION
@@ -261,10 +238,6 @@ def spearman(pairs: DataFrame, x: str, y: str, keys: Sequence[str] = (), edge_ke
 # ---------------------------------------------------------------------------
 # relations to the label
 # ---------------------------------------------------------------------------
-def minimum_support(row_count: int) -> int:
-    return max(20, math.ceil(row_count * RARE_SHARE))
-
-
 def target_numeric(df: DataFrame, columns: Sequence[str], target: str = TARGET) -> DataFrame:
     """Mean and median by class and the point-biserial correlation per column."""
     long = long_numbers(df, columns, [target]).where(F.col("value").isNotNull())
@@ -288,7 +261,7 @@ def target_numeric(df: DataFrame, columns: Sequence[str], target: str = TARGET)
 
 
 def target_missingness(df: DataFrame, columns: Sequence[str], target: str = TARGET) -> DataFrame:
-    """Label rate where a column is missing against where it is observed; both sides need support."""
+    """Label rate where a column is missing against where it is observed; ``supported`` if both sides have enough rows."""
     flags = df.select(F.col(target).alias("_y"), *[F.col(c).isNull().alias(c) for c in columns])
     long = flags.unpivot(["_y"], list(columns), "column_name", "gone")
     gone, y = F.col("gone"), F.col("_y").cast("double")
@@ -299,13 +272,13 @@ def target_missingness(df: DataFrame, columns: Sequence[str], target: str = TARG
         F.avg(F.when(~gone, y)).alias("rate_observed"),
     )
     support = F.greatest(F.lit(20), F.ceil((F.col("missing_count") + F.col("observed_count")) * F.lit(RARE_SHARE)))
-    return per.where((F.col("missing_count") >= support) & (F.col("observed_count") >= support)).withColumn(
-        "rate_difference", F.col("rate_missing") - F.col("rate_observed")
+    return per.withColumn("rate_difference", F.col("rate_missing") - F.col("rate_observed")).withColumn(
+        "supported", F.least("missing_count", "observed_count") >= support
     )
 
 
 def target_category(df: DataFrame, columns: Sequence[str], target: str = TARGET) -> DataFrame:
-    """Label rate per level with thin levels pooled and NULL as a level of its own."""
+    """Label rate per level, NULL a level of its own, thin levels pooled; ``supported`` if a level has enough rows."""
     counts = level_counts(df, columns, {"positives": F.col(target).cast("bigint")})
     totals = df.agg(F.count("*").alias("n"), F.avg(F.col(target).cast("double")).alias("rate"))
     support = F.greatest(F.lit(20), F.ceil(totals.select("n").scalar() * F.lit(RARE_SHARE)))
@@ -314,9 +287,9 @@ def target_category(df: DataFrame, columns: Sequence[str], target: str = TARGET)
         "column_name", F.when(F.col("n") < support, F.lit(OTHER_LEVEL)).otherwise(level).alias("level")
     ).agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"))
     rate = F.col("positives") / F.col("n")
-    return pooled.where(F.col("n") >= support).select(
+    return pooled.select(
         "column_name", "level", "n", rate.alias("target_rate"),
-        (rate - totals.select("rate").scalar()).alias("rate_difference"),
+        (rate - totals.select("rate").scalar()).alias("rate_difference"), (F.col("n") >= support).alias("supported"),
     )
 
 
@@ -334,18 +307,14 @@ def near_constant(df: DataFrame, columns: Sequence[str], share: float = NEAR_CON
     )
 
 
-def rare_categories(df: DataFrame, columns: Sequence[str], limit: int | None = 100) -> DataFrame:
-    """Levels held by at most max(2, 0.1 %) rows, in columns with at most 100 levels."""
+def rare_categories(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> DataFrame:
+    """Levels held by at most max(2, 0.1 %) rows; ``limit`` keeps the rarest."""
     counts = level_counts(df, columns).where(F.col("value").isNotNull())
-    total = df.agg(F.count("*").alias("n"))
-    per = counts.groupBy("column_name").agg(F.count("*").alias("_levels"))
-    n = total.scalar()
+    n = df.agg(F.count("*").alias("n")).scalar()
     most = F.greatest(F.lit(2), F.ceil(n * F.lit(RARE_SHARE)))
-    rare = counts.where(F.col("n") <= most).join(
-        per.where(F.col("_levels") <= MAX_LABELLED_LEVELS), "column_name"
-    )
+    rare = counts.where(F.col("n") <= most)
     out = rare.select("column_name", clean_label(F.col("value")).alias("value_label"), "n", ratio_or_zero(F.col("n"), n).alias("rate"))
-    return out.orderBy("n", "column_name", "value_label").limit(limit) if limit else out
+    return out.orderBy("n", "column_name", "value_label").limit(limit) if limit is not None else out
 
 
 def known_values(df: DataFrame) -> DataFrame:

@@ -193,14 +193,15 @@ def level_counts(df: DataFrame, columns: Sequence[str], carry: Mapping[str, Colu
     )
 
 
-def category_top(df: DataFrame, columns: Sequence[str], limit: int = 20, keep_null: bool = False) -> DataFrame:
-    """Most frequent values per column by (count desc, value asc), with the distinct count."""
+def category_top(df: DataFrame, columns: Sequence[str], limit: int | None = None, keep_null: bool = False) -> DataFrame:
+    """Values per column ranked by (count desc, value asc), with the distinct count; ``limit`` keeps the first ranks."""
     counts = level_counts(df, columns)
     if not keep_null:
         counts = counts.where(F.col("value").isNotNull())
-    # the rank filter prunes to ``limit`` rows per column before the exchange
     order = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc_nulls_last("value"))
-    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    top = counts.withColumn("rank", F.row_number().over(order))
+    if limit is not None:
+        top = top.where(F.col("rank") <= limit)
     distinct = counts.groupBy("column_name").agg(F.count("value").alias("distinct_count"))
     return top.join(distinct, "column_name").select("column_name", "value", "n", "rank", "distinct_count")
 

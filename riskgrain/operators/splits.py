@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +21,11 @@ DEFAULT_SEED = 42
 
 def apportion(total: int, weights: Sequence[float]) -> list[int]:
     """Largest-remainder shares of ``total``; equal remainders go to the lower index."""
-    shares = [float(w) * total for w in weights]
-    whole = [math.floor(s) for s in shares]
-    spare = total - sum(whole)
-    by_remainder = sorted(range(len(shares)), key=lambda i: (whole[i] - shares[i], i))
-    for i in by_remainder[:spare]:
-        whole[i] += 1
-    return whole
+    exact = np.asarray(weights, float) * total
+    floor = np.floor(exact).astype(int)
+    rest, place = exact - floor, np.arange(len(exact))
+    before = (rest > rest[:, None]) | ((rest == rest[:, None]) & (place < place[:, None]))
+    return [int(n) for n in floor + (before.sum(axis=1) < total - floor.sum())]
 
 
 def check_ratios(ratios: Mapping[str, float]) -> dict[str, float]:
@@ -37,20 +37,26 @@ def check_ratios(ratios: Mapping[str, float]) -> dict[str, float]:
     return values
 
 
-def expected_counts(
-    negatives: int, positives: int, ratios: Mapping[str, float]
-) -> dict[int, dict[str, int]]:
-    """Rows per class and part: part sizes first, positives by size, negatives the rest."""
-    names = list(ratios)
-    total = negatives + positives
-    sizes = apportion(total, [ratios[n] for n in names])
-    if any(s == 0 for s in sizes):
-        raise ContractError("too few rows to fill every split")
-    ones = apportion(positives, [s / total for s in sizes])
-    zeros = [s - p for s, p in zip(sizes, ones, strict=True)]
-    if any(z < 0 for z in zeros):
-        raise ContractError("the classes cannot be spread over the splits")
-    return {0: dict(zip(names, zeros, strict=True)), 1: dict(zip(names, ones, strict=True))}
+class PartLimit(NamedTuple):
+    """The ranks ``above < rank <= upto`` of one class go to one part."""
+
+    label: int
+    part: str
+    above: int
+    upto: int
+
+
+def class_limits(negatives: int, positives: int, ratios: Mapping[str, float]) -> list[PartLimit]:
+    """Cumulative rank limits per class. Parts get their share of all rows; positives follow the parts' sizes."""
+    sizes = np.array(apportion(negatives + positives, list(ratios.values())))
+    ones = np.array(apportion(positives, sizes / sizes.sum()))
+    if (sizes < 1).any() or (ones > sizes).any():
+        raise ContractError("too few rows of a class for the parts")
+    return [
+        PartLimit(label, part, int(end - n), int(end))
+        for label, counts in ((0, sizes - ones), (1, ones))
+        for part, n, end in zip(ratios, counts, np.cumsum(counts), strict=True)
+    ]
 
 
 def sha_key(seed: int, id_column: str = ID) -> Column:
@@ -113,21 +119,13 @@ def stratified_split(
     """Assign each customer to a part; independent of row order and partitioning."""
     shares = check_ratios(ratios or DEFAULT_RATIOS)
     require_columns(customers, (id_column, target), "customers")
-    plan = expected_counts(*class_counts(customers, id_column, target), shares)
+    limits = class_limits(*class_counts(customers, id_column, target), shares)
     ranked = class_ranks(customers, key if key is not None else sha_key(seed, id_column), id_column, target)
-    names = list(shares)
-
-    def part(label: int) -> Column:
-        upper, expr = 0, None
-        for name in names[:-1]:
-            upper += plan[label][name]
-            test = F.col("rank") <= upper
-            expr = F.when(test, name) if expr is None else expr.when(test, name)
-        return expr.otherwise(names[-1])
-
-    return ranked.select(
-        id_column, target, F.when(F.col(target) == 1, part(1)).otherwise(part(0)).alias(SPLIT)
-    )
+    part = F.lit(None).cast("string")
+    for x in limits:
+        inside = (F.col(target) == x.label) & (F.col("rank") > x.above) & (F.col("rank") <= x.upto)
+        part = F.when(inside, x.part).otherwise(part)
+    return ranked.select(id_column, target, part.alias(SPLIT))
 
 
 def stratified_folds(
@@ -154,22 +152,14 @@ def holdout_split(
 def check_split(customers: DataFrame, assignments: DataFrame, ratios: Mapping[str, float] | None = None) -> DataFrame:
     """One row of violation counts: exclusive, complete, label kept, names valid, counts exact."""
     shares = check_ratios(ratios or DEFAULT_RATIOS)
-    plan = expected_counts(*class_counts(customers), shares)
+    limits = class_limits(*class_counts(customers), shares)
     a = assignments.groupBy(ID).agg(
         F.count("*").alias("copies"), F.min(TARGET).alias("_t"), F.min(SPLIT).alias("_split")
     )
     c = customers.select(ID, F.col(TARGET).alias("_source"))
     joined = c.join(a, ID, "full_outer")
-    cell = [
-        F.abs(
-            F.count_if((F.col("_t") == t) & (F.col("_split") == s)) - F.lit(n)
-        )
-        for t, row in plan.items()
-        for s, n in row.items()
-    ]
-    total = cell[0]
-    for extra in cell[1:]:
-        total = total + extra
+    counted = [F.count_if((F.col("_t") == x.label) & (F.col("_split") == x.part)) for x in limits]
+    total = sum((F.abs(n - (x.upto - x.above)) for n, x in zip(counted, limits, strict=True)), F.lit(0))
     return joined.agg(
         F.count_if(F.col("copies") > 1).alias("duplicate_ids"),
         F.count_if(F.col("_source").isNull() | F.col("copies").isNull()).alias("unmatched_ids"),
@@ -213,10 +203,11 @@ def split_summary(assignments: DataFrame) -> DataFrame:
 
 
 def assignment_digest(assignments: DataFrame) -> DataFrame:
-    """Order-independent digest: row count and the decimal sum of per-row SHA-256 prefixes."""
+    """Order-independent digest: row count and the sums of the eight 32-bit slices of the rows' SHA-256."""
     line = F.concat_ws(",", *[F.col(c).cast("string") for c in (ID, TARGET, SPLIT)])
-    part = F.conv(F.substring(F.sha2(line, 256), 1, 12), 16, 10).cast("decimal(38,0)")
-    return assignments.agg(F.count("*").alias("row_count"), F.sum(part).cast("string").alias("digest"))
+    row = F.sha2(line, 256)
+    sums = [F.sum(F.conv(F.substring(row, 8 * k + 1, 8), 16, 10).cast("decimal(38,0)")) for k in range(8)]
+    return assignments.agg(F.count("*").alias("row_count"), F.concat_ws("-", *[F.coalesce(x, F.lit(0)).cast("string") for x in sums]).alias("digest"))
 
 
 def seal_test(split: str) -> str:

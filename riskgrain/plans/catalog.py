@@ -440,7 +440,7 @@ _BUREAU_TEXT = ["CREDIT_ACTIVE", "CREDIT_CURRENCY", "CREDIT_TYPE"]
 @register(
     "category_top20",
     sql(["bureau"], "SELECT column_name, value, n, rk::INTEGER AS rank, distinct_count FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS rk, "
-        f"count(*) OVER (PARTITION BY column_name) AS distinct_count FROM (SELECT column_name, value, count(*) AS n FROM ({long_texts('bureau', _BUREAU_TEXT)}) WHERE value IS NOT NULL GROUP BY ALL)) WHERE rk <= 20"),
+        f"count(*) OVER (PARTITION BY column_name) AS distinct_count FROM (SELECT column_name, value, count(*) AS n FROM ({long_texts('bureau', _BUREAU_TEXT)}) WHERE value IS NOT NULL GROUP BY ALL))"),
 )
 def _(s, d):
     return quality.category_top(rolemap.bureau(s, d), _BUREAU_TEXT)
@@ -573,7 +573,8 @@ register(
 )(lambda s, d: splits.stratified_folds(_app(s, d), 5, 43))
 register(
     "assignment_digest",
-    sql(["split"], "SELECT count(*) AS row_count, CAST(sum(CAST(('0x' || substr(sha256(concat_ws(',', SK_ID_CURR, TARGET, SPLIT)), 1, 12)) AS BIGINT)) AS VARCHAR) AS digest FROM split"),
+    sql(["split"], "SELECT count(*) AS row_count, concat_ws('-', " + ", ".join(
+        f"sum(CAST(('0x' || substr(sha256(concat_ws(',', SK_ID_CURR, TARGET, SPLIT)), {8 * k + 1}, 8)) AS BIGINT))" for k in range(8)) + ") AS digest FROM split"),
 )(lambda s, d: splits.assignment_digest(_split(s, d)))
 
 # --- profiles --------------------------------------------------------------
@@ -605,7 +606,7 @@ register(
     "categorical_summary",
     sql(["long_levels"], "SELECT column_name, rk::INTEGER AS rank, ifnull(value, '(missing)') AS value_label, n, n / total::DOUBLE AS rate, gone AS missing_count, kinds AS unique_count FROM (SELECT *, "
         "row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value NULLS FIRST) AS rk, sum(n) OVER (PARTITION BY column_name) AS total, (sum(if(value IS NULL, n, 0)) OVER (PARTITION BY column_name))::BIGINT AS gone, "
-        "count(value) OVER (PARTITION BY column_name) AS kinds FROM long_levels) WHERE rk <= 10", ["rate"]),
+        "count(value) OVER (PARTITION BY column_name) AS kinds FROM long_levels)", ["rate"]),
 )(lambda s, d: profiling.categorical_summary(_train_app(s, d), APP_TEXT))
 
 _CORR = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE", "DAYS_BIRTH", "DAYS_EMPLOYED", "EXT_SOURCE_2", "EXT_SOURCE_3", "CNT_FAM_MEMBERS"]
@@ -635,14 +636,14 @@ register(
 _SUPPORT = "greatest(20, ceil((SELECT count(*) FROM train_app) * 0.001::DOUBLE))"
 register(
     "target_missingness",
-    sql(["train_app"], "SELECT *, rate_missing - rate_observed AS rate_difference FROM (SELECT column_name, count(*) FILTER (value IS NULL) AS missing_count, count(value) AS observed_count, "
-        f"avg(y) FILTER (value IS NULL) AS rate_missing, avg(y) FILTER (value IS NOT NULL) AS rate_observed FROM ({long_texts('train_app', APP_NUMBERS + APP_TEXT, 'TARGET AS y')}) GROUP BY column_name) "
-        f"WHERE least(missing_count, observed_count) >= {_SUPPORT}", ["rate_missing", "rate_observed", "rate_difference"]),
+    sql(["train_app"], f"SELECT *, rate_missing - rate_observed AS rate_difference, least(missing_count, observed_count) >= {_SUPPORT} AS supported FROM (SELECT column_name, count(*) FILTER (value IS NULL) AS missing_count, count(value) AS observed_count, "
+        f"avg(y) FILTER (value IS NULL) AS rate_missing, avg(y) FILTER (value IS NOT NULL) AS rate_observed FROM ({long_texts('train_app', APP_NUMBERS + APP_TEXT, 'TARGET AS y')}) GROUP BY column_name)", ["rate_missing", "rate_observed", "rate_difference"]),
 )(lambda s, d: profiling.target_missingness(_train_app(s, d), APP_NUMBERS + APP_TEXT))
 register(
     "target_category",
-    sql(["long_levels", "train_app"], "SELECT column_name, level, sum(n)::BIGINT AS n, sum(positives) / sum(n)::DOUBLE AS target_rate, sum(positives) / sum(n)::DOUBLE - (SELECT avg(TARGET) FROM train_app) AS rate_difference "
-        f"FROM (SELECT *, if(n < {_SUPPORT}, '[rare levels]', ifnull(value, '[missing]')) AS level FROM long_levels) GROUP BY column_name, level HAVING sum(n) >= {_SUPPORT}",
+    sql(["long_levels", "train_app"], "SELECT column_name, level, sum(n)::BIGINT AS n, sum(positives) / sum(n)::DOUBLE AS target_rate, sum(positives) / sum(n)::DOUBLE - (SELECT avg(TARGET) FROM train_app) AS rate_difference, "
+        f"sum(n) >= {_SUPPORT} AS supported "
+        f"FROM (SELECT *, if(n < {_SUPPORT}, '[rare levels]', ifnull(value, '[missing]')) AS level FROM long_levels) GROUP BY column_name, level",
         ["target_rate", "rate_difference"]),
 )(lambda s, d: profiling.target_category(_train_app(s, d), APP_TEXT))
 register(
@@ -651,8 +652,8 @@ register(
 )(lambda s, d: profiling.near_constant(_train_app(s, d), ["FLAG_MOBIL", "REGION_RATING_CLIENT", "CNT_CHILDREN", *APP_TEXT]))
 register(
     "rare_categories",
-    sql(["train_app"], f"SELECT column_name, value AS value_label, n, n / (SELECT count(*) FROM train_app)::DOUBLE AS rate FROM (SELECT column_name, value, count(*) AS n, count(*) OVER (PARTITION BY column_name) AS kinds FROM ({long_texts('train_app', ['SK_ID_CURR', *APP_TEXT, 'CNT_CHILDREN', 'AMT_ANNUITY', 'HOUR_APPR_PROCESS_START'])}) WHERE value IS NOT NULL GROUP BY column_name, value) "
-        "WHERE kinds <= 100 AND n <= greatest(2, ceil((SELECT count(*) FROM train_app) * 0.001::DOUBLE)) ORDER BY n, column_name, value LIMIT 100", ["rate"]),
+    sql(["train_app"], f"SELECT column_name, value AS value_label, n, n / (SELECT count(*) FROM train_app)::DOUBLE AS rate FROM (SELECT column_name, value, count(*) AS n FROM ({long_texts('train_app', ['SK_ID_CURR', *APP_TEXT, 'CNT_CHILDREN', 'AMT_ANNUITY', 'HOUR_APPR_PROCESS_START'])}) WHERE value IS NOT NULL GROUP BY column_name, value) "
+        "WHERE n <= greatest(2, ceil((SELECT count(*) FROM train_app) * 0.001::DOUBLE))", ["rate"]),
 )(lambda s, d: profiling.rare_categories(_train_app(s, d), ["SK_ID_CURR", *APP_TEXT, "CNT_CHILDREN", "AMT_ANNUITY", "HOUR_APPR_PROCESS_START"]))
 register(
     "known_values",
@@ -1122,9 +1123,9 @@ def _attr(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows, attribution.linear_attribution(rows, COEFFICIENTS, MEANS)
 
 
-def _with_values(rows: DataFrame, attributions: DataFrame) -> DataFrame:
-    values = rows.select("id", *[F.col(c).cast("double").alias(c) for c in COEFFICIENTS]).unpivot(["id"], list(COEFFICIENTS), "feature", "value")
-    return values.join(attributions, ["id", "feature"])
+def _with_values(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = _scored_mart(s, d)
+    return rows, attribution.linear_attribution(rows, COEFFICIENTS, MEANS, values=True)
 
 
 register("linear_attribution", sql(["attr"], "SELECT id, feature, attribution FROM attr", ["attribution"]))(lambda s, d: _attr(s, d)[1])
@@ -1159,7 +1160,7 @@ register(
         "(SELECT feature, corr(rx, ry) AS rho FROM (SELECT feature, avg(px) OVER (PARTITION BY feature, value) AS rx, avg(py) OVER (PARTITION BY feature, attribution) AS ry FROM (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value) AS px, row_number() OVER (PARTITION BY feature ORDER BY attribution) AS py FROM known_attr)) GROUP BY feature) USING (feature) JOIN "
         "(SELECT feature, avg(attribution) FILTER (value >= hi) - avg(attribution) FILTER (value <= lo) AS top_minus_bottom FROM known_attr JOIN (SELECT feature, quantile_cont(value, 0.2) AS lo, quantile_cont(value, 0.8) AS hi FROM known_attr GROUP BY feature) USING (feature) GROUP BY feature) USING (feature)",
         ["spearman", "top_minus_bottom"]),
-)(lambda s, d: attribution.direction(_with_values(*_attr(s, d))))
+)(lambda s, d: attribution.direction(_with_values(s, d)[1]))
 register("exact_top_k", sql(["reviewed"], "SELECT id, label, score, hit AS reviewed, cutoff_score, error_group FROM reviewed", ["score", "cutoff_score"]))(
     lambda s, d: attribution.error_groups(rolemap.scores(s, d))
 )
@@ -1186,13 +1187,12 @@ register(
 @register(
     "representative_cases",
     sql(["reviewed", "attr"], "SELECT error_group, label, score, cutoff_score, reconstructed_log_odds, rk::INTEGER AS rank, feature, value AS feature_value, attribution, if(attribution > 0, 'raises_risk_score', 'lowers_risk_score') AS effect FROM (SELECT *, -2.4 + sum(attribution) OVER (PARTITION BY error_group) AS reconstructed_log_odds, "
-        "row_number() OVER (PARTITION BY error_group ORDER BY abs(attribution) DESC, feature) AS rk FROM attr JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY error_group ORDER BY if(error_group = 'not_reviewed_negative', score, -score), id) AS pick FROM reviewed) WHERE pick = 1) USING (id)) WHERE rk <= 10",
+        "row_number() OVER (PARTITION BY error_group ORDER BY abs(attribution) DESC, feature) AS rk FROM attr JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY error_group ORDER BY if(error_group = 'not_reviewed_negative', score, -score), id) AS pick FROM reviewed) WHERE pick = 1) USING (id))",
         ["score", "cutoff_score", "reconstructed_log_odds", "feature_value", "attribution"]),
 )
 def _(s, d):
-    rows, attributions = _attr(s, d)
-    values = _with_values(rows, attributions).select("id", "feature", "value")
-    return attribution.representative_cases(attribution.error_groups(rows.select("id", "label", "score")), attributions, BASE_VALUE, values)
+    rows, attributions = _with_values(s, d)
+    return attribution.representative_cases(attribution.error_groups(rows.select("id", "label", "score")), attributions, BASE_VALUE)
 
 
 

@@ -122,18 +122,23 @@ def test_profiles_read_training_rows_only(spark):
     assert m["EXT_SOURCE_2"] == pytest.approx(2 / 3)
 
 
-def test_correlation_by_matrix_products_equals_builtin(spark, monkeypatch):
-    df = spark.range(200).selectExpr("CAST(id AS DOUBLE) a", "CAST(id * id % 37 AS DOUBLE) b", "IF(id % 5 = 0, NULL, CAST(id * 7 % 11 AS DOUBLE)) c", "1D d")
-    key = lambda r: (min(r["left_column"], r["right_column"]), max(r["left_column"], r["right_column"]))
-    plain = {key(r): r["correlation"] for r in profiling.correlation_pairs(df, list("abcd")).collect()}
-    monkeypatch.setattr(profiling, "_PAIR_LIMIT", 0)
-    fast = {key(r): r["correlation"] for r in profiling.correlation_pairs(df, list("abcd")).collect()}
-    assert set(plain) == set(fast) == {("a", "b"), ("a", "c"), ("b", "c")}
-    assert all(fast[k] == pytest.approx(plain[k], abs=1e-9) for k in plain)
+def test_correlation_of_pairs_equals_builtin(spark):
+    """``d`` is constant, ``e`` is constant wherever ``c`` is observed, ``f`` has one infinity."""
+    df = spark.range(200).selectExpr(
+        "CAST(id AS DOUBLE) a", "CAST(id * id % 37 AS DOUBLE) b", "IF(id % 5 = 0, NULL, CAST(id * 7 % 11 AS DOUBLE)) c", "1D d",
+        "IF(id % 5 = 0, id / 3D, 0.1D) e", "IF(id = 3, CAST('Infinity' AS DOUBLE), CAST(id * 13 % 17 AS DOUBLE)) f",
+    )
+    got = {(r["left_column"], r["right_column"]): r["correlation"] for r in profiling.correlation_pairs(df, list("abcdef")).collect()}
+    names = [x + y for x, y in ("ab", "ac", "ae", "af", "bc", "be", "bf", "cf", "ef")]
+    assert {x + y for x, y in got} == set(names)
+    known = df.where("f < 1e300")
+    for x, y in names:
+        want = (known if "f" in (x, y) else df).selectExpr(f"corr({x}, {y})").first()[0]
+        assert got[x, y] == pytest.approx(want, abs=1e-9)
 
 
 def test_category_relation_pools_thin_levels(spark):
     rows = [("a", i % 2) for i in range(30)] + [("b", 1)] * 12 + [("c", 0)] * 10 + [(None, 1)] * 25
     df = spark.createDataFrame(rows, "C string, TARGET int")
-    got = {r["level"]: r["n"] for r in profiling.target_category(df, ["C"]).collect()}
-    assert got == {"a": 30, "[rare levels]": 22, "[missing]": 25}
+    got = {r["level"]: (r["n"], r["supported"]) for r in profiling.target_category(df, ["C"]).collect()}
+    assert got == {"a": (30, True), "[rare levels]": (22, True), "[missing]": (25, True)}

@@ -46,14 +46,13 @@ def test_blake_order_equals_a_sorted_reference(spark):
 
     c = customers(spark, 60, 20)
     got = {r["SK_ID_CURR"]: r["SPLIT"] for r in splits.stratified_split(c, key=splits.blake_key(42, b"person")).collect()}
-    plan = splits.expected_counts(40, 20, splits.DEFAULT_RATIOS)
+    limits = splits.class_limits(40, 20, splits.DEFAULT_RATIOS)
     want = {}
     for t, ids in ((1, range(1, 21)), (0, range(21, 61))):
         ranked = sorted(ids, key=lambda i: (hashlib.blake2b(f"42:{i}".encode(), digest_size=16, person=b"person").digest(), i))
-        at = 0
-        for name, k in plan[t].items():
-            want |= dict.fromkeys(ranked[at : at + k], name)
-            at += k
+        for x in limits:
+            if x.label == t:
+                want |= dict.fromkeys(ranked[x.above : x.upto], x.part)
     assert got == want
 
 
