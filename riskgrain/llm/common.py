@@ -46,6 +46,25 @@ def unsettle(df: DataFrame | None) -> None:
             folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """Write ``df``, one row per key, as a table bucketed by ``key``, so that joins on it need no exchange of this side.
+
+    The table lies in the shared checkpoint folder. Returns it and a function that drops it.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(n, key).dropDuplicates([key])
+    dealt.write.bucketBy(n, key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+
+    def drop() -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    return spark.table(name), drop
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of an Arrow batch for this session, so that whole long texts fit a task's memory.
 

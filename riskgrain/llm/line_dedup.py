@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrain.llm.common import free_name, hash_filter, mix, power_tables, settle, small_batches
+from riskgrain.llm.common import bucketed, free_name, hash_filter, mix, power_tables, settle, small_batches
 from riskgrain.llm.linking import connect, shared_members
 
 SHINGLE = 8
@@ -18,6 +18,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 8, 4
 #: Characters hashed at once, so that the work stays in the processor's cache.
 _RUN = 1 << 15
+#: Lines a task remembers to have met.
+_REMEMBERED = 500_000
 
 _U = np.uint64
 
@@ -64,12 +66,18 @@ def _runs(lines: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def band_members(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(bucket, node, n) of the non-empty lines in (node, line); n is 1. A line met again in a batch counts once."""
+    """(bucket, node, n) of the non-empty lines in (node, line); n is 1. A line met again in a task counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
+        seen: set[int] = set()
         for b in batches:
             nodes, first = np.unique(np.array(b.column(0)), return_index=True)
+            new = np.array([x not in seen for x in nodes.tolist()], bool)
+            nodes, first = nodes[new], first[new]
+            if len(seen) > _REMEMBERED:
+                seen.clear()
+            seen.update(nodes.tolist())
             text = b.column(1).take(pa.array(first)).to_pylist()
             for x, y in _runs(text):
                 h, bounds = shingle_hashes(text[x:y], shingle)
@@ -151,8 +159,9 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     may_need = hash_filter(members, "node")
     needed = members.select("node").distinct()
     texts = occurrences.select("node", "line").where(may_need("node")).dropDuplicates(["node"])
-    sets = settle(shingle_sets(texts.join(needed, "node", "left_semi"), shingle))
+    sets, drop = bucketed(shingle_sets(texts.join(needed, "node", "left_semi"), shingle), "node")
     labels = connect(members, sets, similarity, 0.0, lambda pairs: verify_pairs(pairs, sets, similarity))
+    drop()
     slim = settle(occurrences.select("key", "at", "node"))
     first = slim.groupBy("node").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("copies"))
     first = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrain.llm.common import LOWER, byte_class, free_name, mix, settle, small_batches, spans_hash, text_pieces, words_of
+from riskgrain.llm.common import LOWER, bucketed, byte_class, free_name, mix, settle, small_batches, spans_hash, text_pieces, words_of
 from riskgrain.llm.linking import connect, shared_members
 
 #: Every byte but space and \x09-\x0D.
 WORD_BYTES = ~byte_class((9, 13), (32, 32))
 #: Counters of the sketch that orders n-grams by how common they are; its size is fixed, so it can be broadcast.
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Counters of the sketch in one row between tasks.
 _SLICE = 1 << 14
 
@@ -57,24 +57,26 @@ def common_sketch(df: DataFrame, text: str, size: int, bits: int = SKETCH_BITS)
     """In how many texts n-grams of each hash bucket occur, over all rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for b in batches:
             for _, _, data, offsets in text_pieces(b.column(0)):
                 g, _ = _sets(data, offsets, size)
-                total += np.bincount(g >> _U(64 - bits), minlength=1 << bits)
+                at, n = np.unique(g >> _U(64 - bits), return_counts=True)
+                total[at] += n.astype(np.uint32)
         parts = total.reshape(-1, min(_SLICE, 1 << bits))
         yield pa.RecordBatch.from_pydict({"slice": pa.array(np.arange(len(parts)), pa.int32()), "counts": pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())})
 
     def add(rows):
-        total = sum(np.frombuffer(zlib.decompress(v.as_buffer()), np.int64) for v in rows.column("counts"))
-        return pa.table({"slice": rows.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = sum(np.frombuffer(zlib.decompress(v.as_buffer()), np.uint32).astype(np.int64) for v in rows.column("counts"))
+        # what is met in so many texts comes last anyway
+        return pa.table({"slice": rows.column("slice")[:1], "counts": pa.array([np.minimum(total, 65_535).astype(np.uint16).tobytes()], pa.binary())})
 
     schema = "slice int, counts binary"
     partial = df.select(text).mapInArrow(count, schema)
-    rows = partial.groupBy("slice").applyInArrow(add, schema).collect()  # 2**bits numbers, whatever the input
-    total = np.zeros((-(-(1 << bits) // _SLICE), min(_SLICE, 1 << bits)), np.int64)
+    rows = partial.groupBy("slice").applyInArrow(add, schema).collect()  # 2**bits small numbers, whatever the input
+    total = np.zeros((-(-(1 << bits) // _SLICE), min(_SLICE, 1 << bits)), np.uint16)
     for r in rows:
-        total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
+        total[r["slice"]] = np.frombuffer(r["counts"], np.uint16)
     return total.ravel()
 
 
@@ -210,13 +212,15 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     sent = spark.sparkContext.broadcast(common_sketch(docs, "text", size, bits))
     base = settle(prefixes(docs, "key", "text", size, share, sent, bits))
-    members = base.where("node is not null").select(F.explode("prefix").alias("bucket"), "node", "n").distinct()
-    members = settle(shared_members(members))
-    needed = members.select("node").distinct()
+    # one row stands for all rows of equal sets
     first = base.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
+    stands = base.join(first, ["node", "key"], "left_semi")
+    members = settle(shared_members(stands.select(F.explode("prefix").alias("bucket"), "node", "n")))
+    needed = members.select("node").distinct()
     chosen = first.join(needed, "node", "left_semi")
-    sets = settle(ordered_sets(docs.join(chosen, "key"), "node", "text", size, sent, bits).dropDuplicates(["node"]))
+    sets, drop = bucketed(ordered_sets(docs.join(chosen, "key"), "node", "text", size, sent, bits), "node")
     labels = connect(members, sets, share, share, lambda pairs: verify_pairs(pairs, sets, share))
+    drop()
     roots = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = roots.groupBy("component").agg(F.min("key").alias("component_id"))
     named = roots.select("node", "component").join(least, "component").select("node", "component_id")
