@@ -23,7 +23,6 @@ UNDEFINED_F1 = "f1_undefined"
 
 # Review capacities and risk-band shares.
 STRATEGY_FRACTIONS = (0.05, 0.10, 0.15, 0.20, 0.25, 0.30)
-VALIDATION_FRACTIONS = (0.05, 0.10, 0.20)
 HIGH_RISK_FRACTION = 0.10
 MEDIUM_RISK_FRACTION = 0.30
 DEFAULT_BINS = 10

@@ -23,8 +23,6 @@ MISSING_LEVEL = "__MISSING__"
 RARE_LEVEL = "__RARE__"
 RARE_SHARE = 0.001
 CAR_AGE, CAR_NOT_APPLICABLE, CAR_MISSING = "OWN_CAR_AGE", "OWN_CAR_AGE_NOT_APPLICABLE", "OWN_CAR_AGE_MISSING"
-# Largest rare-level list that is sent to every task; a longer list is joined by shuffle.
-BROADCAST_LEVELS = 10_000
 
 
 @dataclass(frozen=True)
@@ -212,8 +210,6 @@ def group_levels(df: DataFrame, prep: FittedPrep) -> DataFrame:
         if not prep.rare_count[c]:
             continue
         hit = prep.rare.where(F.col("column_name") == c).select(F.col("level").alias("_key"), F.lit(1).alias("_rare"))
-        if prep.rare_count[c] <= BROADCAST_LEVELS:
-            hit = F.broadcast(hit)
         # common levels can never match: they get a per-partition key so that no task collects them
         common = F.col(c).isin(*[v for v in prep.kept[c] if v != RARE_LEVEL])
         key = F.when(common, F.concat(F.lit("\u0001"), F.spark_partition_id().cast("string"))).otherwise(F.col(c))

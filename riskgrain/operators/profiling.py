@@ -131,6 +131,11 @@ def missingness(df: DataFrame) -> DataFrame:
     return long.withColumn("rank", F.row_number().over(order))
 
 
+def high_missing(df: DataFrame, share: float = HIGH_MISSING_SHARE) -> DataFrame:
+    """Columns of which at least ``share`` of the rows is missing."""
+    return missingness(df).where(F.col("missing_rate") >= share).drop("rank")
+
+
 def categorical_summary(df: DataFrame, columns: Sequence[str], top: int | None = None) -> DataFrame:
     """Ranked levels per column with NULL kept as a level, plus missing and distinct counts; ``top`` keeps the first."""
     counts = level_counts(df, columns)

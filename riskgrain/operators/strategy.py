@@ -19,7 +19,6 @@ BRIER_RISE = 0.02
 ABSOLUTE_BIAS = 0.03
 RECALL_DROP = 0.10
 
-FAMILIES = ("financial_history_coverage", "external_score_coverage", "age_band", "gender_audit")
 
 
 def subgroup_columns() -> dict[str, Column]:

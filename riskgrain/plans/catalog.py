@@ -646,6 +646,11 @@ register(
         f"FROM (SELECT *, if(n < {_SUPPORT}, '[rare levels]', ifnull(value, '[missing]')) AS level FROM long_levels) GROUP BY column_name, level",
         ["target_rate", "rate_difference"]),
 )(lambda s, d: profiling.target_category(_train_app(s, d), APP_TEXT))
+register(
+    "high_missing_columns",
+    sql(["train_app"], "SELECT column_name, missing_count, missing_rate FROM (SELECT column_name, count(*) FILTER (value IS NULL) AS missing_count, count(*) FILTER (value IS NULL) / count(*)::DOUBLE AS missing_rate "
+        f"FROM ({long_texts('train_app', APP_NUMBERS + APP_TEXT)}) GROUP BY column_name) WHERE missing_rate >= {profiling.HIGH_MISSING_SHARE}", ["missing_rate"]),
+)(lambda s, d: profiling.high_missing(_train_app(s, d).select(*APP_NUMBERS, *APP_TEXT)))
 register(
     "near_constant",
     sql(["train_app"], f"SELECT column_name, ifnull(value, '(missing)') AS dominant_value, n, n / total::DOUBLE AS rate FROM (SELECT *, sum(n) OVER (PARTITION BY column_name) AS total FROM (SELECT column_name, value, count(*) AS n FROM ({long_texts('train_app', ['FLAG_MOBIL', 'REGION_RATING_CLIENT', 'CNT_CHILDREN', *APP_TEXT])}) GROUP BY ALL)) WHERE n / total >= 0.99", ["rate"]),
@@ -983,8 +988,8 @@ def _(s, d):
     train, validation = _parts(s, d)
     return models.compare_experiments(
         [
-            models.Experiment("logistic", _MODEL_ROLES, "linear", models.logistic(iterations=50)),
-            models.Experiment("forest", _MODEL_ROLES, "tree", models.forest(numTrees=10, maxDepth=4, minInstancesPerNode=20)),
+            models.Experiment("logistic", _MODEL_ROLES, "linear", models.logistic()),
+            models.Experiment("forest", _MODEL_ROLES, "tree", models.forest()),
             models.Experiment("boosting", _MODEL_ROLES, "tree", models.boosting(maxIter=5, minInstancesPerNode=20, maxDepth=3)),
         ],
         train, validation,
@@ -994,7 +999,7 @@ def _(s, d):
 @register("logistic_oof")
 def _(s, d):
     train, _ = _parts(s, d)
-    return models.out_of_fold(train, _MODEL_ROLES, {"logistic": models.logistic(iterations=50)}, 3, models.TUNING_SEED)
+    return models.out_of_fold(train, _MODEL_ROLES, {"logistic": models.logistic()}, 3, models.TUNING_SEED)
 
 
 @register("gbt_scores")
@@ -1007,7 +1012,7 @@ def _(s, d):
 @register("source_ablation")
 def _(s, d):
     train, _ = _parts(s, d)
-    table = models.ablation(train, _MODEL_ROLES, models.logistic(iterations=20), 3)
+    table = models.ablation(train, _MODEL_ROLES, models.logistic(), 3)
     return selection.metric_deltas(table, "candidate", "full", ["roc_auc", "pr_auc", "brier_score"])
 
 
@@ -1216,7 +1221,7 @@ def _(s, d):
     train, validation = _parts(s, d)
     fitted = prep.fit(train, _MODEL_ROLES)
     design = cut_lineage(prep.transform(train, fitted, (ID, TARGET)))
-    model = models.logistic(iterations=50)(design)
+    model = models.logistic()(design)
     held = prep.transform(validation, fitted, (ID, TARGET))
     slots = attribution.slot_table(s, fitted.slot_sources)
     raw, _base = attribution.model_attribution(held, model, fitted.output_names, design, ID)
@@ -1312,7 +1317,7 @@ def _(s, d):
 
     train, validation = _parts(s, d)
     fitted = prep.fit(train, _MODEL_ROLES)
-    model = models.logistic(iterations=50)(cut_lineage(prep.transform(train, fitted, (ID, TARGET))))
+    model = models.logistic()(cut_lineage(prep.transform(train, fitted, (ID, TARGET))))
     batch = validation.withColumn("record_id", F.concat(F.lit("r"), F.col(ID)))
     names = list(_MODEL_ROLES.features)
 

@@ -48,14 +48,16 @@ def test_linear_family_scales_by_population_deviation(spark):
     assert v[2]["numeric__X"] == pytest.approx(3 / (2 / 3) ** 0.5) and v[3]["numeric__missingindicator_X"] == 1.0
 
 
-@pytest.mark.parametrize("limit", [prep.BROADCAST_LEVELS, 0])
-def test_rare_levels_pool_and_unseen_pass(spark, monkeypatch, limit):
-    monkeypatch.setattr(prep, "BROADCAST_LEVELS", limit)
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_rare_levels_pool_and_unseen_pass(spark, threshold):
+    """The result does not depend on how Spark joins the rare levels."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     df = spark.createDataFrame([(i, 1.0, k) for i, k in enumerate("AAAAABBC")], "id bigint, X double, KIND string")
     fitted = prep.fit(df, FeatureRoles(("X",), ("KIND",)), "tree", 0.3)
     assert fitted.kept["KIND"] == ("A", "__RARE__")
     held = spark.createDataFrame([(1, 1.0, "A"), (2, 1.0, "B"), (3, 1.0, "C"), (4, 1.0, "Z"), (5, 1.0, None)], "id bigint, X double, KIND string")
     got = {r["id"]: r["KIND"] for r in prep.group_levels(held, fitted).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {1: "A", 2: "__RARE__", 3: "__RARE__", 4: "Z", 5: "__MISSING__"}
 
 
