@@ -159,5 +159,40 @@ m AS (
     row_number() OVER (PARTITION BY page_id ORDER BY len(string_split(h, '.')) DESC, len(p) DESC, v DESC) AS n
   FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT u.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN m ON u.page_id = m.page_id AND n = 1
+""",
+    "op9_ngram_join": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda p: array_to_string(w[p : p + 2], ' ')) END) AS gram FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, k) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.k = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.k AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(k) AS k FROM r GROUP BY doc_id) AS m USING (doc_id)
+""",
+    "op10_line_dedup": """
+WITH RECURSIVE lines AS (
+  SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+u AS (SELECT line, min((doc_id, pos)) AS first FROM lines WHERE regexp_matches(line, '[^ \\t\\r\\x0b\\x0c]') GROUP BY line),
+v AS (SELECT row_number() OVER (ORDER BY first) AS id, line, first FROM u),
+g AS (SELECT DISTINCT id, line[p : p + 7] AS gram FROM (SELECT id, line, unnest(range(1, greatest(len(line) - 6, 2))) AS p FROM v)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM g x JOIN g y ON x.gram = y.gram AND x.id < y.id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, k) AS (SELECT id, id FROM v UNION SELECT r.id, e.b FROM r JOIN e ON r.k = e.a),
+kept AS (SELECT v.line, v.first FROM v JOIN (SELECT id, min(k) AS k FROM r GROUP BY id) AS m USING (id) WHERE v.id = m.k),
+t AS (
+  SELECT lines.doc_id, pos, lines.line, v.line IS NULL OR kept.first = (lines.doc_id, pos) AS stays
+  FROM lines LEFT JOIN v ON lines.line = v.line LEFT JOIN kept ON lines.line = kept.line),
+c AS (
+  SELECT doc_id, count(*) FILTER (NOT coalesce(stays, false)) AS gone, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text
+  FROM t GROUP BY doc_id)
+SELECT doc_id, coalesce(gone, 0)::BIGINT AS n_removed, len(coalesce(c.text, ''))::BIGINT AS n_chars, sha256(coalesce(c.text, '')) AS text_sha256
+FROM documents LEFT JOIN c USING (doc_id)
 """,
 }
