@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 from html.parser import HTMLParser
+from math import exp, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -77,11 +78,15 @@ class _Tree(HTMLParser):
             return
         if tag == "body":
             self._close({"head"}, set())
-        given = {k: v or "" for k, v in attrs}
-        at = len(self.nodes)
-        style = given.get("style", "").replace(" ", "").lower()
-        hidden = "hidden" in given or given.get("aria-hidden", "") == "true" or "display:none" in style or "visibility:hidden" in style
-        names = " ".join(given.get(k, "") for k in ("class", "id", "role", "itemprop"))
+        at, hidden, names = len(self.nodes), False, ""
+        for k, v in attrs:
+            if k in ("class", "id", "role", "itemprop"):
+                names += f" {v or ''}"
+            elif k == "hidden" or k == "aria-hidden" and v == "true":
+                hidden = True
+            elif k == "style":
+                style = (v or "").replace(" ", "").lower()
+                hidden = hidden or "display:none" in style or "visibility:hidden" in style
         self.nodes.append(Node(tag, self.open[-1], names, hidden))
         self.nodes[self.open[-1]].parts.append(at)
         if tag not in VOID:
@@ -132,36 +137,41 @@ def parse(html: str) -> list[Node]:
 def node_features(nodes: list[Node]) -> np.ndarray:
     """nodes x features; sizes of text are those of the whole subtree."""
     n = len(nodes)
-    text, linked, marks, own = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    text, linked, marks, own = ([0.0] * n for _ in range(4))
     for k in range(n - 1, -1, -1):
         node = nodes[k]
-        if node.tag not in RAW:
-            for p in node.parts:
-                if isinstance(p, str):
-                    text[k] += len(p.strip())
-                    marks[k] += p.count(".") + p.count("!") + p.count("?")
-        own[k] = text[k] - sum(text[p] for p in node.parts if not isinstance(p, str))
+        if node.tag in RAW:
+            continue
+        for p in node.parts:
+            if isinstance(p, str):
+                own[k] += len(p.strip())
+                marks[k] += p.count(".") + p.count("!") + p.count("?")
+        text[k] += own[k]
         if node.tag in ("a", "button", "label"):
             linked[k] = text[k]
-        if node.parent >= 0 and node.tag not in RAW:
+        if k:
             text[node.parent] += text[k]
             linked[node.parent] += linked[k]
             marks[node.parent] += marks[k]
-    out = np.zeros((n, len(FEATURES)))
-    under, good = np.zeros(n, bool), np.zeros(n, bool)
+    out: list[tuple[float, ...]] = []
+    under, good = [False] * n, [False] * n
     for k, node in enumerate(nodes):
         share = linked[k] / text[k] if text[k] else 0.0
         own_bad = bool(node.names) and bool(_BAD_WORDS.search(node.names))
-        above = node.parent
-        good[k] = above >= 0 and bool(good[above] or out[above, 3] or out[above, 4])
+        if k:
+            above = out[node.parent]
+            good[k] = good[node.parent] or bool(above[3] or above[4])
+            under[k] = under[node.parent] or bool(above[1] or above[2] or above[6])
         bad_tag = node.tag in _BAD_TAGS and not (node.tag == "header" and good[k])  # an article's own header
-        under[k] = above >= 0 and bool(under[above] or out[above, 1] or out[above, 2] or out[above, 6])
-        out[k] = (
-            1.0, bad_tag, own_bad, node.tag in _GOOD_TAGS,
-            bool(node.names) and not own_bad and bool(_GOOD_WORDS.search(node.names)), node.tag in _TEXT_TAGS, node.hidden or node.tag in RAW,
-            min(np.log1p(text[k]), 8.0) / 8, share, min(marks[k] / max(text[k] / 100, 1), 3.0) / 3, node.tag in ("ul", "ol") and share > 0.6, k == 0, min(np.log1p(max(own[k], 0.0)), 8.0) / 8, k == 0 and own[k] > 0, under[k],
+        good_name = bool(node.names) and not own_bad and bool(_GOOD_WORDS.search(node.names))
+        out.append(
+            (
+                1.0, bad_tag, own_bad, node.tag in _GOOD_TAGS, good_name, node.tag in _TEXT_TAGS, node.hidden or node.tag in RAW,
+                min(log1p(text[k]), 8.0) / 8, share, min(marks[k] / max(text[k] / 100, 1), 3.0) / 3, node.tag in ("ul", "ol") and share > 0.6, k == 0,
+                min(log1p(own[k]), 8.0) / 8, k == 0 and own[k] > 0, under[k],
+            )
         )
-    return out
+    return np.array(out, float)
 
 
 @dataclass(frozen=True)
@@ -174,23 +184,30 @@ class TreeModel:
     def marginals(self, nodes: list[Node], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Marginals of content per node, of both states per edge (by child), and the log partition function."""
         n = len(nodes)
-        parent = np.array([node.parent for node in nodes])
-        local = np.column_stack([np.zeros(n), x @ self.weight])
-        up = local.copy()  # node potential and messages of the children
-        message = np.zeros((n, 2))
+        parent = [node.parent for node in nodes]
+        (e00, e01), (e10, e11) = self.edge.tolist()
+        # upward: a node's potential and the messages of its children, for either state
+        up0, up1 = [0.0] * n, (x @ self.weight).tolist()
+        to0, to1 = [0.0] * n, [0.0] * n
         for k in range(n - 1, 0, -1):
-            both = self.edge + up[k][None, :]
-            message[k] = np.logaddexp(both[:, 0], both[:, 1])
-            up[parent[k]] += message[k]
-        z = float(np.logaddexp(up[0, 0], up[0, 1]))
-        belief = up.copy()
-        pair = np.zeros((n, 2, 2))
+            to0[k], to1[k] = _log_add(e00 + up0[k], e01 + up1[k]), _log_add(e10 + up0[k], e11 + up1[k])
+            up0[parent[k]] += to0[k]
+            up1[parent[k]] += to1[k]
+        z = _log_add(up0[0], up1[0])
+        # downward: what the rest of the tree says to each node
+        own0, own1, rest0, rest1 = up0[:], up1[:], [0.0] * n, [0.0] * n
         for k in range(1, n):
-            rest = belief[parent[k]] - message[k]
-            joint = rest[:, None] + self.edge + up[k][None, :]
-            pair[k] = np.exp(joint - z)
-            belief[k] = up[k] + np.logaddexp(rest[0] + self.edge[0], rest[1] + self.edge[1])
-        return np.exp(belief[:, 1] - z), pair, z
+            rest0[k], rest1[k] = own0[parent[k]] - to0[k], own1[parent[k]] - to1[k]
+            own0[k] = up0[k] + _log_add(rest0[k] + e00, rest1[k] + e10)
+            own1[k] = up1[k] + _log_add(rest0[k] + e01, rest1[k] + e11)
+        rest, up = np.array([rest0, rest1]).T, np.array([up0, up1]).T
+        pair = np.exp(rest[:, :, None] + self.edge + up[:, None, :] - z)
+        pair[0] = 0.0
+        return np.exp(np.array(own1) - z), pair, z
+
+
+def _log_add(a: float, b: float) -> float:
+    return a + log1p(exp(b - a)) if a > b else b + log1p(exp(a - b))
 
 
 def blocks(nodes: list[Node], content: np.ndarray) -> list[str]:
