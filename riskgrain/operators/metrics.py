@@ -185,8 +185,12 @@ def evaluate(scored: DataFrame, keys: Sequence[str] = (), **options) -> DataFram
     sound = y.isin(0, 1) & finite(s) & s.between(0, 1)
     for k in keys:
         sound = sound & F.col(k).isNotNull()
-    broken = F.raise_error(F.lit("score contract broken: labels are 0 or 1, scores in [0, 1], groups not NULL")).cast("int")
-    checked = scored.withColumn(label, F.when(F.coalesce(sound, F.lit(False)), y.cast("int")).otherwise(broken))
+    sound = F.coalesce(sound, F.lit(False))
+    broken = F.raise_error(F.lit("score contract broken: labels are 0 or 1, scores in [0, 1], groups not NULL"))
+    # on every column that is read, so that no filter can drop a bad row before it is seen
+    checked = scored.withColumns(
+        {c: F.when(sound, F.col(c)).otherwise(broken.cast(scored.schema[c].dataType)) for c in (label, score, *keys)}
+    )
     return binary_metrics(score_curve(checked, keys, label, score), keys, **options)
 
 

@@ -78,11 +78,11 @@ def blake_key(seed: int, person: bytes, id_column: str = ID) -> Column:
 
 
 def class_ranks(
-    customers: DataFrame, key: Column, id_column: str = ID, target: str = TARGET
+    customers: DataFrame, key: Column, id_column: str = ID, target: str = TARGET, hex_digits: int = 3
 ) -> DataFrame:
-    """Rank each row inside its class by (key, id); three hex digits cut 4,096 even buckets."""
+    """Rank each row inside its class by (key, id); ``hex_digits`` of the key cut 16 ** hex_digits even buckets."""
     keyed = customers.select(id_column, target, key.alias("_key"))
-    cut = keyed.withColumn("_hash_bucket", F.substring("_key", 1, 3))
+    cut = keyed.withColumn("_hash_bucket", F.substring("_key", 1, hex_digits))
     return bucketed_row_number(cut, "_hash_bucket", ["_key", id_column], [target]).select(
         id_column, target, "rank"
     )

@@ -449,10 +449,10 @@ def _(s, d):
 @register(
     "duplicate_rows",
     sql([], "SELECT sum(n)::BIGINT AS row_count, sum(n - 1)::BIGINT AS duplicate_count, count(*) FILTER (n > 1) AS duplicated_groups "
-        "FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag, l_linestatus)"),
+        "FROM (SELECT *, count(*) AS n FROM lineitem GROUP BY ALL)"),
 )
 def _(s, d):
-    return quality.duplicate_rows(rolemap.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus"))
+    return quality.duplicate_rows(rolemap.table(s, d, "lineitem"))
 
 
 @register(
@@ -464,6 +464,14 @@ def _(s, d):
     return quality.primary_key(rolemap.bureau(s, d), ID)
 
 
+@register(
+    "loan_customer_dependency",
+    sql(["inst"], "SELECT count(*) AS key_count, count(*) FILTER (k > 1) AS violating_keys FROM (SELECT count(DISTINCT SK_ID_CURR) AS k FROM inst WHERE SK_ID_PREV IS NOT NULL GROUP BY SK_ID_PREV)"),
+)
+def _(s, d):
+    return quality.dependency_violations(rolemap.installments(s, d), "SK_ID_PREV", "SK_ID_CURR")
+
+
 @register(
     "functional_dependency",
     sql([], "SELECT count(*) AS key_count, count(*) FILTER (k > 1) AS violating_keys FROM (SELECT count(DISTINCT l_suppkey) AS k FROM lineitem GROUP BY l_partkey)"),

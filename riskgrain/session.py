@@ -50,8 +50,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def default_buckets(spark: SparkSession) -> int:
-    """How many pieces to cut a global order into: one per shuffle partition, bounded."""
-    return max(2, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    """How many pieces to cut a global order into: one per shuffle partition."""
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
