@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.llm.common import mix, settle, small_batches, spans_hash, text_pieces
+from riskgrain.llm.common import mix, small_batches, spans_hash, text_pieces
 
 #: Bytes of text in one block.
 BLOCK_BYTES = 4 << 20
@@ -157,7 +157,9 @@ def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
     ``tokenizer_json`` is the text of a tokenizers file with byte-level BPE, without a decoder: pieces are joined by one
     space. Special tokens in a text are recognised, none are added. Null counts as empty and gives no ids. Blocks are
     bounded by ``block_bytes`` (one longer text is a block), buckets of distinct words hold about a block's words each,
-    and equal blocks share their words, so no key, copy or common word piles up.
+    and equal blocks share their words, so no key, copy or common word piles up. The split runs once for the words and
+    once for the texts; blocks are named by their content, and if a source gave its rows in another order the second
+    time, the words of a block would be missing and the job fails instead of giving wrong ids. A file scan never does.
     """
     small_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext
@@ -165,7 +167,7 @@ def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
     pieces = sc.broadcast(dict(piece_table(tokenizer_json)))  # bounded by the vocabulary
     size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    split = settle(_split_blocks(df, key, text, spec, buckets, block_bytes))
+    split = _split_blocks(df, key, text, spec, buckets, block_bytes)
 
     def encode(rows):
         lists = [_unpack(p.as_py()) for p in rows.column("payload")]

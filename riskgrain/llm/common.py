@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from riskgrain.session import shared_folder
 
 #: Text bytes worked on at once inside a task; one longer text is one piece.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Any fixed odd multiplier serves; hashes must only agree between tasks.
 _BASE = 0x9E3779B97F4A7C55
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -65,7 +65,7 @@ def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.table(name), drop
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows of an Arrow batch for this session, so that whole long texts fit a task's memory.
 
     A session that already asks for fewer keeps its setting.

@@ -19,7 +19,7 @@ BANDS, ROWS = 8, 4
 #: Characters hashed at once, so that the work stays in the processor's cache.
 _RUN = 1 << 15
 #: Lines a task remembers to have met.
-_REMEMBERED = 500_000
+_REMEMBERED = 100_000
 
 _U = np.uint64
 

@@ -22,7 +22,7 @@ from riskgrain.llm.common import settle
 from riskgrain.llm.components import components
 
 #: Hubs of a bucket in the successive rounds of pairs.
-HUB_ROUNDS = (1, 4)
+HUB_ROUNDS = (3,)
 #: Members of a bucket compared as pairs, and of one block of a larger bucket.
 SMALL, BLOCK = 32, 256
 
