@@ -67,8 +67,8 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), base="base_spans", spans="all_spans")
     named = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, sha_hex(named("base_spans")).alias("base_sha256"), named("all_spans").alias("spans"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), sha_hex(named("base_spans")).alias("base_sha256"), named("all_spans").alias("spans"))
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

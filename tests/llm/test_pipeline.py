@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import corpus_pipeline
@@ -9,7 +10,7 @@ from riskgrain.llm import line_dedup, quality
 from riskgrain.llm.common import settle, table
 from riskgrain.llm.queries import QUERIES, tokenizer_json
 from tests.llm.test_link_operators import brute_links, gram_sets, roots
-from tests.llm.test_text_operators import brute_hits
+from tests.llm.test_text_operators import PATTERNS, brute_hits
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -83,3 +84,14 @@ def test_quality_on_the_held_out_fold(spark):
     scored = QUERIES["op3_quality"](spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "labels"), "doc_id")
     rows = scored.where("held_out").select("predicted", "quality").collect()
     assert len(rows) > 50 and sum(r["predicted"] == r["quality"] for r in rows) / len(rows) > 0.97
+
+
+def test_pii_query_equals_the_patterns(spark):
+    texts = {r["doc_id"]: r["text"] or "" for r in table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    for r in QUERIES["op7_pii"](spark, "/root/testdata/sf0.01").collect():
+        t = texts[r["doc_id"]]
+        spans = [(k, m.start(), m.end()) for k, p, ok in PATTERNS for m in p.finditer(t) if ok(m.group())]
+        shown = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k, _, _ in PATTERNS] == [sum(s[0] == k for s in spans) for k, _, _ in PATTERNS]
+        assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(r["spans"].split(",")) | {""}
