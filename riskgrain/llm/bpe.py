@@ -41,16 +41,22 @@ def _plain_pattern() -> re.Pattern[str]:
 class Splitter:
     """Splits whole texts into the words that the tokenizer encodes one by one."""
 
-    def __init__(self, spec: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(spec)
-        added = [t["content"] for t in json.loads(spec)["added_tokens"]]
+    def __init__(self, spec: str, added: list[str]) -> None:
+        self.spec, self._tokenizer = spec, None
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.marks = {t[:2] for t in added}
         self.plain, self.beyond = _plain_pattern(), re.compile(f"[^\0-{re.escape(chr(_PLAIN - 1))}]")
         self.bytes_back = {v: k for k, v in _byte_letters().items()}
 
+    @property
+    def tokenizer(self):
+        """Only texts beyond the plain code points need it."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_str(self.spec)
+        return self._tokenizer
+
     def _segment(self, text: str) -> list[str]:
         if not self.beyond.search(text):
             return self.plain.findall(text.lower())
@@ -73,17 +79,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def encode_words(words: list[str], spec: str) -> list[list[int]]:
-    """The ids of each word; ``spec`` is the tokenizer's JSON."""
-    import os
+def added_tokens(spec: str) -> dict[str, int]:
+    return {t["content"]: t["id"] for t in json.loads(spec)["added_tokens"]}
 
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def word_tokenizer_json(spec: str) -> str:
+    """The tokenizer for single words: they are normalised and split already, and cannot hold a special token."""
     parts = json.loads(spec)
-    added = {t["content"]: t["id"] for t in parts["added_tokens"]}
-    # words are normalised and split already, and cannot hold a special token
-    tokenizer = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None}))
+    return json.dumps(parts | {"normalizer": None, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None})
+
+
+def encode_words(words: list[str], tokenizer, added: dict[str, int]) -> list[list[int]]:
+    """The ids of each word, by a tokenizer for single words."""
     own = [w for w in words if w[:1] != _SPECIAL or w[1:] not in added]
     ids = iter(tokenizer.encode_batch_fast(own, add_special_tokens=False))
     return [[added[w[1:]]] if w[:1] == _SPECIAL and w[1:] in added else next(ids).ids for w in words]
@@ -116,7 +123,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()[:1]
 
 
-def _split_blocks(df: DataFrame, key: str, text: str, spec, buckets: int, block_bytes: int) -> DataFrame:
+def _split_blocks(df: DataFrame, key: str, text: str, spec, added: dict[str, int], buckets: int, block_bytes: int) -> DataFrame:
     """(block, bucket, payload, keys, codes): the distinct words of a block by hash bucket, and its texts as positions.
 
     Rows with a bucket hold packed words of that bucket; rows without hold texts. A position counts the block's words
@@ -126,7 +133,7 @@ def _split_blocks(df: DataFrame, key: str, text: str, spec, buckets: int, block_
     schema = T.StructType([*kind.fields, T.StructField("key", df.schema[key].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(spec.value)
+        splitter = Splitter(spec.value, list(added))
         for b in _gathered(batches, block_bytes):
             keys, texts = b.column(0), b.column(1)
             for x, y, data, offsets in text_pieces(texts, block_bytes):
@@ -167,13 +174,23 @@ def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
     pieces = sc.broadcast(dict(piece_table(tokenizer_json)))  # bounded by the vocabulary
     size = df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    split = _split_blocks(df, key, text, spec, buckets, block_bytes)
+    added = added_tokens(tokenizer_json)
+    words_spec = sc.broadcast(word_tokenizer_json(tokenizer_json))
+    split = _split_blocks(df, key, text, spec, added, buckets, block_bytes)
+    held: dict = {}  # a task's tokenizer, built once for all its buckets
 
     def encode(rows):
         lists = [_unpack(p.as_py()) for p in rows.column("payload")]
         distinct = sorted(set().union(*lists))
         number = {w: k for k, w in enumerate(distinct)}
-        ids = encode_words(distinct, spec.value)
+        if not held:
+            import os
+
+            from tokenizers import Tokenizer
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            held["words"] = Tokenizer.from_str(words_spec.value)
+        ids = encode_words(distinct, held["words"], added)
         flat = np.fromiter((i for x in ids for i in x), np.uint32)
         lengths = np.array([len(x) for x in ids], np.int64)
         begin = np.cumsum(lengths) - lengths

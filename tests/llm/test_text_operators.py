@@ -44,7 +44,7 @@ def test_bpe_equals_the_tokenizer(spark):
 def test_bpe_words_match_the_pre_tokenizer_below_the_plain_limit():
     from tokenizers import Tokenizer
 
-    whole, split = Tokenizer.from_str(tokenizer_json()), bpe.Splitter(tokenizer_json())
+    whole, split = Tokenizer.from_str(tokenizer_json()), bpe.Splitter(tokenizer_json(), list(bpe.added_tokens(tokenizer_json())))
     for c in range(0x300):
         text = "a" + chr(c) + "B1" + chr(c) + "'s"
         pieces = whole.pre_tokenizer.pre_tokenize_str(whole.normalizer.normalize_str(text))
