@@ -182,10 +182,11 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", removed:
     gone = settle(removed_lines(df, key, text, **options).groupBy("key").agg(F.collect_list("at").alias("at")))
     gone = gone.where("key is not null").select(F.col("key").alias(tag), F.col("at").alias(at))
     touched = hash_filter(gone, tag)(key)
-    lines = F.split(F.col(text).cast("string"), "\n", -1)
+    # a column of its own, so that the text is split once and not for every line
+    lines = free_name(df, "gone_lines")
+    joined = df.where(touched).join(gone, F.col(key) == F.col(tag), "left").withColumn(lines, F.split(F.col(text).cast("string"), "\n", -1))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
-    clean = F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n")
-    joined = df.where(touched).join(gone, F.col(key) == F.col(tag), "left")
+    clean = F.array_join(F.transform(kept, lambda k: F.get(F.col(lines), k)), "\n")
     columns = [F.when(F.col(at).isNull(), F.col(c)).otherwise(clean).alias(c) if c == text else F.col(c) for c in df.columns]
     out = joined.select(*columns, F.coalesce(F.size(at), F.lit(0)).cast("long").alias(count))
     out = out.unionByName(df.where(~touched).withColumn(count, F.lit(0).cast("long")))
