@@ -998,7 +998,7 @@ def _(s, d):
         [
             models.Experiment("logistic", _MODEL_ROLES, "linear", models.logistic()),
             models.Experiment("forest", _MODEL_ROLES, "tree", models.forest()),
-            models.Experiment("boosting", _MODEL_ROLES, "tree", models.boosting(maxIter=5, minInstancesPerNode=20, maxDepth=3)),
+            models.Experiment("boosting", _MODEL_ROLES, "tree", models.boosting()),
         ],
         train, validation,
     )
@@ -1013,10 +1013,21 @@ def _(s, d):
 @register("gbt_scores")
 def _(s, d):
     train, validation = _parts(s, d)
-    spec = models.Experiment("boosting", _MODEL_ROLES, "tree", models.boosting(maxIter=5, minInstancesPerNode=20, maxDepth=3))
+    spec = models.Experiment("boosting", _MODEL_ROLES, "tree", models.boosting())
     return models.run_experiment(spec, train, validation)
 
 
+@register("boosting_candidates")
+def _(s, d):
+    """Out-of-fold comparison of the boosting candidates under the selection guards."""
+    train, _ = _parts(s, d)
+    fitters = {k: models.boosting(**options) for k, (_, options) in models.BOOSTING_CANDIDATES.items()}
+    oof = models.out_of_fold(train, _MODEL_ROLES, fitters, models.TUNING_FOLDS, models.TUNING_SEED, "tree")
+    complexity = F.create_map(*[F.lit(x) for k, (o, _) in models.BOOSTING_CANDIDATES.items() for x in (k, o)])
+    scored = models.labelled(oof).withColumn("complexity", complexity[F.col("candidate")])
+    return selection.candidate_checks(metrics.evaluate(scored, ["candidate", "complexity", "fold"]))
+
+
 @register("source_ablation")
 def _(s, d):
     train, _ = _parts(s, d)

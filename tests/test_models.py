@@ -96,6 +96,49 @@ def test_models_learn_and_share_one_metric_contract(spark, learnable):
     assert models.prior_scores(train, validation).select("score").distinct().count() == 1
 
 
+@pytest.fixture
+def small_marts(monkeypatch, spark, learnable):
+    """The catalog's marts V1 to V3 over a few learnable rows, each one column wider."""
+    from riskgrain.plans import catalog
+
+    roles = catalog._MODEL_ROLES
+    split = F.when(F.col("SK_ID_CURR") % 4 == 0, "validation").otherwise("train").alias("SPLIT")
+    mart = learnable.select("SK_ID_CURR", "TARGET", split, *[F.col("B").alias(c) for c in roles.numeric], *[F.col("K").alias(c) for c in roles.categorical])
+    for name in ("_v1", "_v2", "_v3"):
+        monkeypatch.setattr(catalog, name, lambda s, d: mart)
+    return catalog
+
+
+@pytest.fixture
+def boosters(monkeypatch):
+    """The settings that reach the booster, which a plain logistic model stands in for."""
+    from pyspark.ml.classification import LogisticRegression
+
+    seen = []
+
+    def stand_in(featuresCol, labelCol, **settings):
+        seen.append(settings)
+        return LogisticRegression(featuresCol=featuresCol, labelCol=labelCol, maxIter=2)
+
+    monkeypatch.setattr(models, "GBTClassifier", stand_in)
+    return seen
+
+
+def test_registered_boosting_runs_all_rounds(spark, small_marts, boosters, monkeypatch):
+    monkeypatch.setattr(models, "FOREST", {"numTrees": 2, "maxDepth": 2})
+    small_marts.QUERIES["gbt_scores"](spark, "")
+    small_marts.QUERIES["model_comparison"](spark, "")
+    assert len(boosters) >= 2
+    assert all(b == models.BOOSTING | {"seed": 42} for b in boosters)
+
+
+def test_boosting_candidates_meet_the_guards(spark, small_marts, boosters):
+    got = {r["candidate"]: r for r in small_marts.QUERIES["boosting_candidates"](spark, "").collect()}
+    assert {k: r["complexity"] for k, r in got.items()} == {k: o for k, (o, _) in models.BOOSTING_CANDIDATES.items()}
+    assert sum(r["selected"] for r in got.values()) == 1
+    assert boosters == [models.BOOSTING | options | {"seed": 42} for _, options in models.BOOSTING_CANDIDATES.values()] * 3
+
+
 def test_out_of_fold_scores_cover_every_row_once(spark, learnable):
     oof = models.out_of_fold(learnable, MODEL_ROLES, {"m": models.logistic(iterations=20)}, 3, 42)
     r = models.oof_completeness(oof, learnable).first()
