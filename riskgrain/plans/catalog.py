@@ -32,6 +32,7 @@ from riskgrain.schemas import (
     SPLIT,
     TARGET,
     FeatureRoles,
+    resolve_roles,
 )
 from riskgrain.session import cut_lineage, shared_folder
 from riskgrain.sources import rolemap
@@ -951,19 +952,16 @@ def _(s, d):
 
 
 # --- models ----------------------------------------------------------------
-_MODEL_ROLES = FeatureRoles(
-    ("APP_CREDIT_INCOME_RATIO", "APP_AGE_YEARS", "EXT_SOURCE_2", "BUREAU_RECORD_COUNT", "BUREAU_DEBT_SUM", "INST_LATE_RATIO", "INST_PAYMENT_RATIO"),
-    ("NAME_CONTRACT_TYPE", "ORGANIZATION_TYPE"),
-)
-
+def _model_roles(s: SparkSession, d: str) -> dict[str, FeatureRoles]:
+    """All model features of each mart version; only the schemas are looked at."""
+    return {k: resolve_roles(mart(s, d)) for k, mart in (("v1", _v1), ("v2", _v2), ("v3", _v3))}
 
-def _model_rows(s: SparkSession, d: str) -> DataFrame:
-    return cut_lineage(_v3(s, d).select(ID, TARGET, SPLIT, *_MODEL_ROLES.features))
 
-
-def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = _model_rows(s, d)
-    return rows.where(F.col(SPLIT) == "train"), rows.where(F.col(SPLIT) == "validation")
+def _parts(s: SparkSession, d: str) -> tuple[dict[str, FeatureRoles], DataFrame, DataFrame]:
+    """The roles by version, training and validation rows of the widest mart, which opens with the others' columns."""
+    roles = _model_roles(s, d)
+    rows = cut_lineage(_v3(s, d).select(ID, TARGET, SPLIT, *roles["v3"].features))
+    return roles, rows.where(F.col(SPLIT) == "train"), rows.where(F.col(SPLIT) == "validation")
 
 
 register(
@@ -993,36 +991,32 @@ def _(s, d):
 
 @register("model_comparison")
 def _(s, d):
-    train, validation = _parts(s, d)
-    return models.compare_experiments(
-        [
-            models.Experiment("logistic", _MODEL_ROLES, "linear", models.logistic()),
-            models.Experiment("forest", _MODEL_ROLES, "tree", models.forest()),
-            models.Experiment("boosting", _MODEL_ROLES, "tree", models.boosting()),
-        ],
-        train, validation,
-    )
+    roles, train, validation = _parts(s, d)
+    experiments = [models.Experiment(f"logistic_{k}", r, "linear", models.logistic()) for k, r in roles.items()]
+    experiments.append(models.Experiment("forest_v3", roles["v3"], "tree", models.forest()))
+    experiments += [models.Experiment(f"boosting_{k}", r, "tree", models.boosting()) for k, r in roles.items()]
+    return models.compare_experiments(experiments, train, validation)
 
 
 @register("logistic_oof")
 def _(s, d):
-    train, _ = _parts(s, d)
-    return models.out_of_fold(train, _MODEL_ROLES, {"logistic": models.logistic()}, 3, models.TUNING_SEED)
+    roles, train, _ = _parts(s, d)
+    return models.out_of_fold(train, roles["v3"], {"logistic": models.logistic()}, 3, models.TUNING_SEED)
 
 
 @register("gbt_scores")
 def _(s, d):
-    train, validation = _parts(s, d)
-    spec = models.Experiment("boosting", _MODEL_ROLES, "tree", models.boosting())
+    roles, train, validation = _parts(s, d)
+    spec = models.Experiment("boosting", roles["v3"], "tree", models.boosting())
     return models.run_experiment(spec, train, validation)
 
 
 @register("boosting_candidates")
 def _(s, d):
     """Out-of-fold comparison of the boosting candidates under the selection guards."""
-    train, _ = _parts(s, d)
+    roles, train, _ = _parts(s, d)
     fitters = {k: models.boosting(**options) for k, (_, options) in models.BOOSTING_CANDIDATES.items()}
-    oof = models.out_of_fold(train, _MODEL_ROLES, fitters, models.TUNING_FOLDS, models.TUNING_SEED, "tree")
+    oof = models.out_of_fold(train, roles["v3"], fitters, models.TUNING_FOLDS, models.TUNING_SEED, "tree")
     complexity = F.create_map(*[F.lit(x) for k, (o, _) in models.BOOSTING_CANDIDATES.items() for x in (k, o)])
     scored = models.labelled(oof).withColumn("complexity", complexity[F.col("candidate")])
     return selection.candidate_checks(metrics.evaluate(scored, ["candidate", "complexity", "fold"]))
@@ -1030,8 +1024,8 @@ def _(s, d):
 
 @register("source_ablation")
 def _(s, d):
-    train, _ = _parts(s, d)
-    table = models.ablation(train, _MODEL_ROLES, models.logistic(), 3)
+    roles, train, _ = _parts(s, d)
+    table = models.ablation(train, roles["v3"], models.logistic(), 3)
     return selection.metric_deltas(table, "candidate", "full", ["roc_auc", "pr_auc", "brier_score"])
 
 
@@ -1237,8 +1231,8 @@ def _(s, d):
 @register("logistic_attribution")
 def _(s, d):
     """Exact attribution of a fitted logistic model, rolled up from vector slots to features."""
-    train, validation = _parts(s, d)
-    fitted = prep.fit(train, _MODEL_ROLES)
+    roles, train, validation = _parts(s, d)
+    fitted = prep.fit(train, roles["v3"])
     design = cut_lineage(prep.transform(train, fitted, (ID, TARGET)))
     model = models.logistic()(design)
     held = prep.transform(validation, fitted, (ID, TARGET))
@@ -1334,16 +1328,16 @@ def _(s, d):
     """Validate, score with a fitted model, apply the policy; only valid rows are scored."""
     from riskgrain.plans.build import score_batch
 
-    train, validation = _parts(s, d)
-    fitted = prep.fit(train, _MODEL_ROLES)
+    roles, train, validation = _parts(s, d)
+    fitted = prep.fit(train, roles["v3"])
     model = models.logistic()(cut_lineage(prep.transform(train, fitted, (ID, TARGET))))
     batch = validation.withColumn("record_id", F.concat(F.lit("r"), F.col(ID)))
-    names = list(_MODEL_ROLES.features)
+    names = list(roles["v3"].features)
 
     def scorer(valid: DataFrame) -> DataFrame:
         return models.score(model, prep.transform(valid, fitted, ("record_id", *names)), ("record_id", *names))
 
-    specs = records.field_specs(_MODEL_ROLES.numeric, _MODEL_ROLES.categorical)
+    specs = records.field_specs(roles["v3"].numeric, roles["v3"].categorical)
     return score_batch(batch, specs, scorer, {"medium_cutoff": 0.08, "high_cutoff": 0.12}, strict=False)
 
 

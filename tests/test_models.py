@@ -101,11 +101,12 @@ def small_marts(monkeypatch, spark, learnable):
     """The catalog's marts V1 to V3 over a few learnable rows, each one column wider."""
     from riskgrain.plans import catalog
 
-    roles = catalog._MODEL_ROLES
     split = F.when(F.col("SK_ID_CURR") % 4 == 0, "validation").otherwise("train").alias("SPLIT")
-    mart = learnable.select("SK_ID_CURR", "TARGET", split, *[F.col("B").alias(c) for c in roles.numeric], *[F.col("K").alias(c) for c in roles.categorical])
-    for name in ("_v1", "_v2", "_v3"):
-        monkeypatch.setattr(catalog, name, lambda s, d: mart)
+    v1 = learnable.select("SK_ID_CURR", "TARGET", split, "A", "K")
+    v2 = v1.withColumn("BUREAU_B", F.col("A") + F.col("SK_ID_CURR") % 3)
+    v3 = v2.join(learnable.select("SK_ID_CURR", F.col("B").alias("INST_B")), "SK_ID_CURR")
+    for name, mart in (("_v1", v1), ("_v2", v2), ("_v3", v3)):
+        monkeypatch.setattr(catalog, name, lambda s, d, mart=mart: mart)
     return catalog
 
 
@@ -132,6 +133,20 @@ def test_registered_boosting_runs_all_rounds(spark, small_marts, boosters, monke
     assert all(b == models.BOOSTING | {"seed": 42} for b in boosters)
 
 
+def test_models_take_all_features_of_their_mart(spark, small_marts, boosters, monkeypatch):
+    monkeypatch.setattr(models, "FOREST", {"numTrees": 2, "maxDepth": 2})
+    fits, whole = [], prep.fit
+    monkeypatch.setattr(prep, "fit", lambda train, roles, *a: fits.append(set(roles.features)) or whole(train, roles, *a))
+    v1, v2, v3 = {"A", "K"}, {"A", "K", "BUREAU_B"}, {"A", "K", "BUREAU_B", "INST_B"}
+    names = {r["model"] for r in small_marts.QUERIES["model_comparison"](spark, "").collect()}
+    assert names == {"logistic_v1", "logistic_v2", "logistic_v3", "forest_v3", "boosting_v1", "boosting_v2", "boosting_v3"}
+    assert fits == [v1, v2, v3, v3, v1, v2, v3]
+    fits.clear()
+    for name in ("logistic_oof", "gbt_scores", "logistic_attribution", "batch_scoring"):
+        small_marts.QUERIES[name](spark, "")
+    assert fits and all(f == v3 for f in fits)
+
+
 def test_boosting_candidates_meet_the_guards(spark, small_marts, boosters):
     got = {r["candidate"]: r for r in small_marts.QUERIES["boosting_candidates"](spark, "").collect()}
     assert {k: r["complexity"] for k, r in got.items()} == {k: o for k, (o, _) in models.BOOSTING_CANDIDATES.items()}
