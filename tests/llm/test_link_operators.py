@@ -227,6 +227,22 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_isolated_pairs_with_the_production_bands(spark):
+    rng = np.random.default_rng(21)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = []
+    for _ in range(1500):
+        n = int(rng.integers(79, 108))
+        line = "".join(rng.choice(letters, n))
+        k = int(rng.integers(8, n - 8))
+        other = line[:k] + "#" + line[k + 1 :]
+        a, b = line_dedup._shingles(line, 8), line_dedup._shingles(other, 8)
+        assert 0.8 <= len(a & b) / len(a | b) < 0.86
+        texts += [line, other]
+    got = line_dedup.dedup_lines(documents(spark, texts), removed="gone").select("doc_id", "gone").collect()
+    assert {r["doc_id"] for r in got if r["gone"]} == set(range(1, len(texts), 2))
+
+
 def test_line_signatures_estimate_similarity():
     rng = np.random.default_rng(13)
     a = "".join(rng.choice(list("abcdefghijklmnop"), 400))
