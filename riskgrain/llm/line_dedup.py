@@ -146,11 +146,11 @@ def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(key, at): every line that a similar, or a chain of similar, earlier line makes redundant.
+    """(key, at, node): every line, by place and hash, that a similar, or a chain of similar, earlier line makes redundant.
 
     Lines are the pieces between ``\\n``. Two lines are similar when the Jaccard similarity of their sets of ``shingle``
     characters is at least ``similarity`` (a shorter line is one shingle); equal lines always are. Of each component the
-    line with the smallest (key, position) stays. Lines of white space only take no part. Equal lines are told by a
+    line with the smallest (key, position, hash) stays. Lines of white space only take no part. Equal lines are told by a
     64-bit hash, unequal ones found through ``bands`` x ``rows`` MinHash values: by default one pair in 4,500 at
     similarity 0.8 shares no band and is missed unless other lines connect it, one in 200,000 at 0.85.
     """
@@ -164,31 +164,35 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     labels = connect(members, sets, similarity, 0.0, lambda pairs: verify_pairs(pairs, sets, similarity))
     drop()
     slim = settle(occurrences.select("key", "at", "node"))
-    first = slim.groupBy("node").agg(F.min(F.struct("key", "at")).alias("first"), F.count("*").alias("copies"))
+    first = slim.groupBy("node").agg(F.min(F.struct("key", "at", "node")).alias("first"), F.count("*").alias("copies"))
     first = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = first.groupBy("component").agg(F.min("first").alias("kept"), F.sum("copies").alias("copies"))
     kept = first.select("node", "component").join(whole.where("copies > 1"), "component").select("node", "kept")
-    gone = slim.join(kept, "node").where(~F.struct("key", "at").eqNullSafe(F.col("kept")))
-    return gone.select("key", "at").distinct()
+    gone = slim.join(kept, "node").where(~F.struct("key", "at", "node").eqNullSafe(F.col("kept")))
+    return gone.select("key", "at", "node").distinct()
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", removed: str | None = None, **options) -> DataFrame:
     """``df`` with the redundant lines taken out of each text, other columns and text without such lines unchanged.
 
     ``removed`` names a new column with the number of lines taken out. A text that loses all its lines becomes empty;
-    null stays null. Rows of one key are one document: the same lines leave each of them. Rows with a null key lose
-    nothing but their lines still count as copies of others... they come first in the order of keys.
+    null stays null. Of rows with one key each loses only lines that stand in its own text; equal lines at one place in
+    such rows cannot be told apart and stay or go together. Rows with a null key lose nothing but their lines still count as copies of others... they come first in the order of keys.
     """
     count, at, tag = free_name(df, removed or "n_removed"), free_name(df, "gone_at"), free_name(df, "gone_key")
-    gone = settle(removed_lines(df, key, text, **options).groupBy("key").agg(F.collect_list("at").alias("at")))
+    gone = settle(removed_lines(df, key, text, **options).groupBy("key").agg(F.collect_list(F.struct("at", "node")).alias("at")))
     gone = gone.where("key is not null").select(F.col("key").alias(tag), F.col("at").alias(at))
     touched = hash_filter(gone, tag)(key)
     # a column of its own, so that the text is split once and not for every line
     lines = free_name(df, "gone_lines")
     joined = df.where(touched).join(gone, F.col(key) == F.col(tag), "left").withColumn(lines, F.split(F.col(text).cast("string"), "\n", -1))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
-    clean = F.array_join(F.transform(kept, lambda k: F.get(F.col(lines), k)), "\n")
+    # strings, which array_except compares by hash
+    name = lambda k, node: F.concat_ws(":", k, node)
+    own = F.transform(F.col(lines), lambda x, k: name(k, F.xxhash64(x)))
+    kept = F.array_except(own, F.transform(F.col(at), lambda x: name(x["at"], x["node"])))
+    joined = joined.withColumn(at, F.when(F.col(at).isNotNull(), kept))
+    clean = F.array_join(F.transform(F.col(at), lambda k: F.get(F.col(lines), F.substring_index(k, ":", 1).cast("int"))), "\n")
     columns = [F.when(F.col(at).isNull(), F.col(c)).otherwise(clean).alias(c) if c == text else F.col(c) for c in df.columns]
-    out = joined.select(*columns, F.coalesce(F.size(at), F.lit(0)).cast("long").alias(count))
+    out = joined.select(*columns, F.coalesce(F.size(lines) - F.size(at), F.lit(0)).cast("long").alias(count))
     out = out.unionByName(df.where(~touched).withColumn(count, F.lit(0).cast("long")))
     return out if removed else out.drop(count)

@@ -243,6 +243,13 @@ def test_line_dedup_finds_isolated_pairs_with_the_production_bands(spark):
     assert {r["doc_id"] for r in got if r["gone"]} == set(range(1, len(texts), 2))
 
 
+def test_line_dedup_keeps_unique_lines_of_repeated_keys(spark):
+    df = documents(spark, ["a line that comes first", "x", "x"]).where("doc_id = 0")
+    twice = documents(spark, ["a unique line\na line that comes first", "a line that comes first\nanother unique line", None]).withColumn("doc_id", F.lit(5).cast("long"))
+    got = line_dedup.dedup_lines(df.unionByName(twice), removed="gone").select("text", "gone").collect()
+    assert len(got) == 4 and {tuple(r) for r in got} == {("a line that comes first", 0), ("a unique line", 1), ("another unique line", 1), (None, 0)}
+
+
 def test_line_signatures_estimate_similarity():
     rng = np.random.default_rng(13)
     a = "".join(rng.choice(list("abcdefghijklmnop"), 400))
