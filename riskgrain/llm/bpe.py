@@ -123,21 +123,33 @@ def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()[:1]
 
 
+def _block_name(data: np.ndarray, offsets: np.ndarray, place: int) -> np.int64:
+    """A hash of a block's bytes, row boundaries and place."""
+    bounds = np.ascontiguousarray(offsets - offsets[0], np.int64).view(np.uint8)
+    h = np.array([place], np.uint64)
+    for part in (data, bounds):
+        h = mix(mix(h) ^ spans_hash(part, np.array([0]), np.array([len(part)])))
+    return h.view(np.int64)[0]
+
+
 def _split_blocks(df: DataFrame, key: str, text: str, spec, added: dict[str, int], buckets: int, block_bytes: int) -> DataFrame:
     """(block, bucket, payload, keys, codes): the distinct words of a block by hash bucket, and its texts as positions.
 
     Rows with a bucket hold packed words of that bucket; rows without hold texts. A position counts the block's words
-    bucket by bucket. Blocks are named by their content, so a repeated task or block gives the same rows.
+    bucket by bucket. Blocks are named by their place (partition and order in it) together with their content, so a
+    repeated task gives the same rows and equal blocks stay apart.
     """
     kind = T.StructType.fromDDL("block bigint, bucket int, payload binary")
     schema = T.StructType([*kind.fields, T.StructField("key", df.schema[key].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(spec.value, list(added))
+        splitter, ordinal = Splitter(spec.value, list(added)), 0
         for b in _gathered(batches, block_bytes):
             keys, texts = b.column(0), b.column(1)
+            place = b.column(2)[0].as_py() << 32
             for x, y, data, offsets in text_pieces(texts, block_bytes):
-                name = mix(spans_hash(data, np.array([0]), np.array([len(data)])) ^ np.uint64(y - x)).view(np.int64)[0]
+                name = _block_name(data, offsets, place + ordinal)
+                ordinal += 1
                 seen: dict[str, int] = {}
                 codes = []
                 for t in texts[x:y]:
@@ -146,16 +158,17 @@ def _split_blocks(df: DataFrame, key: str, text: str, spec, added: dict[str, int
                 words = list(seen)
                 bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), np.int64, len(words))
                 order = np.argsort(bucket, kind="stable")
-                place = np.empty(len(words), np.uint32)
-                place[order] = np.arange(len(words), dtype=np.uint32)
+                spot = np.empty(len(words), np.uint32)
+                spot[order] = np.arange(len(words), dtype=np.uint32)
                 used, begin = np.unique(bucket[order], return_index=True)
                 packed = [_pack([words[k] for k in part]) for part in np.split(order, begin[1:])] if len(words) else []
                 none = pa.nulls(len(used), keys.type)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), name)), pa.array(used, pa.int32()), pa.array(packed, pa.binary()), none], names=schema.names)
-                shown = [zlib.compress(place[c].tobytes(), 1) if len(c) else b"" for c in codes]
+                shown = [zlib.compress(spot[c].tobytes(), 1) if len(c) else b"" for c in codes]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(y - x, name)), pa.nulls(y - x, pa.int32()), pa.array(shown, pa.binary()), keys.slice(x, y - x)], names=schema.names)
 
-    return df.select(key, text).mapInArrow(run, schema)
+    # as a column: a task of the union below would count its partitions otherwise
+    return df.select(key, text, F.spark_partition_id()).mapInArrow(run, schema)
 
 
 def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -164,9 +177,10 @@ def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
     ``tokenizer_json`` is the text of a tokenizers file with byte-level BPE, without a decoder: pieces are joined by one
     space. Special tokens in a text are recognised, none are added. Null counts as empty and gives no ids. Blocks are
     bounded by ``block_bytes`` (one longer text is a block), buckets of distinct words hold about a block's words each,
-    and equal blocks share their words, so no key, copy or common word piles up. The split runs once for the words and
-    once for the texts; blocks are named by their content, and if a source gave its rows in another order the second
-    time, the words of a block would be missing and the job fails instead of giving wrong ids. A file scan never does.
+    and every block is a group of its own however many equal ones there are, so no key, copy or common word piles up.
+    The split runs once for the words and once for the texts; blocks are named by their place and content, and if a
+    source gave its rows in another order or partition the second time, the words of a block would be missing and the
+    job fails instead of giving wrong ids. A file scan never does.
     """
     small_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext

@@ -41,6 +41,28 @@ def test_bpe_equals_the_tokenizer(spark):
     assert empty.columns == ["doc_id", "ids", "decoded"] and empty.count() == 0
 
 
+def test_bpe_keeps_equal_blocks_apart(spark):
+    spec = tokenizer_json()
+    rows = [(k, t) for k, t in enumerate(["the same text again " * 5] * 300 + [None, ""] * 300)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3), "doc_id bigint, text string")
+    blocks = bpe._split_blocks(df, "doc_id", "text", spark.sparkContext.broadcast(spec), bpe.added_tokens(spec), 4, 1000)
+    sizes = [r["count"] for r in blocks.where("bucket is null").groupBy("block").count().collect()]
+    # a block has 1000 bytes of text; without text it is the rows of a batch
+    assert sum(sizes) == len(rows) and sum(n <= 10 for n in sizes) >= 30 and max(sizes) <= 256
+    got = bpe.encode_decode(df, spec, block_bytes=1000)
+    assert got.count() == len(rows) and got.select("ids").distinct().count() == 2
+
+
+def test_bpe_tells_blocks_with_other_row_boundaries_apart(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["alpha beta", "gamma delta", "alpha bet", "agamma delta"]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), 2), "doc_id bigint, text string")
+    whole = Tokenizer.from_str(tokenizer_json())
+    got = {r["doc_id"]: list(r["ids"]) for r in bpe.encode_decode(df, tokenizer_json()).collect()}
+    assert got == {k: whole.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
+
+
 def test_bpe_words_match_the_pre_tokenizer_below_the_plain_limit():
     from tokenizers import Tokenizer
 
