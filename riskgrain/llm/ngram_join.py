@@ -91,6 +91,12 @@ def needed_overlap(a, b, share: float):
     return np.ceil(share / (1 + share) * (a + b) - 1e-9).astype(np.int64)
 
 
+def _digests(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One hash of each row's set."""
+    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g))))
+    return mix((running[bounds[1:]] - running[bounds[:-1]]) ^ mix(np.diff(bounds).astype(np.uint64)))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -109,8 +115,7 @@ def prefixes(df: DataFrame, key: str, text: str, size: int, share: float, sent,
             for _, _, data, offsets in text_pieces(b.column(1)):
                 g, bounds = _sets(data, offsets, size)
                 sizes = np.diff(bounds)
-                running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g))))
-                digest = mix((running[bounds[1:]] - running[bounds[:-1]]) ^ mix(sizes.astype(np.uint64)))
+                digest = _digests(g, bounds)
                 ordered = _ordered(g, bounds, common, bits)
                 keep = np.where(sizes > 0, sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1, 0)
                 row = np.repeat(np.arange(len(sizes)), keep)
@@ -130,20 +135,21 @@ def prefixes(df: DataFrame, key: str, text: str, size: int, share: float, sent,
     return df.select(key, text).mapInArrow(run, f"key {kind}, n bigint, node bigint, prefix array<bigint>")
 
 
-def ordered_sets(df: DataFrame, node: str, text: str, size: int, sent, bits: int) -> DataFrame:
-    """(node, grams): the whole ordered set of each row, as packed 64-bit hashes."""
+def ordered_sets(df: DataFrame, text: str, size: int, sent, bits: int) -> DataFrame:
+    """(node, grams): the digest of each row's set and the whole ordered set, as packed 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sent.value
         for b in batches:
-            packed = []
-            for _, _, data, offsets in text_pieces(b.column(1)):
+            node, packed = [np.zeros(0, np.uint64)], []
+            for _, _, data, offsets in text_pieces(b.column(0)):
                 g, bounds = _sets(data, offsets, size)
+                node.append(_digests(g, bounds))
                 g = _ordered(g, bounds, common, bits)
                 packed += [g[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["node", "grams"])
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(node)), pa.array(packed, pa.binary())], names=["node", "grams"])
 
-    return df.select(node, text).mapInArrow(run, "node bigint, grams binary")
+    return df.select(text).mapInArrow(run, "node bigint, grams binary")
 
 
 def trie_matches(probe: np.ndarray, sets: list[np.ndarray], share: float) -> np.ndarray:
@@ -215,10 +221,15 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     # one row stands for all rows of equal sets
     first = base.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
     stands = base.join(first, ["node", "key"], "left_semi")
+    # nodes that only rows with a null key have
+    keyless = base.where("node is not null and key is null").dropDuplicates(["node"])
+    stands = stands.unionByName(keyless.join(first.where("key is null"), "node", "left_semi"))
     members = settle(shared_members(stands.select(F.explode("prefix").alias("bucket"), "node", "n")))
     needed = members.select("node").distinct()
     chosen = first.join(needed, "node", "left_semi")
-    sets, drop = bucketed(ordered_sets(docs.join(chosen, "key"), "node", "text", size, sent, bits), "node")
+    # rows of one key may differ in text: each brings its own set, and sets that nobody asks for do no harm
+    asked = docs.join(chosen, "key", "left_semi").unionByName(docs.where("key is null"))
+    sets, drop = bucketed(ordered_sets(asked, "text", size, sent, bits), "node")
     labels = connect(members, sets, share, share, lambda pairs: verify_pairs(pairs, sets, share))
     drop()
     roots = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -189,6 +189,22 @@ def test_trie_walk_equals_set_arithmetic():
         assert list(ngram_join.trie_matches(np.sort(probe), sets, 0.8)) == want
 
 
+def test_ngram_join_with_repeated_and_null_keys(spark):
+    rows, want = [], {}
+    for k in range(20):
+        one, two, bridge = ([f"{kind}{k}w{i}" for i in range(60)] for kind in "abc")
+        key = 100 * k
+        # two texts of one key, a near copy of each
+        rows += [(key, one), (key, two), (key + 1, [*one, "more"]), (key + 2, [*two, "more"])]
+        # two texts that only a text without a key connects
+        rows += [(key + 3, ["x", "y", "z", *bridge]), (None, bridge), (key + 4, [*bridge, "u", "v", "w"])]
+        want |= {key + 1: key, key + 2: key, key + 3: key + 3, key + 4: key + 3}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id bigint, text string")
+    got = ngram_join.jaccard_components(df, "doc_id", share=0.93).collect()
+    assert len(got) == len(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] in want} == want
+
+
 def test_line_dedup_equals_brute_force(spark):
     rng = np.random.default_rng(12)
     line = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
