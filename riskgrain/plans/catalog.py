@@ -1346,24 +1346,36 @@ _EVENT_SPECS = [records.FieldSpec("AMT_CREDIT", minimum=0.0), records.FieldSpec(
 _EVENT_VALUE = "value - 10"
 
 
-@register(
-    "stream_policy",
-    "SELECT event_id::VARCHAR AS record_id, if(value - 10 < 0, 'NUMERIC_RANGE', '') AS error_codes, if(value - 10 >= 0, round((value - 10) / (value + 10), 6) + 0.0::DOUBLE, NULL) AS probability, "
-    "CASE WHEN value - 10 >= 0 THEN CASE WHEN (value - 10) / (value + 10) >= 0.6::DOUBLE THEN 'high' WHEN (value - 10) / (value + 10) >= 0.3::DOUBLE THEN 'medium' ELSE 'low' END END AS risk_band, "
-    "CASE WHEN value - 10 >= 0 THEN (value - 10) / (value + 10) >= 0.6::DOUBLE END AS priority_review FROM events",
-)
-def _(s, d):
-    """The record contract and policy over a file stream, written out by the stream and read back."""
-    events = s.readStream.schema("event_id bigint, event_type string, value double").parquet(f"{d}/events*.parquet")
-    batch = events.selectExpr("CAST(event_id AS STRING) AS record_id", f"{_EVENT_VALUE} AS AMT_CREDIT", "event_type AS EVENT_KIND", "value")
+def _streamed(s: SparkSession, d: str, copies: int = 1) -> DataFrame:
+    """The record contract and policy over a file stream, written out by the stream and read back.
+
+    Each event comes ``copies`` times, a minute apart; ids repeated inside the watermark are dropped.
+    """
+    events = s.readStream.schema("event_id bigint, event_type string, value double, ts timestamp").parquet(f"{d}/events*.parquet")
+    events = events.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("ts", F.expr("ts + make_dt_interval(0, 0, copy)"))
+    batch = events.selectExpr("CAST(event_id AS STRING) AS record_id", f"{_EVENT_VALUE} AS AMT_CREDIT", "event_type AS EVENT_KIND", "value", "ts")
 
     def scorer(rows: DataFrame) -> DataFrame:
         return rows.withColumn("score", (F.col("value") - 10) / (F.col("value") + 10))
 
     out = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
-    scored = score_stream(batch, _EVENT_SPECS, scorer, {"medium_cutoff": 0.3, "high_cutoff": 0.6})
+    scored = score_stream(batch, _EVENT_SPECS, scorer, {"medium_cutoff": 0.3, "high_cutoff": 0.6}, event_time="ts")
     query = scored.writeStream.format("parquet").option("path", f"{out}/rows").option(
         "checkpointLocation", f"{out}/state"
     ).trigger(availableNow=True).start()
     query.awaitTermination()
     return s.read.schema(scored.schema).parquet(f"{out}/rows")
+
+
+@register(
+    "stream_policy",
+    "SELECT event_id::VARCHAR AS record_id, if(value - 10 < 0, 'NUMERIC_RANGE', '') AS error_codes, if(value - 10 >= 0, round((value - 10) / (value + 10), 6) + 0.0::DOUBLE, NULL) AS probability, "
+    "CASE WHEN value - 10 >= 0 THEN CASE WHEN (value - 10) / (value + 10) >= 0.6::DOUBLE THEN 'high' WHEN (value - 10) / (value + 10) >= 0.3::DOUBLE THEN 'medium' ELSE 'low' END END AS risk_band, "
+    "CASE WHEN value - 10 >= 0 THEN (value - 10) / (value + 10) >= 0.6::DOUBLE END AS priority_review FROM events",
+)
+def _(s, d):
+    return _streamed(s, d)
+
+
+# the same records although each id comes three times
+register("stream_repeats", ORACLES["stream_policy"])(lambda s, d: _streamed(s, d, 3))

@@ -274,6 +274,19 @@ def test_duplicates_types_and_batch_rejection(spark):
 POLICY = {"medium_cutoff": 0.08, "high_cutoff": 0.18, "review_cutoff": 0.18}
 
 
+def test_registered_stream_drops_repeated_ids(spark, tuples):
+    from riskgrain.plans import catalog
+
+    folder = tempfile.mkdtemp()
+    events = spark.range(40).selectExpr(
+        "id % 20 AS event_id", "'view' AS event_type", "CAST(id % 20 * 3 AS DOUBLE) AS value", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, id % 7) AS ts",
+    )
+    events.write.parquet(os.path.join(folder, "events.parquet"))
+    once = tuples(catalog.QUERIES["stream_policy"](spark, folder))
+    assert sorted(int(r[0]) for r in once) == list(range(20))
+    assert tuples(catalog.QUERIES["stream_repeats"](spark, folder)) == once
+
+
 def test_batch_scoring_and_stream_agree(spark):
     batch = spark.createDataFrame([record(record_id=f"r{i}", AMT_CREDIT=float(i)) for i in range(5)], RECORD)
     scorer = lambda df: df.withColumn("score", F.col("AMT_CREDIT") / 20.0)
