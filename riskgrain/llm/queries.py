@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrain.llm import bit_index, bpe, decontaminate, html_text, line_dedup, ngram_join, pii, quality, sharding, url_filter
+from riskgrain.llm import bit_index, bpe, decontaminate, fingerprint, html_text, line_dedup, ngram_join, pii, quality, sharding, url_filter
 from riskgrain.llm.common import sha_hex, table, whole
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -85,6 +85,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_removed", F.length(whole("text")).cast("long").alias("n_chars"), sha_hex(whole("text")).alias("text_sha256"))
 
 
+def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = fingerprint.with_next(table(spark, sf_dir, "documents"), "doc_id", "text", out="following")
+    pairs = pairs.withColumn("edited", fingerprint.edited("text", "following"))
+    pairs = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), sha_hex(F.col("edited")).alias("edited_sha256"), "text", "edited", "following")
+    done = fingerprint.fingerprints(pairs, {"text": "own_sketch", "edited": "edited_sketch", "following": "next_sketch"})
+    return done.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint.spelled("own_sketch").alias("fingerprint"),
+        fingerprint.spelled("edited_sketch").alias("edited_fingerprint"), fingerprint.jaccard("own_sketch", "edited_sketch").alias("near_edited"),
+        fingerprint.jaccard("own_sketch", "next_sketch").alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -96,6 +108,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_fingerprint": op11_fingerprint,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -194,5 +207,34 @@ c AS (
   FROM t GROUP BY doc_id)
 SELECT doc_id, coalesce(gone, 0)::BIGINT AS n_removed, len(coalesce(c.text, ''))::BIGINT AS n_chars, sha256(coalesce(c.text, '')) AS text_sha256
 FROM documents LEFT JOIN c USING (doc_id)
+""",
+    "op11_fingerprint": f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    coalesce(lead(coalesce(text, '')) OVER w, first_value(coalesce(text, '')) OVER w) AS f
+  FROM documents WINDOW w AS (ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS (SELECT doc_id, t, f, substr(t, 1, len(t) - len(t) // 2) || substr(f, 1, len(t) // 2) AS e FROM d),
+texts AS (SELECT doc_id, 't' AS k, t AS s FROM e UNION ALL SELECT doc_id, 'e', e FROM e UNION ALL SELECT doc_id, 'f', f FROM e),
+words AS (
+  SELECT doc_id, k, list_transform(regexp_extract_all({_LOWER.format("s")}, '[^\\x20\\x09-\\x0D]+'),
+    lambda x: ('0x' || substr(md5(x), 1, 15))::BIGINT) AS w FROM texts),
+grams AS (
+  SELECT doc_id, k, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {fingerprint.SIZE} THEN [w]
+    ELSE list_transform(range(1, len(w) - {fingerprint.SIZE - 2}), lambda p: w[p : p + {fingerprint.SIZE - 1}]) END) AS g FROM words),
+h AS (SELECT DISTINCT doc_id, k, (({" + ".join(f"coalesce(g[{i + 1}], 0)::HUGEINT * {pow(fingerprint.MULTIPLIER, i, 1 << fingerprint.BITS)}" for i in range(fingerprint.SIZE))}) % {1 << fingerprint.BITS})::BIGINT AS h FROM grams),
+kept AS (
+  SELECT doc_id, k, h FROM (SELECT *, min(h) OVER (PARTITION BY doc_id, k) AS least FROM h)
+  WHERE h < {(1 << fingerprint.BITS) // fingerprint.SCALE} OR h = least),
+s AS (SELECT doc_id, k, count(*) AS n, string_agg(printf('%015x', h), ',' ORDER BY h) AS s FROM kept GROUP BY doc_id, k),
+shared AS (SELECT a.doc_id, b.k, count(*) AS c FROM kept a JOIN kept b ON a.doc_id = b.doc_id AND a.h = b.h AND a.k = 't' AND b.k <> 't' GROUP BY ALL),
+near AS (
+  SELECT e.doc_id, x.k, CASE WHEN t.n IS NULL AND o.n IS NULL THEN 1.0::DOUBLE
+    ELSE coalesce(c, 0)::DOUBLE / (coalesce(t.n, 0) + coalesce(o.n, 0) - coalesce(c, 0)) END AS near
+  FROM e CROSS JOIN (VALUES ('e'), ('f')) x(k) LEFT JOIN s t ON t.doc_id = e.doc_id AND t.k = 't'
+  LEFT JOIN s o ON o.doc_id = e.doc_id AND o.k = x.k LEFT JOIN shared ON shared.doc_id = e.doc_id AND shared.k = x.k)
+SELECT e.doc_id, len(t)::BIGINT AS n_chars, sha256(e) AS edited_sha256, coalesce(a.s, '') AS fingerprint, coalesce(b.s, '') AS edited_fingerprint,
+  x.near AS near_edited, y.near AS near_next
+FROM e LEFT JOIN s a ON a.doc_id = e.doc_id AND a.k = 't' LEFT JOIN s b ON b.doc_id = e.doc_id AND b.k = 'e'
+JOIN near x ON x.doc_id = e.doc_id AND x.k = 'e' JOIN near y ON y.doc_id = e.doc_id AND y.k = 'f'
 """,
 }
