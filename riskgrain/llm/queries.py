@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrain.llm import bit_index, bpe, decontaminate, fingerprint, html_text, line_dedup, ngram_join, pii, quality, sharding, url_filter
+from riskgrain.llm import bit_index, bpe, decontaminate, fingerprint, html_text, line_dedup, ngram_join, pii, quality, sharding, spelling, url_filter
 from riskgrain.llm.common import sha_hex, table, whole
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -97,6 +99,15 @@ def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Runs whose CRC this number divides lose a letter; words have at least so many letters and occurrences; a form occurs so many times as often.
+LOSES, LETTERS, OCCURRENCES, TIMES = 199, 6, 5, 5
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), "doc_id", "text", letters=LETTERS, least=OCCURRENCES, every=LOSES)
+    return spelling.variants(words, times=TIMES, least=LETTERS).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -109,6 +120,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
     "op11_fingerprint": op11_fingerprint,
+    "op13_spelling": op13_spelling,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -236,5 +248,34 @@ SELECT e.doc_id, len(t)::BIGINT AS n_chars, sha256(e) AS edited_sha256, coalesce
   x.near AS near_edited, y.near AS near_next
 FROM e LEFT JOIN s a ON a.doc_id = e.doc_id AND a.k = 't' LEFT JOIN s b ON b.doc_id = e.doc_id AND b.k = 'e'
 JOIN near x ON x.doc_id = e.doc_id AND x.k = 'e' JOIN near y ON y.doc_id = e.doc_id AND y.k = 'f'
+""",
+    # CRC-32 byte by byte over a table of its 256 steps; near words meet at what is left of them without one letter
+    "op13_spelling": f"""
+WITH RECURSIVE steps AS (SELECT [{", ".join(str(zlib.crc32(bytes([k]), 0xFFFFFFFF) ^ 0xFFFFFFFF) for k in range(256))}]::BIGINT[] AS t),
+runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents)
+  WHERE len(run) >= {LETTERS} GROUP BY doc_id, run),
+c AS (
+  SELECT run, times, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(x) // 2 + 1), lambda i: ('0x' || substr(x, 2 * i - 1, 2))::BIGINT)),
+    lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)])), 4294967295) AS h
+  FROM (SELECT run, times, hex(encode(concat(doc_id, ':', run))) AS x FROM runs), steps),
+r AS (
+  SELECT CASE WHEN h % {LOSES} = 0 THEN substr(run, 1, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word, times FROM c),
+v AS (SELECT word, sum(times)::BIGINT AS n FROM r WHERE len(word) >= {LETTERS} GROUP BY word HAVING sum(times) >= {OCCURRENCES}),
+less AS (
+  SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS p FROM v)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b FROM less a JOIN less b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT less.word, v.word FROM less JOIN v ON less.rest = v.word
+  UNION SELECT v.word, less.word FROM less JOIN v ON less.rest = v.word),
+ranked AS (
+  SELECT a, b, y.n AS bn, x.n AS an, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY y.n DESC, b COLLATE "C") AS k
+  FROM pairs JOIN v x ON x.word = a JOIN v y ON y.word = b),
+f AS (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN bn >= {TIMES} * n THEN b END AS form, CASE WHEN bn >= {TIMES} * n THEN bn END AS form_n
+  FROM v LEFT JOIN ranked ON a = word AND k = 1),
+walk(word, reached) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.reached WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.reached AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word JOIN f AS e ON e.word = walk.reached AND e.form IS NULL
 """,
 }
