@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrain.llm import bit_index, bpe, decontaminate, fingerprint, html_text, line_dedup, ngram_join, pii, quality, sharding, spelling, url_filter
-from riskgrain.llm.common import sha_hex, table, whole
+from riskgrain.llm import bit_index, bpe, decontaminate, fingerprint, html_text, line_dedup, ngram_join, pii, quality, ranked_search, sharding, spelling, url_filter
+from riskgrain.llm.common import sha_hex, table, unsettle, whole
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -99,6 +99,13 @@ def op11_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = ranked_search.search(index, table(spark, sf_dir, "benchmark"), "item_id", "text", key="doc_id", k=50)
+    unsettle(index)
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 #: Runs whose CRC this number divides lose a letter; words have at least so many letters and occurrences; a form occurs so many times as often.
 LOSES, LETTERS, OCCURRENCES, TIMES = 199, 6, 5, 5
 
@@ -120,6 +127,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_line_dedup": op10_line_dedup,
     "op11_fingerprint": op11_fingerprint,
+    "op12_ranked_search": op12_ranked_search,
     "op13_spelling": op13_spelling,
 }
 
@@ -248,6 +256,22 @@ SELECT e.doc_id, len(t)::BIGINT AS n_chars, sha256(e) AS edited_sha256, coalesce
   x.near AS near_edited, y.near AS near_next
 FROM e LEFT JOIN s a ON a.doc_id = e.doc_id AND a.k = 't' LEFT JOIN s b ON b.doc_id = e.doc_id AND b.k = 'e'
 JOIN near x ON x.doc_id = e.doc_id AND x.k = 'e' JOIN near y ON y.doc_id = e.doc_id AND y.k = 'f'
+""",
+    "op12_ranked_search": f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+p AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d)
+  WHERE term IN (SELECT term FROM i) GROUP BY doc_id, n, term),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, total GROUP BY term),
+s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM i JOIN p USING (term) JOIN w USING (term), total GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50
 """,
     # CRC-32 byte by byte over a table of its 256 steps; near words meet at what is left of them without one letter
     "op13_spelling": f"""
