@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.functions.scalars import bad_number, ratio_or_zero, semantic_type
+from riskgrain.functions.scalars import ratio_or_zero, semantic_type
 from riskgrain.operators.features import SCHEDULE_KEY, usable_credits
 from riskgrain.schemas import (
     EMPLOYED_SENTINEL,
     ID,
-    REGION_FLAGS,
     SPLIT,
     SPLITS,
     TABLES,
@@ -25,24 +23,6 @@ from riskgrain.schemas import (
     schema_fingerprint,
 )
 
-# Columns that must not be negative.
-NON_NEGATIVE = {
-    "application": ("CNT_CHILDREN", "AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE"),
-    "bureau": ("CREDIT_DAY_OVERDUE", "AMT_CREDIT_SUM", "AMT_CREDIT_SUM_OVERDUE"),
-    "installments": ("NUM_INSTALMENT_VERSION", "NUM_INSTALMENT_NUMBER", "AMT_INSTALMENT", "AMT_PAYMENT"),
-}
-NOT_AFTER_APPLICATION = ("DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT")
-HIGH_MISSING_RATE = 0.5
-
-
-@dataclass(frozen=True)
-class Rule:
-    code: str
-    column: str
-    violated: Column
-    severity: str = "ERROR"
-
-
 def number(df: DataFrame, column: str) -> Column:
     """The column as a double; text tokens that do not parse become NULL."""
     if isinstance(df.schema[column].dataType, T.StringType):
@@ -50,50 +30,6 @@ def number(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def table_rules(df: DataFrame, table: str) -> list[Rule]:
-    """Rules of a raw table for the columns that are present."""
-    text = TABLES[table].categorical
-    rules: list[Rule] = []
-    present = set(df.columns)
-
-    def add(code: str, column: str, violated: Column) -> None:
-        rules.append(Rule(f"{column.lower()}_{code}", column, violated))
-
-    for column in df.columns:
-        raw, value = F.col(column), number(df, column)
-        known = value.isNotNull() & ~F.isnan(value)
-        if column.startswith("SK_ID_"):
-            bounded = known & (F.abs(value) < F.lit(float("inf")))
-            add("not_null", column, raw.isNull())
-            add("numeric", column, bad_number(raw))
-            add("integer", column, bounded & (value != F.floor(value)))
-            add("positive", column, bounded & (value <= 0))
-        elif column not in text:
-            add("numeric", column, bad_number(raw))
-        if table == "application":
-            if (column.startswith("FLAG_") and column not in text) or column in REGION_FLAGS:
-                add("binary", column, value.isNull() | ~value.isin(0.0, 1.0))
-            elif column in ("FLAG_OWN_CAR", "FLAG_OWN_REALTY"):
-                add("yn", column, raw.isNull() | ~raw.isin("Y", "N"))
-            elif column == TARGET:
-                rules.append(
-                    Rule("target_domain", column, raw.isNotNull() & (value.isNull() | ~value.isin(0.0, 1.0)))
-                )
-            elif column == "DAYS_BIRTH":
-                add("negative", column, known & (value >= 0))
-            elif column == "DAYS_EMPLOYED":
-                add("domain", column, known & (value > 0) & (value != EMPLOYED_SENTINEL))
-            elif column == "HOUR_APPR_PROCESS_START":
-                rules.append(Rule("hour_range", column, known & ~value.between(0, 23)))
-        if column in NON_NEGATIVE[table]:
-            add("non_negative", column, known & (value < 0))
-        if table == "installments" and column in NOT_AFTER_APPLICATION:
-            add("non_positive", column, known & (value > 0))
-    if not present:
-        raise ContractError(f"{table}: no columns")
-    return rules
-
-
 def _counted(df: DataFrame, items: Sequence[tuple[Column, dict]], name: str) -> DataFrame:
     """Count every predicate in one pass, then turn the single row into one row per predicate."""
     one = df.agg(*[F.count_if(p).alias(f"_{i}") for i, (p, _) in enumerate(items)])
@@ -104,14 +40,6 @@ def _counted(df: DataFrame, items: Sequence[tuple[Column, dict]], name: str) ->
     return one.select(F.inline(F.array(*cells)))
 
 
-def rule_violations(df: DataFrame, table: str) -> DataFrame:
-    items = [
-        (r.violated, {"table_name": table, "rule": r.code, "column_name": r.column, "severity": r.severity})
-        for r in table_rules(df, table)
-    ]
-    return _counted(df, items, "violations")
-
-
 def domain_observations(df: DataFrame, table: str) -> DataFrame:
     """Known oddities, reported but not judged."""
     n = {c: number(df, c) for c in df.columns}
@@ -589,50 +517,6 @@ def check_against_summary(mart: DataFrame, summary: DataFrame, version: str) ->
 # ---------------------------------------------------------------------------
 # findings
 # ---------------------------------------------------------------------------
-def table_findings(df: DataFrame, table: str, expected_rows: int | None = None) -> DataFrame:
-    """Findings of one raw table as (severity, code, table_name, subject, value)."""
-    spec = TABLES[table]
-    c = F.col
-
-    def finding(rows: DataFrame, severity, code: str, subject, value) -> DataFrame:
-        return rows.select(
-            (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"),
-            F.lit(code).alias("code"),
-            F.lit(table).alias("table_name"),
-            subject.cast("string").alias("subject"),
-            value.cast("double").alias("value"),
-        )
-
-    profile = column_profile(df, tuple(spec.categorical))
-    parts = [
-        finding(profile.where(c("infinite_count") > 0), "ERROR", "infinite_numeric_value", c("column_name"), c("infinite_count")),
-        finding(profile.where(c("missing_rate") >= HIGH_MISSING_RATE), "WARNING", "high_missing_rate", c("column_name"), c("missing_rate")),
-    ]
-    rules = rule_violations(df, table).where(c("violations") > 0)
-    parts.append(finding(rules, c("severity"), "rule_violation", c("rule"), c("violations")))
-    copies = duplicate_rows(normalise_numbers(df, spec.numeric)).where(c("duplicate_count") > 0)
-    parts.append(finding(copies, "WARNING", "duplicate_row", F.lit(None), c("duplicate_count")))
-    if spec.primary_key and spec.primary_key in df.columns:
-        keys = primary_key(df, spec.primary_key)
-        parts.append(finding(keys.where(c("null_count") > 0), "ERROR", "primary_key_null", F.lit(spec.primary_key), c("null_count")))
-        parts.append(finding(keys.where(c("duplicate_count") > 0), "ERROR", "primary_key_duplicate", F.lit(spec.primary_key), c("duplicate_count")))
-    if expected_rows is not None:
-        size = df.agg(F.count("*").alias("n"))
-        parts.append(finding(size.where(c("n") != expected_rows), "ERROR", "row_count_mismatch", F.lit(None), c("n")))
-    if table == "application":
-        y = number(df, TARGET)
-        seen = df.agg(
-            F.count_if(c(TARGET).isNull() | y.isNull() | ~y.isin(0.0, 1.0)).alias("bad"),
-            F.avg(F.when(y == 1, 1.0).otherwise(0.0)).alias("rate"),
-        )
-        parts.append(finding(seen.where(c("bad") > 0), "ERROR", "target_invalid", F.lit(TARGET), c("bad")))
-        parts.append(finding(seen.where(c("bad") == 0), "INFO", "target_imbalance", F.lit(TARGET), c("rate")))
-    if table == "installments":
-        owner = dependency_violations(df, "SK_ID_PREV", ID).where(c("violating_keys") > 0)
-        parts.append(finding(owner, "ERROR", "previous_customer_dependency", F.lit("SK_ID_PREV"), c("violating_keys")))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def scope_findings(coverage: DataFrame) -> DataFrame:
     return coverage.select(
         F.lit("INFO").alias("severity"), F.lit("support_table_scope").alias("code"), "table_name",

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrain.operators import features, metrics, quality, records, strategy
+from riskgrain.operators import features, metrics, quality, raw_text, records, strategy
 from riskgrain.schemas import TABLES, check_prefix, schema_fingerprint
 from riskgrain.sources.sinks import publish, write_mart
 
@@ -19,7 +19,7 @@ def validate_raw(tables: Mapping[str, DataFrame], exact_columns: bool = True) ->
     for name, df in tables.items():
         if exact_columns:
             quality.check_exact_columns(df, name)
-        parts.append(quality.table_findings(df, name, TABLES[name].expected_rows))
+        parts.append(raw_text.table_findings(df, name, TABLES[name].expected_rows))
     children = {k: v for k, v in tables.items() if k != "application"}
     parts.append(quality.scope_findings(quality.history_coverage(tables["application"], children)))
     findings = reduce(DataFrame.unionByName, parts)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.functions.scalars import log_loss_term, logit
+from riskgrain.functions.scalars import log_loss_term, logit, semantic_type
 from riskgrain.operators import (
     attribution,
     features,
@@ -18,6 +19,7 @@ from riskgrain.operators import (
     prep,
     profiling,
     quality,
+    raw_text,
     records,
     selection,
     splits,
@@ -30,6 +32,7 @@ from riskgrain.schemas import (
     DERIVED_FEATURES,
     ID,
     SPLIT,
+    TABLES,
     TARGET,
     FeatureRoles,
     resolve_roles,
@@ -334,52 +337,105 @@ def _(s, d):
     return quality.id_overlap(_app(s, d), rolemap.bureau(s, d))
 
 
-def _rule_rows(table: str, source: str, rules: list[tuple[str, str, str]]) -> str:
+RAW_TABLES = tuple(rolemap.RAW)
+
+
+def _parsed(c: str) -> str:
+    return f"CASE WHEN NOT isnan(TRY_CAST({c} AS DOUBLE)) THEN TRY_CAST({c} AS DOUBLE) END"
+
+
+def _domain_sql(table: str, c: str) -> str:
+    """Whether a token ``c`` with number ``v`` breaks the domain of its column."""
+    d = raw_text.column_domain(table, c)
+    if d is None:
+        return "false"
+    if d.numbers:
+        broken = "(v IS NULL OR v NOT IN (0, 1))"
+    elif d.texts:
+        broken = "t NOT IN ('Y', 'N')"
+    else:
+        strict = "=" if d.open_ends else ""
+        bounds = [f"v <{strict} {d.low}" if d.low > -raw_text.INF else "", f"v >{strict} {d.high}" if d.high < raw_text.INF else ""]
+        broken = "(" + " OR ".join(b for b in bounds if b) + ")" + "".join(f" AND v <> {x}" for x in d.also)
+        broken = f"v IS NOT NULL AND {broken}" + (" AND NOT isinf(v)" if c.startswith("SK_ID_") else "")
+    return f"CASE WHEN gone THEN {str(d.null_counts).lower()} ELSE {broken} END"
+
+
+def _states_sql(table: str) -> str:
+    """The state of each column and fact of a raw table, column by column."""
+    source, out = f"raw_{table}", []
+    number = {c: c not in CATEGORICAL[table] for c in rolemap.RAW[table]}
+    for c in rolemap.RAW[table]:
+        gone = "t IS NULL" + (" OR lower(trim(t)) IN ('nan', '+nan', '-nan')" if number[c] else "")
+        out.append(
+            f"SELECT '{table}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) FILTER (gone) AS missing_count, count(*) FILTER (trim(t) = '') AS blank_count, "
+            f"count(*) FILTER (NOT gone AND v IS NULL) AS text_count, count(*) FILTER (isinf(v) AND {str(number[c]).lower()}) AS infinite_count, count(*) FILTER (isfinite(v) AND v <> floor(v)) AS fraction_count, "
+            f"count(*) FILTER ({_domain_sql(table, c)}) AS outside_count, count(*) FILTER (v = 1) AS one_count, min(v) FILTER (isfinite(v)) AS min_value, max(v) FILTER (isfinite(v)) AS max_value, "
+            f"0::BIGINT AS groups, 0::BIGINT AS surplus, 0::BIGINT AS conflicts FROM (SELECT {c} AS t, {_parsed(c)} AS v, {gone} AS gone FROM {source})")
+    same = {c: f"coalesce(({_parsed(c)})::VARCHAR, {c})" if number[c] else c for c in rolemap.RAW[table]}
+    facts = {raw_text.ROW: (f"SELECT {', '.join(same.values())}, 1 AS one, count(*) AS n, 1 AS lo, 1 AS hi FROM {source} GROUP BY ALL", "one")}
+    key = TABLES[table].primary_key
+    if key:
+        facts[raw_text.KEY] = (f"SELECT {same[key]} AS g, count(*) AS n, 1 AS lo, 1 AS hi FROM {source} GROUP BY g", "g")
+    if table in raw_text.OWNED:
+        facts[raw_text.OWNER] = (f"SELECT {same[raw_text.OWNED[table]]} AS g, count(*) AS n, min({_parsed(ID)}) AS lo, max({_parsed(ID)}) AS hi FROM {source} GROUP BY g", "g")
+    for name, (grouped, g) in facts.items():
+        out.append(
+            f"SELECT '{table}', '{name}', sum(n)::BIGINT, coalesce(sum(n) FILTER ({g} IS NULL), 0)::BIGINT, 0, 0, 0, 0, 0, 0, NULL, NULL, count({g}), "
+            f"coalesce(sum(n - 1) FILTER ({g} IS NOT NULL), 0)::BIGINT, count(*) FILTER ({g} IS NOT NULL AND lo <> hi) FROM ({grouped})")
+    return " UNION ALL ".join(out)
+
+
+for _t in RAW_TABLES:
+    ob.cte(f"states_{_t}", (f"raw_{_t}",), _states_sql(_t))
+_ALL_STATES = [f"states_{t}" for t in RAW_TABLES]
+
+
+def _raw_states(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    return {t: raw_text.column_states(rolemap.raw_text(s, d, t), t) for t in RAW_TABLES}
+
+
+def _each(s: SparkSession, d: str, make: Callable[[DataFrame, str, list[str]], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [make(states, t, list(rolemap.RAW[t])) for t, states in _raw_states(s, d).items()])
+
+
+register("raw_text_states", sql(_ALL_STATES, " UNION ALL ".join(f"SELECT * FROM {t}" for t in _ALL_STATES), ["min_value", "max_value"]))(
+    lambda s, d: _each(s, d, lambda states, t, columns: states))
+
+
+def _merged(s: SparkSession, d: str, table: str) -> DataFrame:
+    """States of three parts of a table, as if it came in three deliveries."""
+    rows = rolemap.raw_text(s, d, table)
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(3))
+    return reduce(DataFrame.unionByName, [raw_text.column_states(rows.where(part == k), table) for k in range(3)])
+
+
+register(
+    "raw_text_merged",
+    sql(_ALL_STATES, " UNION ALL ".join(f"SELECT * FROM {t} WHERE NOT starts_with(column_name, '#')" for t in _ALL_STATES), ["min_value", "max_value"]),
+)(lambda s, d: reduce(DataFrame.unionByName, [raw_text.merged_states(_merged(s, d, t)) for t in RAW_TABLES]))
+
+
+def _rules_sql(table: str) -> str:
+    rules = [(rule, c, counter) for c in rolemap.RAW[table] for rule, counter in raw_text.column_rules(table, c)]
     return " UNION ALL ".join(
-        f"SELECT '{table}' AS table_name, '{code}' AS rule, '{column}' AS column_name, 'ERROR' AS severity, count(*) FILTER ({bad}) AS violations FROM {source}"
-        for code, column, bad in rules
-    )
+        f"SELECT table_name, '{rule}' AS rule, column_name, 'ERROR' AS severity, {counter} AS violations FROM states_{table} WHERE column_name = '{c}'" for rule, c, counter in rules)
 
 
-def _rules_sql(table: str, columns: list[str]) -> list[tuple[str, str, str]]:
-    out = []
-    for c in columns:
-        low = c.lower()
-        if c.startswith("SK_ID_"):
-            out += [(f"{low}_not_null", c, f"{c} IS NULL"), (f"{low}_numeric", c, "false"), (f"{low}_integer", c, f"{c} <> floor({c})"), (f"{low}_positive", c, f"{c} <= 0")]
-        elif c not in CATEGORICAL[table]:
-            out.append((f"{low}_numeric", c, "false"))
-        if c == "FLAG_MOBIL":
-            out.append((f"{low}_binary", c, f"{c} IS NULL OR {c} NOT IN (0, 1)"))
-        if c in ("FLAG_OWN_CAR", "FLAG_OWN_REALTY"):
-            out.append((f"{low}_yn", c, f"{c} IS NULL OR {c} NOT IN ('Y', 'N')"))
-        if c == "TARGET":
-            out.append(("target_domain", c, f"{c} NOT IN (0, 1)"))
-        if c == "DAYS_BIRTH":
-            out.append(("days_birth_negative", c, f"{c} >= 0"))
-        if c == "DAYS_EMPLOYED":
-            out.append(("days_employed_domain", c, f"{c} > 0 AND {c} <> 365243"))
-        if c == "HOUR_APPR_PROCESS_START":
-            out.append(("hour_range", c, f"{c} NOT BETWEEN 0 AND 23"))
-        if c in quality.NON_NEGATIVE[table]:
-            out.append((f"{low}_non_negative", c, f"{c} < 0"))
-        if table == "installments" and c in ("DAYS_INSTALMENT", "DAYS_ENTRY_PAYMENT"):
-            out.append((f"{low}_non_positive", c, f"{c} > 0"))
-    return out
+register("raw_rules", sql(_ALL_STATES, " UNION ALL ".join(map(_rules_sql, RAW_TABLES))))(lambda s, d: _each(s, d, raw_text.rules_of))
 
 
-@register(
-    "raw_rules",
-    sql(["app", "bureau", "inst"], " UNION ALL ".join([
-        _rule_rows("application", "app", _rules_sql("application", list(rolemap.APPLICATION_SQL))),
-        _rule_rows("bureau", "bureau", _rules_sql("bureau", list(rolemap.BUREAU_SQL))),
-        _rule_rows("installments", "inst", _rules_sql("installments", list(rolemap.INSTALLMENTS_SQL))),
-    ])),
-)
-def _(s, d):
-    a = quality.rule_violations(_app(s, d), "application")
-    b = quality.rule_violations(rolemap.bureau(s, d), "bureau")
-    return a.unionByName(b).unionByName(quality.rule_violations(rolemap.installments(s, d), "installments"))
+def _text_profile_sql(table: str) -> str:
+    number = ", ".join(f"'{c}'" for c in rolemap.RAW[table] if c not in CATEGORICAL[table])
+    kinds = " ".join(f"WHEN '{c}' THEN '{semantic_type(c, c in CATEGORICAL[table])}'" for c in rolemap.RAW[table])
+    return (
+        f"SELECT table_name, column_name, CASE column_name {kinds} END AS semantic_type, row_count, missing_count, missing_count / row_count::DOUBLE AS missing_rate, blank_count, "
+        f"row_count - missing_count - text_count AS number_count, text_count, infinite_count, fraction_count, CASE WHEN column_name IN ({number}) THEN min_value END AS min_value, "
+        f"CASE WHEN column_name IN ({number}) THEN max_value END AS max_value FROM states_{table} WHERE NOT starts_with(column_name, '#')")
+
+
+register("raw_text_profile", sql(_ALL_STATES, " UNION ALL ".join(map(_text_profile_sql, RAW_TABLES)), ["missing_rate", "min_value", "max_value"]))(
+    lambda s, d: _each(s, d, raw_text.profile_of))
 
 
 def _seen(table: str, source: str, items: dict[str, str]) -> str:
@@ -514,38 +570,47 @@ def _(s, d):
     return quality.history_overlap(_app(s, d), rolemap.bureau(s, d), rolemap.installments(s, d))
 
 
-def _findings_sql(table: str, source: str, columns: list[str], key: str | None) -> str:
-    line = "SELECT '{}' AS severity, '{}' AS code, '" + table + "' AS table_name, {} AS subject, ({})::DOUBLE AS value FROM {}"
+def _findings_sql(table: str) -> str:
+    line = "SELECT '{}' AS severity, '{}' AS code, table_name, {} AS subject, ({})::DOUBLE AS value FROM states_" + table + " WHERE {}"
+    plain = "NOT starts_with(column_name, '#')"
+    key, owned = TABLES[table].primary_key, raw_text.OWNED.get(table)
     parts = [
-        f"SELECT severity, 'rule_violation' AS code, table_name, rule AS subject, violations::DOUBLE AS value FROM ({_rule_rows(table, source, _rules_sql(table, columns))}) WHERE violations > 0",
-        line.format("WARNING", "duplicate_row", "NULL::VARCHAR", "sum(n - 1)", f"(SELECT count(*) AS n FROM {source} GROUP BY {', '.join(columns)}) HAVING sum(n - 1) > 0"),
+        f"SELECT severity, 'rule_violation' AS code, table_name, rule AS subject, violations::DOUBLE AS value FROM ({_rules_sql(table)}) WHERE violations > 0",
+        line.format("ERROR", "infinite_numeric_value", "column_name", "infinite_count", f"{plain} AND infinite_count > 0"),
+        line.format("WARNING", "high_missing_rate", "column_name", "missing_count / row_count::DOUBLE", f"{plain} AND 2 * missing_count >= row_count"),
+        line.format("WARNING", "dtype_drift", "column_name", "text_count", f"{plain} AND text_count > 0 AND row_count > missing_count + text_count"),
+        line.format("WARNING", "duplicate_row", "NULL::VARCHAR", "surplus", "column_name = '#row' AND surplus > 0"),
+        line.format("ERROR", "primary_key_null", f"'{key}'", "missing_count", "column_name = '#key' AND missing_count > 0"),
+        line.format("ERROR", "primary_key_duplicate", f"'{key}'", "surplus", "column_name = '#key' AND surplus > 0"),
+        line.format("ERROR", "previous_customer_dependency", f"'{owned}'", "conflicts", "column_name = '#owner' AND conflicts > 0"),
+        line.format("ERROR", "row_count_mismatch", "NULL::VARCHAR", "row_count", f"column_name = '#row' AND row_count <> {EXPECTED_ROWS[table]}"),
     ]
-    parts += [line.format("WARNING", "high_missing_rate", f"'{c}'", f"1 - count({c}) / count(*)::DOUBLE", f"{source} HAVING count({c}) <= 0.5 * count(*)") for c in columns]
-    if key:
-        parts.append(line.format("ERROR", "primary_key_null", f"'{key}'", f"count(*) - count({key})", f"{source} HAVING count(*) > count({key})"))
-        parts.append(line.format("ERROR", "primary_key_duplicate", f"'{key}'", f"count({key}) - count(DISTINCT {key})", f"{source} HAVING count({key}) > count(DISTINCT {key})"))
     if table == "application":
-        parts.append(line.format("INFO", "target_imbalance", "'TARGET'", "avg(TARGET)", source))
+        parts += [
+            line.format("ERROR", "target_invalid", "'TARGET'", "missing_count + outside_count", "column_name = 'TARGET' AND missing_count + outside_count > 0"),
+            line.format("INFO", "target_imbalance", "'TARGET'", "one_count / row_count::DOUBLE", "column_name = 'TARGET' AND missing_count + outside_count = 0"),
+        ]
     return " UNION ALL ".join(parts)
 
 
-_FINDINGS = " UNION ALL ".join([
-    _findings_sql("application", "app", list(rolemap.APPLICATION_SQL), "SK_ID_CURR"),
-    _findings_sql("bureau", "bureau", list(rolemap.BUREAU_SQL), "SK_ID_BUREAU"),
-    _findings_sql("installments", "inst", list(rolemap.INSTALLMENTS_SQL), None),
-])
+#: Row counts a delivery is said to have; those of the given tables differ.
+EXPECTED_ROWS = {"application": 307_511, "bureau": 1_716_428, "installments": 13_605_401}
+_FINDINGS = " UNION ALL ".join(map(_findings_sql, RAW_TABLES)) + "".join(
+    f" UNION ALL SELECT 'INFO', 'support_table_scope', '{t}', NULL, (count(DISTINCT SK_ID_CURR) FILTER (SK_ID_CURR NOT IN (SELECT SK_ID_CURR FROM raw_application WHERE SK_ID_CURR IS NOT NULL)))::DOUBLE FROM raw_{t}"
+    for t in RAW_TABLES[1:])
 
 
 def _findings(s: SparkSession, d: str) -> DataFrame:
-    a = quality.table_findings(_app(s, d), "application")
-    b = quality.table_findings(rolemap.bureau(s, d), "bureau")
-    return a.unionByName(b).unionByName(quality.table_findings(rolemap.installments(s, d), "installments"))
+    found = _each(s, d, lambda states, t, columns: raw_text.findings_of(states, t, columns, EXPECTED_ROWS[t]))
+    children = {t: rolemap.raw_text(s, d, t).select(ID) for t in RAW_TABLES[1:]}
+    scope = quality.scope_findings(quality.history_coverage(rolemap.raw_text(s, d, "application").select(ID), children))
+    return found.unionByName(scope)
 
 
-register("validation_findings", sql(["app", "bureau", "inst"], _FINDINGS, ["value"]))(_findings)
+register("validation_findings", sql([*_ALL_STATES], _FINDINGS, ["value"]))(_findings)
 register(
     "validation_status",
-    sql(["app", "bureau", "inst"], "SELECT count(*) AS finding_count, count(*) FILTER (severity = 'ERROR') AS error_count, count(*) FILTER (severity = 'WARNING') AS warning_count, "
+    sql([*_ALL_STATES], "SELECT count(*) AS finding_count, count(*) FILTER (severity = 'ERROR') AS error_count, count(*) FILTER (severity = 'WARNING') AS warning_count, "
         f"if(count(*) FILTER (severity = 'ERROR') > 0, 'FAIL', 'PASS') AS status FROM ({_FINDINGS})"),
 )(lambda s, d: quality.validation_status(_findings(s, d)))
 

@@ -34,7 +34,7 @@ def sql(needs: Sequence[str], final: str, doubles: Sequence[str] = (), digits: i
     return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in done) + "\n" + final
 
 
-def _duck(columns: dict[str, str]) -> str:
+def _duck_list(columns: dict[str, str]) -> list[str]:
     out = []
     for name, expression in columns.items():
         for source in ("o_orderdate", "l_shipdate"):
@@ -43,7 +43,11 @@ def _duck(columns: dict[str, str]) -> str:
                 f"date_diff('day', DATE '{rolemap.ANCHOR_DATE}', CAST({source} AS DATE))",
             )
         out.append(rolemap.typed(name, expression, "DOUBLE"))
-    return ", ".join(out)
+    return out
+
+
+def _duck(columns: dict[str, str]) -> str:
+    return ", ".join(_duck_list(columns))
 
 
 def union_cells(source: str, columns: Sequence[str], make) -> str:
@@ -71,6 +75,22 @@ cte("bureau", (), f"SELECT {_duck(rolemap.BUREAU_SQL)} FROM orders")
 cte("inst", (), f"SELECT {_duck(rolemap.INSTALLMENTS_SQL)} FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 
 
+# --- raw tables as text ----------------------------------------------------
+_RAW_FROM = {
+    "application": "customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "bureau": "orders",
+    "installments": "lineitem JOIN orders ON l_orderkey = o_orderkey",
+}
+for _name, _from in _RAW_FROM.items():
+    _when, _rewritten = rolemap.REPEATED[_name]
+    _plain = ", ".join(rolemap.raw_columns(_name, _duck_list(rolemap.RAW[_name]), "VARCHAR"))
+    cte(
+        f"raw_{_name}", (),
+        f"WITH r AS (SELECT {_plain}, {_when} AS again FROM {_from}) SELECT * EXCLUDE again FROM r "
+        f"UNION ALL SELECT * EXCLUDE again REPLACE ({_rewritten} || '.0' AS {_rewritten}) FROM r WHERE again",
+    )
+
+
 # --- split -----------------------------------------------------------------
 def split_cte(name: str, seed: int, shares: Sequence[tuple[str, float]]) -> None:
     """Hamilton shares, cumulative class limits and the ranked assignment."""

@@ -94,6 +94,58 @@ INSTALLMENTS_SQL = {
     "AMT_PAYMENT": f"CASE WHEN {_PAID_UNKNOWN} THEN NULL ELSE CAST(FLOOR(l_extendedprice * (1 - l_discount) * 10000 + 0.5) AS DOUBLE) / 10000 END",
 }
 
+REGION_FLAGS_SQL = {
+    "REG_REGION_NOT_LIVE_REGION": "c_custkey % 2",
+    "REG_REGION_NOT_WORK_REGION": "c_custkey % 3 % 2",
+    "LIVE_REGION_NOT_WORK_REGION": "c_custkey % 5 % 2",
+    "REG_CITY_NOT_LIVE_CITY": "c_custkey % 7 % 2",
+    "REG_CITY_NOT_WORK_CITY": "c_custkey % 11 % 2",
+    "LIVE_CITY_NOT_WORK_CITY": "c_custkey % 13 % 2",
+}
+
+#: The raw tables as text hold tokens that break their contract: column -> (condition, token) pairs, first match.
+BAD_TOKENS = {
+    "application": {
+        "SK_ID_CURR": [("c_custkey % 41 = 0", "NULL"), ("c_custkey % 43 = 0", "concat(c_custkey, '.5')"), ("c_custkey % 47 = 0", "concat('-', c_custkey)"), ("c_custkey % 53 = 0", "concat('id', c_custkey)"), ("c_custkey % 59 = 0", "'5'")],
+        "TARGET": [("c_custkey % 61 = 0", "'2'"), ("c_custkey % 67 = 0", "'?'"), ("c_custkey % 71 = 0", "NULL")],
+        "AMT_CREDIT": [("c_custkey % 73 = 0", "'n/a'"), ("c_custkey % 79 = 0", "'-5'"), ("c_custkey % 83 = 0", "'1e5'")],
+        "AMT_ANNUITY": [("c_custkey % 37 = 0", "'inf'"), ("c_custkey % 89 = 0", "'nan'")],
+        "AMT_INCOME_TOTAL": [("c_custkey % 97 = 0", "'-inf'"), ("c_custkey % 31 = 0", "''")],
+        "CNT_CHILDREN": [("c_custkey % 101 = 0", "'two'"), ("c_custkey % 103 = 0", "'-1'")],
+        "DAYS_BIRTH": [("c_custkey % 107 = 0", "'12'")],
+        "DAYS_EMPLOYED": [("c_custkey % 109 = 0", "'30'")],
+        "FLAG_OWN_CAR": [("c_custkey % 113 = 0", "'y'"), ("c_custkey % 127 = 0", "NULL")],
+        "FLAG_OWN_REALTY": [("c_custkey % 131 = 0", "' '")],
+        "FLAG_MOBIL": [("c_custkey % 29 = 0", "'Y'")],
+        "EXT_SOURCE_1": [("c_custkey % 137 = 0", "'0,5'")],
+        "ORGANIZATION_TYPE": [("c_custkey % 139 = 0", "'5'")],
+        **{c: [(f"c_custkey % {19 + 2 * k} = 0", "NULL"), (f"c_custkey % {23 + 2 * k} = 0", "'2'"), (f"c_custkey % {17 + 2 * k} = 0", "'N'")] for k, c in enumerate(REGION_FLAGS_SQL)},
+    },
+    "bureau": {
+        "SK_ID_BUREAU": [("o_orderkey % 499 = 0", "NULL"), ("o_orderkey % 503 = 0", "'7.0'"), ("o_orderkey % 509 = 0", "'0'")],
+        "SK_ID_CURR": [("o_orderkey % 521 = 0", "'?'")],
+        "CREDIT_DAY_OVERDUE": [("o_orderkey % 523 = 0", "'-3'")],
+        "AMT_CREDIT_SUM": [("o_orderkey % 541 = 0", "'-1'"), ("o_orderkey % 547 = 0", "'Infinity'")],
+        "AMT_CREDIT_SUM_OVERDUE": [("o_orderkey % 557 = 0", "'none'"), ("o_orderkey % 563 = 0", "'-0.5'")],
+        "CREDIT_TYPE": [("o_orderkey % 569 = 0", "'12'")],
+    },
+    "installments": {
+        "SK_ID_PREV": [("l_orderkey % 571 = 0", "NULL")],
+        "SK_ID_CURR": [("l_orderkey % 577 = 0 AND l_linenumber = 2", "'1'")],
+        "NUM_INSTALMENT_VERSION": [("l_orderkey % 587 = 0", "'one'"), ("l_orderkey % 593 = 0", "'-2'")],
+        "DAYS_INSTALMENT": [("l_orderkey % 599 = 0", "'3'")],
+        "DAYS_ENTRY_PAYMENT": [("l_orderkey % 601 = 0", "'4'")],
+        "AMT_PAYMENT": [("l_orderkey % 607 = 0", "'-2'"), ("l_orderkey % 613 = 0", "'inf'")],
+    },
+}
+#: Rows that come a second time, with one number written another way.
+REPEATED = {
+    "application": ("c_custkey % 50 = 7", "REG_CITY_NOT_LIVE_CITY"),
+    "bureau": ("o_orderkey % 50 = 7", "CNT_CREDIT_PROLONG"),
+    "installments": ("l_orderkey % 50 = 7", "NUM_INSTALMENT_NUMBER"),
+}
+RAW = {"application": {**APPLICATION_SQL, **REGION_FLAGS_SQL}, "bureau": BUREAU_SQL, "installments": INSTALLMENTS_SQL}
+
 # Column kinds, so that both engines end with the same types.
 DOUBLES = frozenset(
     """
@@ -127,6 +179,33 @@ def _spark(columns: dict[str, str]) -> list[str]:
     return out
 
 
+def raw_columns(name: str, expressions: list[str], text: str) -> list[str]:
+    """The typed expressions of a raw table as text, with its bad tokens."""
+    out = []
+    for column, expression in zip(RAW[name], expressions, strict=True):
+        value = f"CAST({expression.removesuffix(f' AS {column}')} AS {text})"
+        cases = "".join(f" WHEN {condition} THEN {token}" for condition, token in BAD_TOKENS[name].get(column, ()))
+        out.append(f"{f'CASE{cases} ELSE {value} END' if cases else value} AS {column}")
+    return out
+
+
+def raw_text(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A raw table with every token as text, bad tokens and repeated rows included; each source is read once."""
+    if name == "application":
+        places = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        rows = table(spark, folder, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    elif name == "bureau":
+        rows = table(spark, folder, "orders")
+    else:
+        orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        rows = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    condition, rewritten = REPEATED[name]
+    plain = rows.selectExpr(*raw_columns(name, _spark(RAW[name]), "STRING"), f"IF({condition}, array(0, 1), array(0)) AS copies")
+    each = plain.select("*", F.explode("copies").alias("copy")).drop("copies")
+    again = F.when(F.col("copy") == 1, F.concat(rewritten, F.lit(".0"))).otherwise(F.col(rewritten))
+    return each.withColumn(rewritten, again).drop("copy")
+
+
 def application(spark: SparkSession, folder: str) -> DataFrame:
     nation, region = table(spark, folder, "nation"), table(spark, folder, "region")
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))

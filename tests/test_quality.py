@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrain.operators import profiling, quality
+from riskgrain.operators import profiling, quality, raw_text
 from riskgrain.schemas import APPLICATION, BUREAU, INSTALLMENTS, TABLES, ContractError, feature_family, resolve_roles, schema_fingerprint
 
 
@@ -15,7 +15,7 @@ def text_rows(spark, table, overrides):
 
 
 def violations(df, table):
-    return {r["rule"]: r["violations"] for r in quality.rule_violations(df, table).collect() if r["violations"]}
+    return {r["rule"]: r["violations"] for r in raw_text.rule_violations(df, table).collect() if r["violations"]}
 
 
 def test_table_widths():
@@ -65,15 +65,67 @@ def test_nulls_do_not_collide_in_duplicate_rows(spark):
 
 def test_findings_and_status(spark):
     df = text_rows(spark, "application", [{"SK_ID_CURR": "1", "AMT_CREDIT": "inf", "EXT_SOURCE_1": None}, {"SK_ID_CURR": "1", "EXT_SOURCE_1": None}])
-    codes = {(r["code"], r["subject"]) for r in quality.table_findings(df, "application", 3).collect()}
+    codes = {(r["code"], r["subject"]) for r in raw_text.table_findings(df, "application", 3).collect()}
     assert {("infinite_numeric_value", "AMT_CREDIT"), ("high_missing_rate", "EXT_SOURCE_1"), ("primary_key_duplicate", "SK_ID_CURR"), ("row_count_mismatch", None), ("target_imbalance", "TARGET")} <= codes
-    assert quality.validation_status(quality.table_findings(df, "application")).first()["status"] == "FAIL"
+    assert quality.validation_status(raw_text.table_findings(df, "application")).first()["status"] == "FAIL"
     clean = text_rows(spark, "application", [{"SK_ID_CURR": "1"}, {"SK_ID_CURR": "2", "TARGET": "1"}])
-    assert quality.validation_status(quality.table_findings(clean, "application")).first()["status"] == "PASS"
+    assert quality.validation_status(raw_text.table_findings(clean, "application")).first()["status"] == "PASS"
     with pytest.raises(ContractError):
         quality.check_exact_columns(clean.drop("AMT_CREDIT"), "application")
 
 
+def scans(df):
+    """Files scans of the plan as it ran; a reused exchange is not scanned again."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+def test_text_states_see_every_kind_of_token_in_one_scan(spark, tmp_path):
+    rows = [
+        {"SK_ID_CURR": "1", "AMT_CREDIT": "inf", "AMT_ANNUITY": "1d", "CNT_CHILDREN": "0", "NAME_HOUSING_TYPE": "7"},
+        {"SK_ID_CURR": "1.0", "AMT_CREDIT": "inf", "AMT_ANNUITY": "1d", "CNT_CHILDREN": "0.0", "NAME_HOUSING_TYPE": "7"},
+        {"SK_ID_CURR": None, "TARGET": "1", "AMT_CREDIT": "-1e3", "AMT_ANNUITY": " ", "CNT_CHILDREN": " 2 ", "NAME_HOUSING_TYPE": "House"},
+        {"SK_ID_CURR": "-Infinity", "TARGET": None, "AMT_CREDIT": "NaN", "AMT_ANNUITY": "", "REG_CITY_NOT_WORK_CITY": None, "LIVE_CITY_NOT_WORK_CITY": "no"},
+    ]
+    text_rows(spark, "application", rows).write.parquet(f"{tmp_path}/a")
+    df = spark.read.parquet(f"{tmp_path}/a")
+    states = raw_text.column_states(df, "application")
+    assert scans(states) == 1
+    got = {r["column_name"]: r for r in states.collect()}
+    assert len(got) == 122 + 2
+    pick = lambda c: tuple(got[c][k] for k in ("row_count", *raw_text.COUNTERS, "min_value", "max_value"))
+    assert pick("AMT_CREDIT") == (4, 1, 0, 0, 2, 0, 1, 0, -1000.0, -1000.0)
+    assert pick("AMT_ANNUITY") == (4, 0, 2, 4, 0, 0, 0, 0, None, None)
+    assert pick("CNT_CHILDREN") == (4, 0, 0, 0, 0, 0, 0, 0, 0.0, 2.0)
+    assert pick("SK_ID_CURR")[:7] == (4, 1, 0, 0, 1, 0, 0)
+    assert got["REG_CITY_NOT_WORK_CITY"]["outside_count"] == 1 and got["LIVE_CITY_NOT_WORK_CITY"]["outside_count"] == 1
+    assert (got["TARGET"]["missing_count"], got["TARGET"]["outside_count"], got["TARGET"]["one_count"]) == (1, 0, 1)
+    assert (got["#row"]["surplus"], got["#key"]["surplus"], got["#key"]["missing_count"], got["#key"]["groups"]) == (1, 1, 1, 2)
+    findings = raw_text.findings_of(states, "application", df.columns, 3)
+    assert scans(findings) == 1
+    found = {(r["code"], r["subject"]): r["value"] for r in findings.collect()}
+    assert found["dtype_drift", "NAME_HOUSING_TYPE"] == 1.0 and found["target_invalid", "TARGET"] == 1.0 and found["row_count_mismatch", None] == 4.0
+    assert found["duplicate_row", None] == 1.0 and ("rule_violation", "live_city_not_work_city_binary") in found
+    parts = df.where("TARGET is null").unionByName(df.where("false")), df.where("TARGET is not null")
+    merged = raw_text.merged_states(raw_text.column_states(parts[0], "application").unionByName(raw_text.column_states(parts[1], "application")))
+    assert {tuple(r) for r in merged.collect()} == {tuple(r) for r in states.where("column_name not like '#%'").collect()}
+
+
+def test_text_states_of_loans_and_empty_tables(spark):
+    i = text_rows(spark, "installments", [
+        {"SK_ID_PREV": "5", "SK_ID_CURR": "1"}, {"SK_ID_PREV": "5.0", "SK_ID_CURR": "2"}, {"SK_ID_PREV": "6", "SK_ID_CURR": "1"}, {"SK_ID_PREV": "6", "SK_ID_CURR": "1.0"},
+        {"SK_ID_PREV": None, "SK_ID_CURR": "1"}, {"SK_ID_PREV": None, "SK_ID_CURR": "2"}, {"SK_ID_PREV": "7", "SK_ID_CURR": "x"}])
+    got = {r["column_name"]: r for r in raw_text.column_states(i, "installments").collect()}
+    assert (got["#owner"]["groups"], got["#owner"]["conflicts"], got["#row"]["surplus"]) == (3, 1, 1)
+    none = {r["column_name"] for r in raw_text.column_states(i.where("false"), "installments").collect()}
+    assert none == set()
+    with pytest.raises(ContractError):
+        raw_text.column_states(spark.range(0).select(), "bureau")
+    # extra columns are taken for numbers, their names may hold dots
+    b = spark.createDataFrame([("1", "2", "x")], "SK_ID_CURR string, SK_ID_BUREAU string, `a b` string")
+    assert {r["rule"]: r["violations"] for r in raw_text.rule_violations(b, "bureau").collect()}["a b_numeric"] == 1
+
+
 def test_coverage_overlap_and_reconciliation(spark):
     make = lambda ids: spark.createDataFrame([(i,) for i in ids], "SK_ID_CURR bigint")
     app, b, i = make([1, 2, 3, 4]), make([1, 1, 9]), make([1, 3, 3, 8, 7])
