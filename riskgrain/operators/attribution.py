@@ -119,7 +119,7 @@ def direction(values: DataFrame) -> DataFrame:
     seen = values.groupBy("feature").agg(
         F.count("value").alias("observed_rows"), F.count_if(F.col("value").isNull()).alias("missing_rows")
     )
-    marks = ranked_values(known, "value", ["feature"], "feature").groupBy("feature").agg(
+    marks = ranked_values(known, "value", ["feature"]).groupBy("feature").agg(
         *quantile_columns("value", {"_low": LOW_SHARE, "_high": HIGH_SHARE}), F.count("*").alias("_distinct")
     )
     # one row per feature
@@ -128,7 +128,7 @@ def direction(values: DataFrame) -> DataFrame:
         (F.avg(F.when(high, F.col("attribution"))) - F.avg(F.when(low, F.col("attribution")))).alias("_gap"),
         F.max("_distinct").alias("_distinct"),
     )
-    rho = spearman(known, "value", "attribution", ["feature"], "feature").select("feature", "spearman")
+    rho = spearman(known, "value", "attribution", ["feature"]).select("feature", "spearman")
     enough = (F.col("observed_rows") >= 3) & (F.col("_distinct") >= 2)
     r = F.when(enough, F.col("spearman"))
     return (

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgrain.functions.scalars import capacity, finite, log_loss_term, ratio, risk_band
-from riskgrain.operators.ranking import plan_edges, quantile_expr, running_sums
+from riskgrain.operators.ranking import quantile_expr, running_sums
 from riskgrain.schemas import ContractError
 
 # Warning codes.
@@ -60,7 +60,6 @@ def score_curve(
     keys: Sequence[str] = (),
     label: str = "label",
     score: str = "score",
-    buckets: int | None = None,
 ) -> DataFrame:
     """Distinct scores with class counts and running counts in descending order."""
     keys = list(keys)
@@ -68,9 +67,8 @@ def score_curve(
         F.count("*").alias("n"),
         F.sum(F.col(label).cast("bigint")).alias("pos"),
     )
-    edges = plan_edges(by_score, "score", buckets=buckets)
     rows = by_score.withColumn("score_sum", F.col("score") * F.col("n"))
-    run = running_sums(rows, "score", ["n", "pos", "score_sum"], keys, descending=True, edges=edges)
+    run = running_sums(rows, "score", ["n", "pos", "score_sum"], keys, descending=True)
     return (
         run.withColumn("neg", F.col("n") - F.col("pos"))
         .withColumn("cum_neg", F.col("cum_n") - F.col("cum_pos"))

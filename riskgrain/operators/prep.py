@@ -129,7 +129,7 @@ def owner_median(train: DataFrame) -> float:
 def column_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact median, missing count and observed count per numeric column."""
     long = long_numbers(train, columns)
-    ranked = ranked_values(long, "value", ["column_name"], "column_name")
+    ranked = ranked_values(long, "value", ["column_name"])
     medians = ranked.groupBy("column_name").agg(*quantile_columns("value", {"median": 0.5}))
     seen = long.groupBy("column_name").agg(
         F.count("value").alias("observed_count"), F.count_if(F.col("value").isNull()).alias("missing_count")

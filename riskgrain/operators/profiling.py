@@ -11,13 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.functions.scalars import clean_label, finite, pearson, ratio, ratio_or_zero
+from riskgrain.functions.scalars import clean_label, finite, ratio, ratio_or_zero
 from riskgrain.operators.quality import level_counts
-from riskgrain.operators.ranking import (
-    average_ranks,
-    quantile_columns,
-    ranked_values,
-)
+from riskgrain.operators.ranking import moment_columns, quantile_columns, ranked_values, summed_values, tie_ranks
 from riskgrain.schemas import EMPLOYED_SENTINEL, TARGET, feature_family
 from riskgrain.session import small_table
 
@@ -53,49 +49,15 @@ def long_numbers(df: DataFrame, columns: Sequence[str], carry: Sequence[str] = (
     return df.select(*carry, *cast).unpivot(list(carry), list(columns), "column_name", "value")
 
 
-def numeric_summary(
-    df: DataFrame, columns: Sequence[str], probs: Mapping[str, float] = SUMMARY_PROBS, approx: bool = False
-) -> DataFrame:
-    """Count, missing, unique, moments, quantiles, modal share and zero count per column.
-
-    The exact form needs one shuffle of distinct (column, value) pairs. ``approx`` replaces exact
-    quantiles and distinct counts by sketches in a single pass without that shuffle.
-    """
-    long = long_numbers(df, columns)
-    v = F.col("value")
-    moments = [
-        F.count("*").alias("row_count"),
-        F.count("value").alias("observed_count"),
-        F.count_if(v.isNull()).alias("missing_count"),
-        F.count_if(v == 0).alias("zero_count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    ]
-    if approx:
-        marks = F.percentile_approx("value", list(probs.values()), 10000)
-        per = long.groupBy("column_name").agg(
-            *moments, F.approx_count_distinct("value").alias("unique_count"), marks.alias("_q")
-        )
-        return per.select(
-            "column_name", *[c for c in per.columns if c not in ("column_name", "_q")],
-            *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)],
-        )
-    per = long.groupBy("column_name").agg(*moments)
-    ranked = ranked_values(long, "value", ["column_name"], "column_name")
-    marks = ranked.groupBy("column_name").agg(
-        *quantile_columns("value", dict(probs)),
-        F.count("*").alias("unique_count"),
-        F.max("n").alias("modal_count"),
-    )
-    return per.join(marks, "column_name", "left").fillna(0, ["unique_count", "modal_count"])
+def numeric_summary(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float] = SUMMARY_PROBS) -> DataFrame:
+    """Count, missing, unique, moments, exact quantiles, modal share and zero count per column, from counted values."""
+    values = summed_values(long_numbers(df, columns), "value", ["column_name"])
+    return values.groupBy("column_name").agg(*moment_columns("value"), *quantile_columns("value", dict(probs)))
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Values outside the quartile fences, for columns with more than two distinct values."""
-    long = long_numbers(df, columns)
-    ranked = ranked_values(long, "value", ["column_name"], "column_name")
+    ranked = ranked_values(long_numbers(df, columns), "value", ["column_name"])
     fences = ranked.groupBy("column_name").agg(
         *quantile_columns("value", {"q1": 0.25, "q3": 0.75}),
         F.count("*").alias("unique_count"),
@@ -106,7 +68,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "upper_bound", F.col("q3") + IQR_FACTOR * spread
     )
     out = (F.col("value") < F.col("lower_bound")) | (F.col("value") > F.col("upper_bound"))
-    hits = ranked.join(fences, "column_name").groupBy("column_name").agg(
+    # one row per column
+    hits = ranked.join(F.broadcast(fences), "column_name").groupBy("column_name").agg(
         F.first("lower_bound").alias("lower_bound"),
         F.first("upper_bound").alias("upper_bound"),
         F.first("observed_count").alias("observed_count"),
@@ -219,20 +182,19 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def spearman(pairs: DataFrame, x: str, y: str, keys: Sequence[str] = (), edge_key: str | None = None) -> DataFrame:
+def spearman(pairs: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation with shared ranks for ties, from counted (x, y) pairs.
 
-    Rows collapse to distinct pairs first, so a value repeated in a third of all rows is one row.
+    Rows collapse to distinct pairs first, so a pair repeated in a third of all rows is one row. Each rank is carried by
+    the pairs in the order of its values; nothing is joined on a value, so one that many pairs share makes no hot task.
     """
     keys = list(keys)
     both = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     counted = both.groupBy(*keys, x, y).agg(F.count("*").alias("_n"))
-    rx = average_ranks(both, x, keys, edge_key, "_rx").select(*keys, x, "_rx", F.col("tot_n").alias("_total"))
-    ry = average_ranks(both, y, keys, edge_key, "_ry").select(*keys, y, "_ry")
-    joined = counted.join(rx, [*keys, x]).join(ry, [*keys, y])
-    n, middle = F.col("_n"), (F.col("_total") + 1) / 2.0
+    ranked = tie_ranks(tie_ranks(counted, x, y, "_n", keys, "_rx"), y, x, "_n", keys, "_ry")
+    n, middle = F.col("_n"), (F.col("_rx_of") + 1) / 2.0
     dx, dy = F.col("_rx") - middle, F.col("_ry") - middle
-    sums = joined.groupBy(*keys).agg(
+    sums = ranked.groupBy(*keys).agg(
         F.sum(n).alias("observed_rows"),
         F.sum(n * dx * dy).alias("_xy"), F.sum(n * dx * dx).alias("_xx"), F.sum(n * dy * dy).alias("_yy"),
     )
@@ -244,24 +206,25 @@ def spearman(pairs: DataFrame, x: str, y: str, keys: Sequence[str] = (), edge_ke
 # relations to the label
 # ---------------------------------------------------------------------------
 def target_numeric(df: DataFrame, columns: Sequence[str], target: str = TARGET) -> DataFrame:
-    """Mean and median by class and the point-biserial correlation per column."""
-    long = long_numbers(df, columns, [target]).where(F.col("value").isNotNull())
-    y, v = F.col(target), F.col("value")
-    per = long.groupBy("column_name").agg(
-        *[F.count_if(y == t).alias(f"count_{t}") for t in (0, 1)],
-        *[F.avg(F.when(y == t, v)).alias(f"mean_{t}") for t in (0, 1)],
-        pearson(v, y).alias("_corr"),
-        F.min(v).alias("_lo"), F.max(v).alias("_hi"),
+    """Mean and median by class and the point-biserial correlation per column, from values counted by class."""
+    long = long_numbers(df, columns, [target]).where(F.col("value").isNotNull() & F.col(target).isNotNull())
+    per = summed_values(long, "value", ["column_name", target]).groupBy("column_name", target).agg(
+        *moment_columns("value"), *quantile_columns("value", {"median": 0.5}))
+    c, y = F.col, F.col(target)
+    of = lambda t, x: F.max(F.when(y == t, x))
+    square = F.coalesce(F.pow(c("std"), 2) * (c("observed_count") - 1), F.lit(0.0))
+    wide = per.groupBy("column_name").agg(
+        *[F.coalesce(of(t, c("observed_count")), F.lit(0)).alias(f"count_{t}") for t in (0, 1)],
+        *[of(t, c(m)).alias(f"{m}_{t}") for m in ("mean", "median") for t in (0, 1)],
+        F.sum(square).alias("_within"), F.min("min").alias("_lo"), F.max("max").alias("_hi"),
     )
-    ranked = ranked_values(long, "value", ["column_name", target], "column_name")
-    medians = ranked.groupBy("column_name", target).agg(*quantile_columns("value", {"median": 0.5}))
-    wide = medians.groupBy("column_name").agg(
-        *[F.max(F.when(y == t, F.col("median"))).alias(f"median_{t}") for t in (0, 1)]
-    )
-    varied = (F.col("count_0") > 0) & (F.col("count_1") > 0) & (F.col("_lo") != F.col("_hi"))
-    return per.join(wide, "column_name").select(
+    # sums of squares of two classes: within each, and between their means
+    gap, n0, n1 = c("mean_1") - c("mean_0"), c("count_0").cast("double"), c("count_1").cast("double")
+    between = n0 * n1 / F.nullif(n0 + n1, F.lit(0.0))
+    varied = (c("count_0") > 0) & (c("count_1") > 0) & (c("_lo") != c("_hi"))
+    return wide.select(
         "column_name", "count_0", "count_1", "mean_0", "mean_1", "median_0", "median_1",
-        F.when(varied, F.col("_corr")).alias("point_biserial"),
+        F.when(varied, gap * F.sqrt(between) / F.nullif(F.sqrt(c("_within") + between * gap * gap), F.lit(0.0))).alias("point_biserial"),
     )
 
 
@@ -370,17 +333,11 @@ def feature_profile(train: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def feature_by_target(train: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:
-    """Rows, coverage, mean and median of each feature per class."""
-    long = long_numbers(train, features, [target])
-    per = long.groupBy("column_name", target).agg(
-        F.count("*").alias("row_count"),
-        F.count("value").alias("observed_count"),
-        F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"),
-        F.avg("value").alias("mean"),
-    )
-    ranked = ranked_values(long, "value", ["column_name", target], "column_name")
-    medians = ranked.groupBy("column_name", target).agg(*quantile_columns("value", {"median": 0.5}))
-    return per.join(medians, ["column_name", target], "left")
+    """Rows, coverage, mean and median of each feature per class, from values counted by class."""
+    per = summed_values(long_numbers(train, features, [target]), "value", ["column_name", target]).groupBy("column_name", target).agg(
+        *moment_columns("value"), *quantile_columns("value", {"median": 0.5}))
+    rate = ratio_or_zero(F.col("missing_count"), F.col("row_count"))
+    return per.select("column_name", target, "row_count", "observed_count", rate.alias("missing_rate"), "mean", "median")
 
 
 def smd_ranking(train: DataFrame, features: Sequence[str], target: str = TARGET) -> DataFrame:

@@ -1,88 +1,71 @@
 """Global ranks, running sums and exact quantiles without a one-task window.
 
-A global order is cut into buckets. Each bucket is sorted on its own, the bucket totals
-(one row per bucket and key) are accumulated, and every row adds its bucket's offset.
-Equal values must be pre-aggregated to one row, so a value held by a third of all rows costs
-one row here. Bucket edges are literals: a retried task sees the same buckets.
+Equal values collapse to one counted row. The counted rows are range-partitioned once by the global order and sorted in
+their partitions; each partition sums up on its own, and the rows are stored with their partition's number, so that the
+partition totals (one row per partition and key it holds) give every partition its offset whatever a later run would
+cut differently. Nothing is sketched and no edge of a value reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskgrain.session import default_buckets
+from riskgrain.session import default_buckets, stored
 
 _B = "_bucket"
 
 
-@dataclass(frozen=True)
-class Edges:
-    """Literal bucket edges in a two-level grid, one overall or one per value of ``key``.
+def _new_runs(batch: pa.RecordBatch | pa.Table, columns: Sequence[str], last: dict | None) -> np.ndarray:
+    """Which rows differ from the row before them in one of the columns; ``last`` is the row before the first."""
+    new = np.zeros(batch.num_rows, bool)
+    if batch.num_rows:
+        new[0] = last is None or any(batch.column(c)[0].as_py() != last[c] for c in columns)
+        for c in columns:
+            values = batch.column(c)
+            same = pc.fill_null(pc.equal(values[1:], values[:-1]), False)
+            both_null = pc.and_(pc.is_null(values[1:]), pc.is_null(values[:-1]))
+            new[1:] |= ~pc.or_(same, both_null).to_numpy(zero_copy_only=False)
+    return new
 
-    ``grids`` maps a key value (or None) to (first edge of every block but the first, blocks). A value
-    is placed by counting block starts, then edges inside one block: about 2 * sqrt(edges) tests.
-    """
 
-    value: str
-    grids: dict
-    width: int
-    key: str | None = None
-
-    def attach(self, df: DataFrame) -> DataFrame:
-        """Add the bucket number: how many edges lie at or below the value."""
-        v = F.col(self.value)
-        if self.key is None:
-            starts, blocks = self.grids[None]
-            return df.withColumn(_B, self._place(v, _doubles(starts), F.array(*[_doubles(b) for b in blocks])))
-        kind = df.schema[self.key].dataType.simpleString()
-        rows = [(k, starts, blocks) for k, (starts, blocks) in self.grids.items()]
-        table = df.sparkSession.createDataFrame(
-            rows, f"{self.key} {kind}, _starts array<double>, _blocks array<array<double>>"
-        )
-        # one row per key (feature names), so the broadcast does not grow with the data
-        joined = df.join(F.broadcast(table), self.key, "left")
-        return joined.withColumn(
-            _B, F.coalesce(self._place(v, F.col("_starts"), F.col("_blocks")), F.lit(0))
-        ).drop("_starts", "_blocks")
-
-    def _place(self, value: Column, starts: Column, blocks: Column) -> Column:
-        block = F.size(F.filter(starts, lambda e: e <= value))
-        inside = F.size(F.filter(F.get(blocks, block), lambda e: e <= value))
-        return block * F.lit(self.width) + inside
-
-
-def _doubles(values: Sequence[float]) -> Column:
-    if not values:
-        return F.array().cast("array<double>")
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def plan_edges(
-    df: DataFrame, value: str, key: str | None = None, buckets: int | None = None
-) -> Edges:
-    """Pick bucket edges from an approximate quantile sketch of the rows of ``df``.
-
-    Only the sketch's edges reach the driver: fewer than ``buckets`` numbers per key.
-    """
-    buckets = buckets or default_buckets(df.sparkSession)
-    width = max(1, math.isqrt(buckets))
-    probs = [i / buckets for i in range(1, buckets)]
-    sketch = F.percentile_approx(F.col(value).cast("double"), probs, 20 * buckets).alias("e")
+def _restarted(values: np.ndarray, new: np.ndarray, carried: float | int) -> np.ndarray:
+    """Running sums that start anew at the marked rows; ``carried`` is what an unmarked first row goes on from."""
+    total = np.cumsum(values)
+    start = np.flatnonzero(new)
+    before = np.zeros(len(values), total.dtype)
+    if len(start):
+        before[start[0] :] = np.repeat(total[start] - values[start], np.diff(np.append(start, len(values))))
+    out = total - before
+    out[: start[0] if len(start) else len(values)] += carried
+    return out
+
+
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows in global order over as many partitions as a shuffle has, each named by its number."""
+    cut = df.repartitionByRange(default_buckets(df.sparkSession), *keys, *order).sortWithinPartitions(*keys, *order)
+    return cut.withColumn(_B, F.spark_partition_id())
 
-    def grid(found) -> tuple[list[float], list[list[float]]]:
-        edges = sorted(set(found or ()))
-        blocks = [edges[i : i + width] for i in range(0, len(edges), width)] or [[]]
-        return [b[0] for b in blocks[1:]], blocks
 
-    if key is None:
-        return Edges(value, {None: grid(df.agg(sketch).first()["e"])}, width)
-    rows = df.groupBy(key).agg(sketch).collect()
-    return Edges(value, {r[key]: grid(r["e"]) for r in rows}, width, key)
+def _offsets(cut: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """(keys, bucket): what lies before each partition, and the totals of the key.
+
+    A key lies in neighbouring partitions, so there are fewer rows than partitions and keys together.
+    """
+    totals = cut.groupBy(*keys, _B).agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = group.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(
+        *keys, _B,
+        *[F.coalesce(F.sum(f"_s_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures],
+        *[F.sum(f"_s_{m}").over(group).alias(f"tot_{m}") for m in measures],
+    )
 
 
 def running_sums(
@@ -91,43 +74,101 @@ def running_sums(
     measures: Sequence[str],
     keys: Sequence[str] = (),
     descending: bool = False,
-    edges: Edges | None = None,
 ) -> DataFrame:
-    """Inclusive running sums ``cum_<m>`` and group totals ``tot_<m>``.
+    """Inclusive running sums ``cum_<m>`` and group totals ``tot_<m>`` (NULL measures count as 0).
 
     ``df`` has one row per (keys, order value); keys are not NULL.
     """
+    keys, measures = list(keys), list(measures)
+    cut = _ranged(df, keys, [F.desc(order) if descending else F.asc(order)])
+    sums = [T.StructField(f"_c_{m}", df.schema[m].dataType) for m in measures]
+    schema = T.StructType([*cut.schema.fields, *sums])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, dict.fromkeys(measures, 0)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = _new_runs(b, keys, last)
+            out = {m: _restarted(pc.fill_null(b.column(m), 0).to_numpy(zero_copy_only=False), new, carried[m]) for m in measures}
+            carried = {m: out[m][-1] for m in measures}
+            last = {c: b.column(c)[b.num_rows - 1].as_py() for c in keys}
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, *(pa.array(out[m], b.column(m).type) for m in measures)], names=[*b.schema.names, *(f.name for f in sums)])
+
+    summed = stored(cut.mapInArrow(run, schema))
+    joined = summed.join(F.broadcast(_offsets(summed, keys, measures)), [*keys, _B])
+    return joined.select(
+        *df.columns, *[(F.col(f"_c_{m}") + F.col(f"_o_{m}")).alias(f"cum_{m}") for m in measures], *[f"tot_{m}" for m in measures])
+
+
+def tie_ranks(df: DataFrame, value: str, within: str, weight: str, keys: Sequence[str] = (), name: str = "rank") -> DataFrame:
+    """``df`` with the mean rank of each row's value among all rows, ``weight`` rows each, and their number ``<name>_of``.
+
+    Rows are cut by (value, within), so a value that a large share of the rows has lies in many partitions. A partition
+    knows the extent of the values inside it; only its first and last value may go on elsewhere, and these, two rows a
+    partition at most, are put together and sent to all.
+    """
     keys = list(keys)
-    edges = edges or plan_edges(df, order)
-    cut = edges.attach(df)
-    direction = F.desc if descending else F.asc
-    inside = (
-        Window.partitionBy(*keys, _B)
-        .orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    # one row per key and bucket from here on
-    totals = cut.groupBy(*keys, _B).agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = group.orderBy(direction(_B)).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        _B,
-        *[F.sum(f"_s_{m}").over(before).alias(f"_o_{m}") for m in measures],
-        *[F.sum(f"_s_{m}").over(group).alias(f"tot_{m}") for m in measures],
-    )
-    ranked = cut.select("*", *[F.sum(m).over(inside).alias(f"_c_{m}") for m in measures])
-    return (
-        ranked.join(offsets, [*keys, _B])
-        .select(
-            *df.columns,
-            *[
-                (F.col(f"_c_{m}") + F.coalesce(F.col(f"_o_{m}"), F.lit(0))).alias(f"cum_{m}")
-                for m in measures
-            ],
-            *[f"tot_{m}" for m in measures],
-        )
-    )
+    cut = _ranged(df, keys, [F.asc(value), F.asc(within)])
+    extent = [T.StructField("_from", T.LongType()), T.StructField("_to", T.LongType()), T.StructField("_open", T.BooleanType())]
+    schema = T.StructType([*cut.schema.fields, *extent])
+    by = [*keys, value]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows whose value may go on, the running count before them and whether they are the first of the partition
+        held, before, first, last = [], 0, True, None
+
+        def closed(end: bool) -> pa.RecordBatch:
+            t = pa.concat_batches(held)
+            n, size = int(pc.sum(t.column(weight)).as_py() or 0), t.num_rows
+            marks = [pa.array(np.full(size, before)), pa.array(np.full(size, before + n)), pa.array(np.full(size, first or end))]
+            return pa.RecordBatch.from_arrays([*t.columns, *marks], names=[*t.schema.names, "_from", "_to", "_open"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new, new_key = _new_runs(b, by, last), _new_runs(b, keys, last)
+            starts = np.flatnonzero(new)
+            lead = starts[0] if len(starts) else b.num_rows
+            if lead:
+                held.append(b.slice(0, lead))
+            if len(starts):
+                if held:
+                    yield closed(False)
+                    before += sum(int(pc.sum(x.column(weight)).as_py() or 0) for x in held)
+                    first = False
+                if new_key[starts[0]]:
+                    before, first = 0, first if last is None else False
+                # all but the last value of the batch end in it
+                inner = b.slice(starts[0], starts[-1] - starts[0])
+                if inner.num_rows:
+                    w = pc.fill_null(inner.column(weight), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                    edge = np.append(starts[:-1] - starts[0], inner.num_rows)
+                    sums = np.add.reduceat(w, edge[:-1])
+                    key_at = new_key[starts[:-1]].copy()
+                    ends = _restarted(sums, key_at, 0 if key_at[0] else before)
+                    size = np.diff(edge)
+                    opening = np.zeros(len(sums), bool)
+                    opening[0] = first
+                    columns = [pa.array(np.repeat(ends - sums, size)), pa.array(np.repeat(ends, size)), pa.array(np.repeat(opening, size))]
+                    yield pa.RecordBatch.from_arrays([*inner.columns, *columns], names=[*inner.schema.names, "_from", "_to", "_open"])
+                    before, first = int(ends[-1]), False
+                    if new_key[starts[-1]]:
+                        before = 0
+                held = [b.slice(starts[-1])]
+            last = {c: b.column(c)[b.num_rows - 1].as_py() for c in by}
+        if held:
+            yield closed(True)
+
+    n = f"_o_{weight}"
+    summed = stored(cut.mapInArrow(run, schema))
+    placed = summed.join(F.broadcast(_offsets(summed, keys, [weight])), [*keys, _B]).select(
+        *df.columns, (F.col("_from") + F.col(n)).alias("_from"), (F.col("_to") + F.col(n)).alias("_to"), "_open", F.col(f"tot_{weight}").alias(f"{name}_of"))
+    spanning = placed.where("_open").groupBy(*by).agg(F.min("_from").alias("_least"), F.max("_to").alias("_most"))
+    both = placed.join(F.broadcast(spanning), by, "left")
+    low, high = F.coalesce("_least", "_from"), F.coalesce("_most", "_to")
+    return both.select(*df.columns, ((low + high + 1) / 2.0).alias(name), f"{name}_of")
 
 
 def bucketed_row_number(
@@ -175,26 +216,44 @@ def counted_values(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataF
     )
 
 
-def ranked_values(
-    df: DataFrame, value: str, keys: Sequence[str] = (), edge_key: str | None = None
-) -> DataFrame:
+def ranked_values(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Distinct values with count ``n``, running count ``cum_n`` and group size ``tot_n``."""
-    counts = counted_values(df, value, keys)
-    edges = plan_edges(df, value, key=edge_key)
-    return running_sums(counts, value, ["n"], keys, edges=edges)
+    return running_sums(counted_values(df, value, keys), value, ["n"], keys)
+
+
+def summed_values(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct values, NULL and NaN as one of them with ``n`` 0, with running and total counts, sums and missing rows.
+
+    ``n`` counts rows, ``nv`` is their sum of values, ``missing`` counts rows without a value. All that a summary needs
+    comes from these rows, so the input is read once.
+    """
+    v = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    counts = df.select(*keys, v.alias(value)).groupBy(*keys, value).agg(F.count("*").alias("rows"))
+    known = F.col(value).isNotNull()
+    counts = counts.select(
+        *keys, value, F.when(known, F.col("rows")).otherwise(0).alias("n"), F.when(known, F.col("rows") * F.col(value)).otherwise(0.0).alias("nv"),
+        F.when(known, 0).otherwise(F.col("rows")).cast("bigint").alias("missing"))
+    return running_sums(counts, value, ["n", "nv", "missing"], keys)
+
+
+def moment_columns(value: str) -> list[Column]:
+    """Aggregates over summed values: rows, observed, missing, zero and distinct counts, moments, range, modal count."""
+    c, v = F.col, F.col(value)
+    n, mean = F.max("tot_n"), c("tot_nv") / F.nullif(c("tot_n"), F.lit(0))
+    square = F.sum(c("n") * (v - mean) * (v - mean))
+    return [
+        (n + F.max("tot_missing")).alias("row_count"), n.alias("observed_count"), F.max("tot_missing").alias("missing_count"),
+        F.coalesce(F.sum(F.when(v == 0, c("n"))), F.lit(0)).alias("zero_count"), F.max(mean).alias("mean"),
+        F.sqrt(square / F.nullif(n - 1, F.lit(0))).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.count(v).alias("unique_count"), F.max(F.when(v.isNotNull(), c("n")).otherwise(0)).alias("modal_count"),
+    ]
 
 
 def exact_quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    keys: Sequence[str] = (),
-    edge_key: str | None = None,
-    extra: Sequence[Column] = (),
+    df: DataFrame, value: str, probs: dict[str, float], keys: Sequence[str] = (), extra: Sequence[Column] = ()
 ) -> DataFrame:
     """Exact interpolated quantiles per key; one output column per entry of ``probs``."""
-    ranked = ranked_values(df, value, keys, edge_key)
-    return ranked.groupBy(*keys).agg(*quantile_columns(value, probs), *extra)
+    return ranked_values(df, value, keys).groupBy(*keys).agg(*quantile_columns(value, probs), *extra)
 
 
 def quantile_columns(value: str, probs: dict[str, float]) -> list[Column]:
@@ -205,17 +264,6 @@ def quantile_columns(value: str, probs: dict[str, float]) -> list[Column]:
     ]
 
 
-def average_ranks(
-    df: DataFrame, value: str, keys: Sequence[str] = (), edge_key: str | None = None, name: str = "avg_rank"
-) -> DataFrame:
-    """Distinct values with the mean rank their ties share."""
-    ranked = ranked_values(df, value, keys, edge_key)
-    return ranked.select(
-        *keys, value, "n", "tot_n",
-        (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0).alias(name),
-    )
-
-
 def order_statistic(df: DataFrame, value: str, k: int) -> float | int:
     """The k-th smallest value of a column of unique integers (1-based)."""
     ranked = ranked_values(df, value)
