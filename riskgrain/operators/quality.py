@@ -306,9 +306,9 @@ def _long(df: DataFrame, scope: str) -> DataFrame:
     return df.select(F.inline(F.array(*cells)))
 
 
-def _customer_contract(df: DataFrame, with_split: bool) -> DataFrame:
+def _per_customer(df: DataFrame, with_split: bool, also: Sequence[Column] = ()) -> DataFrame:
     bad_target = F.col(TARGET).isNull() | ~F.col(TARGET).isin(0, 1)
-    per = df.groupBy(ID).agg(
+    return df.groupBy(ID).agg(
         F.count("*").alias("_n"),
         F.count_if(bad_target).alias("_t"),
         *(
@@ -317,23 +317,28 @@ def _customer_contract(df: DataFrame, with_split: bool) -> DataFrame:
             if with_split
             else [F.count_if(F.col("DAYS_EMPLOYED") == EMPLOYED_SENTINEL).alias("_e")]
         ),
+        *also,
     )
-    known = F.col(ID).isNotNull()
+
+
+def _contract_sums(tag: str, with_split: bool) -> list[tuple[str, Column]]:
+    """Aggregates over customers, whose columns are named after ``tag``."""
+    c = lambda name: F.col(f"{tag}{name}")
+    known, total = F.col(ID).isNotNull(), lambda v: F.coalesce(F.sum(v), F.lit(0))
     out = [
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
-        F.count_if(known).alias("unique_ids"),
-        F.coalesce(F.sum(F.when(~known, F.col("_n"))), F.lit(0)).alias("missing_ids"),
-        F.coalesce(F.sum("_t"), F.lit(0)).alias("invalid_targets"),
+        ("row_count", total(c("_n"))),
+        ("unique_ids", F.count_if(known & c("_n").isNotNull())),
+        ("missing_ids", total(F.when(~known, c("_n")))),
+        ("invalid_targets", total(c("_t"))),
     ]
     if with_split:
-        filled = [F.when(F.coalesce(F.sum(f"_{s}"), F.lit(0)) > 0, 1).otherwise(0) for s in SPLITS]
-        out += [
-            F.coalesce(F.sum("_s"), F.lit(0)).alias("invalid_splits"),
-            reduce(lambda a, b: a + b, filled).alias("split_names"),
-        ]
-    else:
-        out.append(F.coalesce(F.sum("_e"), F.lit(0)).alias("employed_sentinel_rows"))
-    return per.agg(*out)
+        filled = [F.when(total(c(f"_{s}")) > 0, 1).otherwise(0) for s in SPLITS]
+        return [*out, ("invalid_splits", total(c("_s"))), ("split_names", reduce(lambda a, b: a + b, filled))]
+    return [*out, ("employed_sentinel_rows", total(c("_e")))]
+
+
+def _customer_contract(df: DataFrame, with_split: bool) -> DataFrame:
+    return _per_customer(df, with_split).agg(*[x.alias(k) for k, x in _contract_sums("", with_split)])
 
 
 def source_contract(
@@ -355,30 +360,56 @@ def source_contract(
         F.sum("_f").alias("future_credit_rows"),
         F.sum("_u").alias("positive_update_rows"),
     )
-    paid = payments.agg(
-        F.count("*").alias("row_count"),
-        F.count_if(c(ID).isNull() | c("SK_ID_PREV").isNull()).alias("missing_keys"),
-        F.count_if(c("DAYS_INSTALMENT") > 0).alias("future_due_rows"),
-        F.count_if(c("DAYS_ENTRY_PAYMENT") > 0).alias("future_payment_rows"),
-        F.count_if(c("DAYS_ENTRY_PAYMENT").isNull() != c("AMT_PAYMENT").isNull()).alias("mismatched_missingness"),
-    )
-    owners = dependency_violations(payments, "SK_ID_PREV", ID).select(c("violating_keys").alias("owner_violations"))
-    schedules = schedule_consistency(payments).select(c("inconsistent_groups").alias("inconsistent_schedules"))
-    match = reconcile(application, splits, [TARGET]).select(c("mismatches").alias("assignment_mismatches"))
     return reduce(
         DataFrame.unionByName,
-        [
-            _long(_customer_contract(application, False), "application"),
-            _long(_customer_contract(splits, True), "splits"),
-            _long(match, "splits"),
-            _long(credit, "bureau"),
-            _long(paid, "installments"),
-            _long(owners, "installments"),
-            _long(schedules, "installments"),
-        ],
+        [_customer_contracts(application, splits), _long(credit, "bureau"), _long(_payment_contract(payments), "installments")],
     )
 
 
+def _payment_contract(payments: DataFrame) -> DataFrame:
+    """All counts of the payments from one read: rows fold to instalments, these to loans, these to one row."""
+    c = F.col
+    counted = {
+        "row_count": F.lit(True),
+        "missing_keys": c(ID).isNull() | c("SK_ID_PREV").isNull(),
+        "future_due_rows": c("DAYS_INSTALMENT") > 0,
+        "future_payment_rows": c("DAYS_ENTRY_PAYMENT") > 0,
+        "mismatched_missingness": c("DAYS_ENTRY_PAYMENT").isNull() != c("AMT_PAYMENT").isNull(),
+    }
+    ends = [(f(x).alias(f"{p}_{x}")) for x in ("DAYS_INSTALMENT", "AMT_INSTALMENT") for p, f in (("lo", F.min), ("hi", F.max))]
+    schedules = payments.groupBy(*SCHEDULE_KEY).agg(*[F.count_if(p).alias(k) for k, p in counted.items()], *ends)
+    uneven = F.coalesce(c("lo_DAYS_INSTALMENT") != c("hi_DAYS_INSTALMENT"), F.lit(False)) | F.coalesce(
+        c("lo_AMT_INSTALMENT") != c("hi_AMT_INSTALMENT"), F.lit(False))
+    loans = schedules.groupBy("SK_ID_PREV").agg(
+        *[F.sum(k).alias(k) for k in counted], F.count_if(uneven).alias("inconsistent_schedules"), F.min(ID).alias("_lo"), F.max(ID).alias("_hi"))
+    several = c("SK_ID_PREV").isNotNull() & (c("_lo") != c("_hi"))
+    return loans.agg(
+        *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in counted], F.count_if(several).alias("owner_violations"),
+        F.coalesce(F.sum("inconsistent_schedules"), F.lit(0)).alias("inconsistent_schedules"))
+
+
+def _customer_contracts(application: DataFrame, splits: DataFrame) -> DataFrame:
+    """Counts of both customer tables and of their differences, from one read of each: both fold to customers and meet once."""
+    c = F.col
+
+    def folded(df: DataFrame, tag: str, with_split: bool) -> DataFrame:
+        per = _per_customer(df, with_split, [F.min(TARGET).alias("lo"), F.max(TARGET).alias("hi")])
+        return per.select(c(ID), *[c(x).alias(f"{tag}{x}") for x in per.columns if x != ID], F.lit(True).alias(f"{tag}here"))
+
+    both = folded(application, "a", False).join(folded(splits, "s", True), ID, "full_outer")
+    alone = c("ahere").isNull() | c("shere").isNull()
+    # rows of a customer pair up; their labels differ if the smallest or largest do
+    differs = F.coalesce((c("alo") != c("slo")) | (c("ahi") != c("shi")), F.lit(False))
+    rows = F.coalesce(c("a_n"), F.lit(1)) * F.coalesce(c("s_n"), F.lit(1))
+    pick = lambda tag, with_split: [x.alias(f"{tag}{i}") for i, (_, x) in enumerate(_contract_sums(tag, with_split))]
+    match = F.coalesce(F.sum(F.when(alone | differs, rows)), F.lit(0)).alias("match")
+    one = both.agg(*pick("a", False), *pick("s", True), match)
+    cells = [("application", k, f"a{i}") for i, (k, _) in enumerate(_contract_sums("a", False))]
+    cells += [("splits", k, f"s{i}") for i, (k, _) in enumerate(_contract_sums("s", True))] + [("splits", "assignment_mismatches", "match")]
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(scope).alias("scope"), F.lit(k).alias("check_name"), c(x).cast("bigint").alias("value")) for scope, k, x in cells])))
+
+
 def enforce_source_contract(contract: DataFrame) -> dict[tuple[str, str], int]:
     """Raise on the first broken source rule; the contract is a fixed list of about 25 counts."""
     v = {(r["scope"], r["check_name"]): int(r["value"] or 0) for r in contract.collect()}
@@ -495,25 +526,6 @@ def enforce_mart_contract(*contracts: DataFrame) -> None:
             raise ContractError(f"mart contract broken: {broken}")
 
 
-def loader_contract(mart: DataFrame, splits_expected: Sequence[str] = SPLITS) -> DataFrame:
-    """Checks before a mart is used for modelling: keys, parts, infinities."""
-    numeric = [f.name for f in mart.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    infinite = [F.count_if(F.abs(F.col(c)) == F.lit(float("inf"))) for c in numeric]
-    own = _customer_contract(mart, True)
-    inf = mart.agg(reduce(lambda a, b: a + b, infinite, F.lit(0)).alias("infinite_values"))
-    return _long(own, "mart").unionByName(_long(inf, "mart"))
-
-
-def check_against_summary(mart: DataFrame, summary: DataFrame, version: str) -> None:
-    """Rows, columns and schema fingerprint must agree with the published build summary."""
-    row = summary.where(F.col("version") == version).first()
-    if row is None:
-        raise ContractError(f"{version}: no build summary")
-    actual = (mart.count(), len(mart.columns), schema_fingerprint(mart))
-    if actual != (row["row_count"], row["column_count"], row["schema_fingerprint"]):
-        raise ContractError(f"{version}: mart differs from its build summary")
-
-
 # ---------------------------------------------------------------------------
 # findings
 # ---------------------------------------------------------------------------

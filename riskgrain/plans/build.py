@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrain.operators import features, metrics, quality, raw_text, records, strategy
-from riskgrain.schemas import TABLES, check_prefix, schema_fingerprint
+from riskgrain.operators import features, mart_state, metrics, quality, raw_text, records, strategy
+from riskgrain.schemas import ID, TABLES, check_prefix, schema_fingerprint
 from riskgrain.sources.sinks import publish, write_mart
 
 
@@ -37,7 +37,8 @@ def build_marts(
 ) -> dict:
     """Check the sources, write V1, V2 and V3, check them, then publish all with the summary last.
 
-    Each mart is read back from its staged files, which also cuts the lineage of the next one.
+    Each mart is read back from its staged files, which also cuts the lineage of the next one. The marts' states are
+    published beside the summary; versions are compared by them.
     """
     quality.enforce_source_contract(quality.source_contract(application, splits, bureau, payments))
     summary: dict = {}
@@ -54,11 +55,19 @@ def build_marts(
     def read(version: str) -> DataFrame:
         return spark.read.parquet(staged[version])
 
+    states: dict[str, DataFrame] = {}
+
+    def write_states(target: str) -> None:
+        all_states = reduce(DataFrame.unionByName, [mart_state.mart_state(read(v), v) for v in ("v1", "v2", "v3")])
+        all_states.coalesce(1).write.mode("overwrite").parquet(target)
+        written = spark.read.parquet(target)
+        states.update({v: written.where(F.col("version") == v) for v in ("v1", "v2", "v3")})
+
     def write_summary(target: str) -> None:
-        marts = {v: read(v) for v in ("v1", "v2", "v3")}
-        for version, mart in marts.items():
+        for version, state in states.items():
+            mart = read(version)
             summary[version] = {
-                "rows": mart.count(),
+                "rows": state.where(F.col("column_name") == ID).first()["row_count"],
                 "columns": len(mart.columns),
                 "schema_fingerprint": schema_fingerprint(mart),
             }
@@ -75,9 +84,8 @@ def build_marts(
             *[quality.mart_contract(m, splits) for m in (v1, v2, v3)],
             quality.bureau_contract(v3, bureau, application),
             quality.installment_contract(v3, payments, application),
-            quality.lineage_mismatches(v1, v2).select(F.lit("lineage").alias("scope"), F.lit("mismatches").alias("check_name"), F.col("mismatches").alias("value")),
-            quality.lineage_mismatches(v2, v3).select(F.lit("lineage").alias("scope"), F.lit("mismatches").alias("check_name"), F.col("mismatches").alias("value")),
         )
+        mart_state.check_states(states)
 
     publish(
         spark,
@@ -85,6 +93,7 @@ def build_marts(
             paths["v1"]: stage("v1", lambda: features.application_mart(application, splits)),
             paths["v2"]: stage("v2", lambda: features.bureau_mart(read("v1"), bureau)),
             paths["v3"]: stage("v3", lambda: features.installment_mart(read("v2"), payments)),
+            f"{summary_path.rstrip('/')}-states": write_states,
             summary_path: write_summary,
         },
         check,

@@ -14,6 +14,7 @@ from riskgrain.functions.scalars import log_loss_term, logit, semantic_type
 from riskgrain.operators import (
     attribution,
     features,
+    mart_state,
     metrics,
     models,
     prep,
@@ -39,6 +40,7 @@ from riskgrain.schemas import (
 )
 from riskgrain.session import cut_lineage, shared_folder
 from riskgrain.sources import rolemap
+from riskgrain.sources.sinks import write_mart
 from riskgrain.streaming.scoring import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +92,13 @@ def _v3(s: SparkSession, d: str) -> DataFrame:
     return features.installment_mart(_v2(s, d), rolemap.installments(s, d))
 
 
+def _written(s: SparkSession, d: str, version: str) -> DataFrame:
+    """A mart as it is after it was written, which is what its contract is about."""
+    path = f"{shared_folder(s)}/mart-{version}-{uuid.uuid4().hex}"
+    write_mart({"v1": _v1, "v2": _v2, "v3": _v3}[version](s, d), path)
+    return s.read.parquet(path)
+
+
 def _train_app(s: SparkSession, d: str) -> DataFrame:
     """Training rows of the applicants; written once because the profiles read them several times."""
     return cut_lineage(profiling.train_rows(_app(s, d), _split(s, d)))
@@ -253,7 +262,7 @@ def _(s, d):
     })),
 )
 def _(s, d):
-    return quality.mart_contract(_v3(s, d), _split(s, d))
+    return quality.mart_contract(_written(s, d, "v3"), _split(s, d))
 
 
 def _odd(c: str, upper: bool = True) -> str:
@@ -271,7 +280,7 @@ def _odd(c: str, upper: bool = True) -> str:
     }) + " UNION ALL SELECT 'source', 'expected_rows', count(*) FROM bureau WHERE DAYS_CREDIT_UPDATE <= 0 AND SK_ID_CURR IN (SELECT SK_ID_CURR FROM app)"),
 )
 def _(s, d):
-    return quality.bureau_contract(_v2(s, d), rolemap.bureau(s, d), _app(s, d))
+    return quality.bureau_contract(_written(s, d, "v2"), rolemap.bureau(s, d), _app(s, d))
 
 
 _I = {k: f"INST_{k}_COUNT" for k in ("SCHEDULE", "MISSING_PAYMENT_SCHEDULE", "LATE_SCHEDULE", "UNDERPAID_SCHEDULE", "LAST_365_SCHEDULE", "LAST_365_LATE", "LAST_730_SCHEDULE", "LAST_730_LATE")}
@@ -297,15 +306,74 @@ _DATED, _PAID = "INST_PAYMENT_DATE_OBSERVED_SCHEDULE_COUNT", "INST_PAYMENT_AMOUN
     }) + " UNION ALL SELECT 'source', 'expected_rows', count(*) FROM inst WHERE SK_ID_CURR IN (SELECT SK_ID_CURR FROM app)"),
 )
 def _(s, d):
-    return quality.installment_contract(_v3(s, d), rolemap.installments(s, d), _app(s, d))
+    return quality.installment_contract(_written(s, d, "v3"), rolemap.installments(s, d), _app(s, d))
 
 
-@register(
-    "loader_contract",
-    sql(["v3"], _cells("mart", "v3", _SPLIT_CHECKS) + " UNION ALL SELECT 'mart', 'infinite_values', 0::BIGINT"),
-)
+#: A mart that breaks its contract: (column, condition, value) changes, and customers that come twice.
+_PLANTED = [
+    ("SK_ID_CURR", "SK_ID_CURR % 89 = 0", "NULL"), ("TARGET", "SK_ID_CURR % 97 = 0", "2"), ("SPLIT", "SK_ID_CURR % 101 = 0", "'dev'"),
+    ("AMT_CREDIT", "SK_ID_CURR % 103 = 0", "AMT_CREDIT + 1"), ("EXT_SOURCE_1", "SK_ID_CURR % 107 = 0", "NULL"),
+    ("BUREAU_DEBT_SUM", "SK_ID_CURR % 109 = 0", "CAST('Infinity' AS DOUBLE)"), ("OWN_CAR_AGE", "SK_ID_CURR % 113 = 0", "CAST('-Infinity' AS DOUBLE)"),
+]
+_TWICE = "SK_ID_CURR % 83 = 0"
+_SWAPS = ", ".join(f"CASE WHEN {when} THEN {value} ELSE {c} END AS {c}" for c, when, value in _PLANTED)
+ob.cte("v2_planted", ("v2",), f"WITH twice AS (SELECT * FROM v2 UNION ALL SELECT * FROM v2 WHERE {_TWICE}) SELECT * REPLACE ({_SWAPS}) FROM twice")
+
+
+def _planted(s: SparkSession, d: str) -> DataFrame:
+    mart = _v2(s, d)
+    copies = mart.select("*", F.explode(F.expr(f"IF({_TWICE}, array(0, 1), array(0))")).alias("copy")).drop("copy")
+    swaps = {c: f"CAST(CASE WHEN {when} THEN {value} ELSE {c} END AS {mart.schema[c].dataType.simpleString()})" for c, when, value in _PLANTED}
+    path = f"{shared_folder(s)}/mart-planted-{uuid.uuid4().hex}"
+    write_mart(copies.selectExpr(*[f"{swaps.get(c, c)} AS {c}" for c in mart.columns]), path)
+    return s.read.parquet(path)
+
+
+_V1_NAMES = ["SK_ID_CURR", "TARGET", "SPLIT", *ob._KEPT, *ob.V1_SQL]
+_V2_NAMES = [*_V1_NAMES, "BUREAU_HAS_HISTORY", *(f"BUREAU_{n}" for n in ob.BUREAU_AGG)]
+_V3_NAMES = [*_V2_NAMES, "INST_HAS_HISTORY", *(f"INST_{n}" for n in ob.INST_AGG)]
+_ALL_DOUBLES = {*ob.V1_DOUBLES, *ob.BUREAU_DOUBLES, *ob.INST_DOUBLES}
+
+
+def _state_cells(scope: str, source: str, names: list[str]) -> str:
+    infinite = " + ".join(f"count(*) FILTER (isinf({c}))" for c in names if c in _ALL_DOUBLES)
+    return _cells(scope, source, {
+        **_SPLIT_CHECKS, "repeated_ids": "count(SK_ID_CURR) - count(DISTINCT SK_ID_CURR)", "infinite_values": infinite, "column_count": f"max({len(names)})"})
+
+
+register("mart_states", sql(["v3"], " UNION ALL ".join([_state_cells("v1", "v1", _V1_NAMES), _state_cells("v2", "v2", _V2_NAMES), _state_cells("v3", "v3", _V3_NAMES)])))(
+    lambda s, d: reduce(DataFrame.unionByName, [mart_state.state_contract(mart_state.mart_state(_written(s, d, v), v)) for v in ("v1", "v2", "v3")]))
+register("loader_contract", sql(["v2_planted"], _state_cells("v2", "v2_planted", _V2_NAMES)))(
+    lambda s, d: mart_state.state_contract(mart_state.mart_state(_planted(s, d), "v2")))
+
+
+def _changed_sql(lower: str, higher: str, names: list[str]) -> str:
+    """A column is unchanged if (customer, value) pairs are the same bag in both marts."""
+    pair = lambda c, t: f"SELECT SK_ID_CURR AS k, {c} AS v FROM {t}"
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, false AS missing, true AS changed WHERE EXISTS (({pair(c, lower)} EXCEPT ALL {pair(c, higher)}) UNION ALL ({pair(c, higher)} EXCEPT ALL {pair(c, lower)}))"
+        for c in names)
+
+
+register("mart_lineage_states", sql(["v3"], _changed_sql("v1", "v2", _V1_NAMES) + " UNION ALL " + _changed_sql("v2", "v3", _V2_NAMES)))(
+    lambda s, d: mart_state.changed_columns(*[mart_state.mart_state(_written(s, d, v), v) for v in ("v1", "v2")]).unionByName(
+        mart_state.changed_columns(*[mart_state.mart_state(_written(s, d, v), v) for v in ("v2", "v3")])))
+# identifiers are compared as (customer, customer), so a lost one shows in every column of its rows
+register(
+    "mart_lineage_planted",
+    sql(["v1", "v2_planted"], "SELECT column_name, false AS missing, true AS changed FROM (VALUES " + ", ".join(f"('{c}')" for c in _V1_NAMES) + ") AS t(column_name) WHERE (SELECT count(*) FROM v1) <> (SELECT count(*) FROM v2_planted)"),
+)(lambda s, d: mart_state.changed_columns(mart_state.mart_state(_written(s, d, "v1"), "v1"), mart_state.mart_state(_planted(s, d), "v2")))
+ob.cte("v2_edited", ("v2",), "SELECT * REPLACE (CASE WHEN SK_ID_CURR % 103 = 0 THEN AMT_CREDIT + 1 ELSE AMT_CREDIT END AS AMT_CREDIT, CASE WHEN SK_ID_CURR % 107 = 0 THEN NULL ELSE EXT_SOURCE_2 END AS EXT_SOURCE_2) FROM v2")
+
+
+@register("mart_lineage_edited", sql(["v1", "v2_edited"], _changed_sql("v1", "v2_edited", _V1_NAMES)))
 def _(s, d):
-    return quality.loader_contract(_v3(s, d))
+    k = F.col(ID)
+    edited = _v2(s, d).withColumn("AMT_CREDIT", F.when(k % 103 == 0, F.col("AMT_CREDIT") + 1).otherwise(F.col("AMT_CREDIT"))).withColumn(
+        "EXT_SOURCE_2", F.when(k % 107 != 0, F.col("EXT_SOURCE_2")))
+    path = f"{shared_folder(s)}/mart-edited-{uuid.uuid4().hex}"
+    write_mart(edited, path)
+    return mart_state.changed_columns(mart_state.mart_state(_written(s, d, "v1"), "v1"), mart_state.mart_state(s.read.parquet(path), "v2"))
 
 
 _V1_COLUMNS = "SELECT * EXCLUDE (" + ", ".join("BUREAU_" + n for n in ["HAS_HISTORY", *ob.BUREAU_AGG]) + ") FROM v2"
@@ -313,7 +381,7 @@ _V1_COLUMNS = "SELECT * EXCLUDE (" + ", ".join("BUREAU_" + n for n in ["HAS_HIST
 
 @register("lineage_except_all", sql(["v1", "v2"], f"SELECT count(*) AS mismatches FROM (SELECT * FROM v1 EXCEPT ALL {_V1_COLUMNS})"))
 def _(s, d):
-    return quality.lineage_mismatches(_v1(s, d), _v2(s, d))
+    return quality.lineage_mismatches(_written(s, d, "v1"), _written(s, d, "v2"))
 
 
 @register(

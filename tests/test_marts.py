@@ -4,7 +4,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrain.operators import features, quality
+from riskgrain.operators import features, mart_state, quality
 from riskgrain.plans.build import build_marts
 from riskgrain.schemas import (
     BUREAU_FEATURES,
@@ -134,7 +134,7 @@ def test_publication_is_all_or_nothing(spark):
     summary = build_marts(spark, *world.tables(spark), paths, f"{folder}/summary")
     assert [summary[v]["rows"] for v in ("v1", "v2", "v3")] == [4, 4, 4]
     assert spark.read.json(f"{folder}/summary").count() == 3
-    assert sorted(os.listdir(folder)) == ["summary", "v1", "v2", "v3"]
+    assert sorted(os.listdir(folder)) == ["summary", "summary-states", "v1", "v2", "v3"]
     before = {f: os.listdir(f"{folder}/{f}") for f in ("v1", "v2", "v3", "summary")}
     with pytest.raises(ContractError):
         build_marts(spark, *_broken(spark, "label"), paths, f"{folder}/summary")
@@ -147,7 +147,7 @@ def test_publication_is_all_or_nothing(spark):
     finally:
         quality.enforce_mart_contract = original
     assert {f: os.listdir(f"{folder}/{f}") for f in before} == before
-    assert sorted(os.listdir(folder)) == ["summary", "v1", "v2", "v3"]
+    assert sorted(os.listdir(folder)) == ["summary", "summary-states", "v1", "v2", "v3"]
 
 
 def test_mart_joins_reuse_the_customer_partitioning(spark):
@@ -180,3 +180,56 @@ def test_a_customer_with_a_third_of_all_events(spark):
     r = got.where("SK_ID_CURR = 1").first()
     assert (r["INST_PAYMENT_EVENT_COUNT"], r["INST_PREV_LOAN_COUNT"], r["INST_SCHEDULE_COUNT"]) == (30000, 7, 350)
     assert r["INST_PAID_AMOUNT_SUM"] == pytest.approx(300.0) and got.count() == 60001
+
+
+def mart_rows(spark, rows):
+    return spark.createDataFrame(rows, "SK_ID_CURR bigint, TARGET tinyint, SPLIT string, X double, C string")
+
+
+PLAIN_MART = [(1, 0, "train", 1.0, "a"), (2, 1, "validation", None, "b"), (3, 0, "test", 2.0, None), (4, 1, "train", 1.0, "a")]
+
+
+def test_states_tell_versions_apart(spark, tmp_path):
+    v1 = mart_rows(spark, PLAIN_MART)
+    v2 = mart_rows(spark, PLAIN_MART[::-1]).repartition(3).withColumn("Y", F.lit(1))
+    one, two = mart_state.mart_state(v1, "v1"), mart_state.mart_state(v2, "v2")
+    assert mart_state.changed_columns(one, two).count() == 0
+    assert [(r["column_name"], r["missing"]) for r in mart_state.changed_columns(two, one).collect()] == [("Y", True)]
+    assert mart_state.check_states({"v1": one, "v2": two})["v2"] == {
+        "row_count": 4, "unique_ids": 4, "missing_ids": 0, "repeated_ids": 0, "invalid_targets": 0, "invalid_splits": 0, "split_names": 3, "infinite_values": 0, "column_count": 6}
+    # values that swap customers, a fan-out, a null for a value
+    for change in ([(1, 0, "train", None, "a"), (2, 1, "validation", 1.0, "b")], [PLAIN_MART[0], PLAIN_MART[0], PLAIN_MART[1]], [(1, 0, "train", 1.0, None), PLAIN_MART[1]]):
+        other = mart_state.mart_state(mart_rows(spark, [*change, *PLAIN_MART[2:]]), "v2")
+        assert mart_state.changed_columns(one, other).count() > 0
+        with pytest.raises(ContractError):
+            mart_state.check_states({"v1": one, "v2": other})
+    for k, row in enumerate([(None, 0, "train", 1.0, "a"), (5, 3, "train", 1.0, "a"), (5, None, "train", 1.0, "a"), (5, 0, "dev", 1.0, "a"), (5, 0, None, 1.0, "a"), (5, 0, "train", float("-inf"), "a"), (4, 0, "train", 1.0, "a")]):
+        with pytest.raises(ContractError, match=["missing_ids", "invalid_targets", "invalid_targets", "invalid_splits", "invalid_splits", "infinite_values", "repeated_ids"][k]):
+            mart_state.check_states({"v1": mart_state.mart_state(mart_rows(spark, [*PLAIN_MART, row]), "v1")})
+    one.write.parquet(f"{tmp_path}/states")
+    kept = spark.read.parquet(f"{tmp_path}/states")
+    mart_state.check_loaded(v1.repartition(2), kept, "v1")
+    with pytest.raises(ContractError, match="'X'"):
+        mart_state.check_loaded(v1.withColumn("X", F.col("X") * 2), kept, "v1")
+    with pytest.raises(ContractError, match="no published state"):
+        mart_state.check_loaded(v1, kept, "v9")
+    with pytest.raises(ContractError):
+        mart_state.check_states({"v1": mart_state.mart_state(v1.limit(0), "v1")})
+
+
+def test_source_contract_reads_each_table_once(spark, tmp_path):
+    names = ("application", "splits", "bureau", "payments")
+    for name, df in zip(names, world.tables(spark), strict=True):
+        df.write.parquet(f"{tmp_path}/{name}")
+    contract = quality.source_contract(*[spark.read.parquet(f"{tmp_path}/{n}") for n in names])
+    got = {(r["scope"], r["check_name"]): r["value"] for r in contract.collect()}
+    plan = contract._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 4
+    assert got["application", "row_count"] == 4 and got["splits", "assignment_mismatches"] == 0 and got["installments", "row_count"] == 6
+    app, splits_, bureau, payments = world.tables(spark)
+    more = splits_.where("SK_ID_CURR > 100001").unionByName(spark.createDataFrame([(100001, 1, "train"), (None, 0, "test"), (7, 0, "dev")], world.SPLITS))
+    paid = payments.unionByName(spark.createDataFrame([(11, 100002, 1.0, 9, 5.0, None, 1.0, 2.0), (None, 1, 1.0, 1, -1.0, 1.0, 1.0, 1.0), (None, 2, 1.0, 1, -2.0, 1.0, 1.0, 1.0), (13, 100003, 1.0, 1, -399.0, -401.0, 100.0, 1.0)], world.PAYMENTS))
+    got = {(r["scope"], r["check_name"]): r["value"] for r in quality.source_contract(app, more, bureau, paid).collect()}
+    assert (got["splits", "assignment_mismatches"], got["splits", "invalid_splits"], got["splits", "missing_ids"]) == (3, 1, 1)
+    ins = {k[1]: v for k, v in got.items() if k[0] == "installments"}
+    assert ins == {"row_count": 10, "missing_keys": 2, "future_due_rows": 1, "future_payment_rows": 2, "mismatched_missingness": 1, "owner_violations": 1, "inconsistent_schedules": 1}
