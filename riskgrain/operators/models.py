@@ -9,15 +9,14 @@ from functools import reduce
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrain.functions.scalars import logit
-from riskgrain.operators import metrics, prep
+from riskgrain.operators import isotonic, metrics, prep
 from riskgrain.operators.ranking import quantile_columns, ranked_values
-from riskgrain.operators.splits import stratified_folds
-from riskgrain.schemas import ID, TARGET, ContractError, FeatureRoles
+from riskgrain.operators.splits import sealed, stratified_folds
+from riskgrain.schemas import ID, SPLIT, TARGET, ContractError, FeatureRoles
 from riskgrain.session import cut_lineage
 
 # Model settings.
@@ -122,7 +121,8 @@ class Experiment:
 
 
 def run_experiment(experiment: Experiment, train: DataFrame, validation: DataFrame) -> DataFrame:
-    """Fit preprocessing and model on train, return validation scores."""
+    """Fit preprocessing and model on train, return validation scores; rows that carry a sealed part fail the job."""
+    train, validation = (sealed(df) if SPLIT in df.columns else df for df in (train, validation))
     fitted = prep.fit(train, experiment.roles, experiment.family)
     design = cut_lineage(prep.transform(train, fitted, (ID, TARGET)))
     model = experiment.fitter(design)
@@ -202,15 +202,8 @@ def fit_calibrator(method: str, rows: DataFrame, label: str = "label") -> Callab
         z = F.lit(slope) * logit(F.col("score")) + F.lit(intercept)
         return lambda df: df.withColumn("score", 1.0 / (1.0 + F.exp(-z)))
     if method == "isotonic":
-        # equal scores are averaged before the fit, which leaves the isotonic solution unchanged
-        by_score = rows.groupBy("score").agg(
-            F.avg(F.col(label).cast("double")).alias("_y"), F.count("*").cast("double").alias("_w")
-        )
-        model = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", predictionCol="_p").fit(
-            by_score.withColumnRenamed("score", "_x")
-        )
-        clip = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_p")))
-        return lambda df: model.transform(df.withColumn("_x", F.col("score"))).withColumn("score", clip).drop("_x", "_p")
+        pools = isotonic.isotonic_pools(rows, label)
+        return lambda df: isotonic.calibrate(df, pools, out="_p").withColumn("score", F.col("_p")).drop("_p")
     raise ContractError(f"unknown calibration method {method!r}")
 
 
@@ -229,6 +222,11 @@ def crossfit_calibration(scored: DataFrame, folds: int = CALIBRATION_FOLDS, seed
     return cut_lineage(reduce(DataFrame.unionByName, parts))
 
 
+def final_calibrator(oof: DataFrame, method: str, label: str = "label") -> Callable[[DataFrame], DataFrame]:
+    """The selected method refitted on all out-of-fold rows, for batches to come."""
+    return fit_calibrator(method, oof, label)
+
+
 def score_summary(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Minimum, mean, exact median, maximum and population deviation of the scores."""
     basic = scored.groupBy(*keys).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -219,8 +220,60 @@ def seal_test(split: str) -> str:
     return split
 
 
-def check_sealed(scored: DataFrame, assignments: DataFrame, id_column: str = ID) -> None:
-    """No scored row may belong to the test part."""
-    held = assignments.where(F.col(SPLIT) == "test").select(F.col(ID).alias(id_column))
-    if not scored.join(held, id_column, "left_semi").isEmpty():
-        raise ContractError("scores of the sealed test split")
+def sealed(scored: DataFrame) -> DataFrame:
+    """``scored``, which carries its part; a row of the sealed part, or of none, fails the task that meets it.
+
+    The test runs with the scan and needs no join or second job.
+    """
+    open_part = F.coalesce(F.col(SPLIT).isin(*[p for p in SPLITS if p != "test"]), F.lit(False))
+    message = F.concat(F.lit("the test split is sealed: part "), F.coalesce(F.col(SPLIT), F.lit("unknown")))
+    return scored.withColumn(SPLIT, F.when(open_part, F.col(SPLIT)).otherwise(F.raise_error(message)))
+
+
+def part_reconciliation(parts: dict[str, DataFrame], assignments: DataFrame) -> DataFrame:
+    """(check_name, value): how the customers of several parts agree with the assignment, in one shuffle of ids.
+
+    Counts customers in two parts, of the sealed part, unknown ones, changed labels, and per part those that belong
+    elsewhere or are absent.
+    """
+    c, names = F.col, list(parts)
+    tagged = [assignments.select(ID, F.lit("").alias("_in"), c(TARGET).cast("int").alias("_y"), c(SPLIT).alias("_p"))]
+    tagged += [df.select(ID, F.lit(n).alias("_in"), c(TARGET).cast("int").alias("_y"), F.lit(None).cast("string").alias("_p")) for n, df in parts.items()]
+    per = reduce(DataFrame.unionByName, tagged).groupBy(ID).agg(
+        F.max("_p").alias("part"), F.max(F.when(c("_in") == "", c("_y"))).alias("y"),
+        *[F.count_if(c("_in") == n).alias(f"n_{n}") for n in names],
+        *[f(F.when(c("_in") != "", c("_y"))).alias(k) for k, f in (("lo", F.min), ("hi", F.max))])
+    inside = {n: c(f"n_{n}") > 0 for n in names}
+    seen = reduce(lambda a, b: a | b, inside.values())
+    several = reduce(lambda a, b: a + b, [i.cast("int") for i in inside.values()]) > 1
+    checks = {
+        "shared_ids": several,
+        "sealed_ids": seen & (c("part") == "test"),
+        "unknown_ids": seen & c("part").isNull(),
+        "label_changes": seen & ((c("lo") != c("y")) | (c("hi") != c("y"))),
+        **{f"misplaced_in_{n}": i & (c("part") != n) for n, i in inside.items()},
+        **{f"absent_from_{n}": ~i & (c("part") == n) for n, i in inside.items()},
+    }
+    one = per.agg(*[F.count_if(p).alias(k) for k, p in checks.items()])
+    return one.unpivot([], list(checks), "check_name", "value")
+
+
+def check_parts(reconciled: DataFrame) -> None:
+    """Raise if parts share customers, hold sealed or unknown ones, or changed a label."""
+    broken = [r["check_name"] for r in reconciled.collect() if r["value"] and not r["check_name"].startswith("absent")]
+    if broken:
+        raise ContractError(f"parts break the assignment: {broken}")
+
+
+def version_alignment(versions: dict[str, DataFrame]) -> DataFrame:
+    """(pair, row_count, id_differences, value_differences) of neighbouring mart versions, in one shuffle of narrow rows."""
+    c, names = F.col, list(versions)
+    tagged = [df.select(ID, F.lit(k).alias("_v"), F.concat_ws("\u0000", c(TARGET).cast("string"), c(SPLIT)).alias("_x")) for k, df in enumerate(versions.values())]
+    per = reduce(DataFrame.unionByName, tagged).groupBy(ID).agg(
+        *[F.count_if(c("_v") == k).alias(f"n{k}") for k in range(len(names))],
+        *[F.min(F.when(c("_v") == k, c("_x"))).alias(f"x{k}") for k in range(len(names))])
+    cells = [F.struct(
+        F.lit(f"{a}_{b}").alias("pair"), c(f"n{k}").alias("n"), (c(f"n{k}") != c(f"n{k + 1}")).alias("alone"), (c(f"x{k}") != c(f"x{k + 1}")).alias("differs"))
+        for k, (a, b) in enumerate(zip(names, names[1:], strict=False))]
+    return per.select(F.inline(F.array(*cells))).groupBy("pair").agg(
+        F.sum("n").alias("row_count"), F.count_if("alone").alias("id_differences"), F.count_if("differs").alias("value_differences"))

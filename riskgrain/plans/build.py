@@ -125,15 +125,17 @@ def score_batch(
     policy: Mapping[str, float],
     known_levels: Mapping[str, Sequence[str]] | None = None,
     strict: bool = True,
+    calibrator=None,
 ) -> DataFrame:
-    """Validate, score (``scorer`` adds ``score``), and apply the policy.
+    """Validate, score (``scorer`` adds ``score``), calibrate (``calibrator`` replaces it) and apply the policy.
 
     With ``strict`` any invalid row rejects the whole batch; otherwise only valid rows are scored.
     """
     validated = records.validate_records(batch, specs)
     valid, _ = records.split_valid(validated, strict)
     names = [s.name for s in specs]
-    scored = records.apply_policy(scorer(valid), policy)
+    scored = scorer(valid)
+    scored = records.apply_policy(calibrator(scored) if calibrator else scored, policy)
     return scored.select(
         "record_id", F.col("score").alias("probability"), "risk_band", "priority_review",
         *records.record_warnings(names, known_levels),

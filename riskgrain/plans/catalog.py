@@ -14,6 +14,7 @@ from riskgrain.functions.scalars import log_loss_term, logit, semantic_type
 from riskgrain.operators import (
     attribution,
     features,
+    isotonic,
     mart_state,
     metrics,
     models,
@@ -1097,6 +1098,49 @@ def _parts(s: SparkSession, d: str) -> tuple[dict[str, FeatureRoles], DataFrame,
     return roles, rows.where(F.col(SPLIT) == "train"), rows.where(F.col(SPLIT) == "validation")
 
 
+def _sealed_world(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Scores of both model parts, some customers in the wrong one, in both or of the sealed part."""
+    rows = _split(s, d)
+    k, part = F.col(ID), F.col(SPLIT)
+    return {
+        "train": rows.where((part == "train") | ((part == "validation") & (k % 37 == 0))),
+        "validation": rows.where(((part == "validation") & (k % 41 != 0)) | ((part == "test") & (k % 43 == 0))).withColumn(
+            TARGET, F.when(k % 47 == 0, 1 - F.col(TARGET)).otherwise(F.col(TARGET))),
+    }
+
+
+_SEALED = (
+    "WITH t AS (SELECT * FROM split WHERE SPLIT = 'train' OR (SPLIT = 'validation' AND SK_ID_CURR % 37 = 0)), "
+    "v AS (SELECT SK_ID_CURR, CASE WHEN SK_ID_CURR % 47 = 0 THEN 1 - TARGET ELSE TARGET END AS TARGET, SPLIT FROM split WHERE (SPLIT = 'validation' AND SK_ID_CURR % 41 <> 0) OR (SPLIT = 'test' AND SK_ID_CURR % 43 = 0)), "
+    "j AS (SELECT s.TARGET AS y, s.SPLIT AS part, t.SK_ID_CURR IS NOT NULL AS in_t, v.SK_ID_CURR IS NOT NULL AS in_v, t.TARGET AS ty, v.TARGET AS vy FROM split AS s LEFT JOIN t USING (SK_ID_CURR) LEFT JOIN v USING (SK_ID_CURR)) "
+    "SELECT 'shared_ids' AS check_name, count(*) FILTER (in_t AND in_v) AS value FROM j "
+    "UNION ALL SELECT 'sealed_ids', count(*) FILTER (part = 'test' AND (in_t OR in_v)) FROM j "
+    "UNION ALL SELECT 'unknown_ids', 0 + count(*) FILTER (part IS NULL) FROM j "
+    "UNION ALL SELECT 'label_changes', count(*) FILTER ((in_t AND ty <> y) OR (in_v AND vy <> y)) FROM j "
+    "UNION ALL SELECT 'misplaced_in_train', count(*) FILTER (in_t AND part <> 'train') FROM j "
+    "UNION ALL SELECT 'absent_from_train', count(*) FILTER (NOT in_t AND part = 'train') FROM j "
+    "UNION ALL SELECT 'misplaced_in_validation', count(*) FILTER (in_v AND part <> 'validation') FROM j "
+    "UNION ALL SELECT 'absent_from_validation', count(*) FILTER (NOT in_v AND part = 'validation') FROM j"
+)
+register("sealed_parts", sql(["split"], "SELECT check_name, value FROM (" + _SEALED + ")"))(lambda s, d: splits.part_reconciliation(_sealed_world(s, d), _split(s, d)))
+
+
+@register(
+    "version_alignment",
+    sql(["v3"], "SELECT q.pair, (SELECT count(*) FROM v1) AS row_count, 0::BIGINT + CASE q.pair WHEN 'v1_v2' THEN (SELECT count(*) FROM v1 FULL JOIN v2 USING (SK_ID_CURR) WHERE v1.SPLIT IS NULL OR v2.SPLIT IS NULL) ELSE (SELECT count(*) FROM v2 FULL JOIN v3 USING (SK_ID_CURR) WHERE v2.SPLIT IS NULL OR v3.SPLIT IS NULL) END AS id_differences, "
+        "CASE q.pair WHEN 'v1_v2' THEN (SELECT count(*) FROM v1 JOIN v2 USING (SK_ID_CURR) WHERE v1.TARGET <> v2.TARGET OR v1.SPLIT <> v2.SPLIT) ELSE (SELECT count(*) FROM v2 JOIN v3 USING (SK_ID_CURR) WHERE v2.TARGET <> v3.TARGET OR v2.SPLIT <> v3.SPLIT) END AS value_differences FROM (VALUES ('v1_v2'), ('v2_v3')) AS q(pair)"),
+)
+def _(s, d):
+    return splits.version_alignment({v: _written(s, d, v) for v in ("v1", "v2", "v3")})
+
+
+@register("sealed_scores", sql(["split"], "SELECT SK_ID_CURR, TARGET, SPLIT, CAST((SK_ID_CURR * 7919) % 1000 AS DOUBLE) / 1000 AS score FROM split WHERE SPLIT IN ('train', 'validation')", ["score"]))
+def _(s, d):
+    """Scores of the model parts; a row of the sealed part would stop the job."""
+    rows = _split(s, d).where(F.col(SPLIT) != "test")
+    return splits.sealed(rows.withColumn("score", (F.col(ID) * 7919 % 1000).cast("double") / 1000.0))
+
+
 register(
     "class_distribution",
     sql(["split"], "SELECT count(*) AS row_count, count(*) FILTER (TARGET = 0) AS negatives, count(*) FILTER (TARGET = 1) AS positives, avg(TARGET) AS positive_rate FROM split WHERE SPLIT = 'train'", ["positive_rate"]),
@@ -1186,6 +1230,35 @@ def _(s, d):
     return selection.calibration_checks(folds, totals)
 
 
+# least squares under the order: at each score the largest, over starts, of the smallest mean over ends of a block
+ob.cte("fit_rows", (), "SELECT CAST((c_custkey * 7919) % 1000 AS DOUBLE) / 1000 AS score, CAST(c_acctbal < 0 AS INT) AS label FROM customer WHERE c_custkey % 3 <> 0")
+ob.cte("fit_scores", ("fit_rows",), "SELECT score, sum(label)::DOUBLE AS y, count(*)::DOUBLE AS w, row_number() OVER (ORDER BY score) AS i FROM fit_rows GROUP BY score")
+ob.cte("fit_sums", ("fit_scores",), "SELECT i, score, w, sum(y) OVER (ORDER BY i) AS sy, sum(w) OVER (ORDER BY i) AS sw, y FROM fit_scores")
+ob.cte("fit_blocks", ("fit_sums",), "SELECT a.i AS j, b.i AS k, (b.sy - a.sy + a.y) / (b.sw - a.sw + a.w) AS m FROM fit_sums AS a JOIN fit_sums AS b ON a.i <= b.i")
+ob.cte("fit_least", ("fit_blocks",), "SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM fit_blocks")
+ob.cte("fit_most", ("fit_least",), "SELECT j, k, max(m) OVER (PARTITION BY k ORDER BY j) AS m FROM fit_least")
+ob.cte("fit_values", ("fit_most", "fit_sums"), "SELECT score, w, round(m, 12) AS value FROM fit_most JOIN fit_sums ON fit_sums.i = k WHERE j = k")
+ob.cte("fit_pools", ("fit_values",), "SELECT min(score) AS low, max(score) AS high, value, sum(w) AS weight FROM fit_values GROUP BY value")
+ob.cte("fit_next", ("fit_pools",), "SELECT *, lead(low) OVER (ORDER BY low) AS next_low, lead(value) OVER (ORDER BY low) AS next_value, lag(low) OVER (ORDER BY low) IS NULL AS opens FROM fit_pools")
+
+
+def _fitted_pools(s: SparkSession, d: str) -> DataFrame:
+    return isotonic.isotonic_pools(rolemap.scores(s, d).where("id % 3 <> 0"))
+
+
+register("isotonic_pools", sql(["fit_pools"], "SELECT * FROM fit_pools", ["low", "high", "value", "weight"]))(_fitted_pools)
+_CALIBRATED_POLICY = {"medium_cutoff": 0.08, "high_cutoff": 0.12, "review_cutoff": 0.12}
+register(
+    "calibrated_batch",
+    sql(["fit_next"], "SELECT id, p AS probability, CASE WHEN p >= 0.12 THEN 'high' WHEN p >= 0.08 THEN 'medium' ELSE 'low' END AS risk_band, p >= 0.12 AS priority_review FROM ("
+        "SELECT id, round(CASE WHEN score > high AND next_low IS NOT NULL THEN value + (score - high) / (next_low - high) * (next_value - value) ELSE value END, 9) AS p FROM "
+        "(SELECT c_custkey AS id, CAST((c_custkey * 7919) % 1000 AS DOUBLE) / 1000 AS score FROM customer) AS x JOIN fit_next ON (score >= low OR opens) AND (next_low IS NULL OR score < next_low))",
+        ["probability"]),
+)(lambda s, d: records.apply_policy(
+    # rounded before the cut-offs, as sums of another order differ in the last digits
+    models.final_calibrator(rolemap.scores(s, d).where("id % 3 <> 0"), "isotonic")(rolemap.scores(s, d)).withColumn("score", F.round("score", 9)),
+    _CALIBRATED_POLICY).select("id", F.col("score").alias("probability"), "risk_band", "priority_review"))
+
 # Three score variants of each customer, evaluated by fold: the input of the selection rules.
 _VARIANTS = {"baseline": (0, 7919, 0.0), "simple": (1, 104729, 0.05), "complex": (2, 31, 0.06)}
 
