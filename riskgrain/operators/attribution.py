@@ -95,6 +95,10 @@ def importance(attributions: DataFrame) -> DataFrame:
     per = attributions.groupBy("feature").agg(
         F.avg(F.abs("attribution")).alias("mean_abs"), F.avg("attribution").alias("mean_signed")
     )
+    return _ranked_importance(per)
+
+
+def _ranked_importance(per: DataFrame) -> DataFrame:
     # one row per feature
     order = Window.partitionBy(F.lit(0)).orderBy(F.desc("mean_abs"), F.asc("feature"))
     whole = Window.partitionBy(F.lit(0))
@@ -105,6 +109,29 @@ def importance(attributions: DataFrame) -> DataFrame:
     )
 
 
+def slot_means(long: DataFrame, rows: int) -> DataFrame:
+    """(slot, mean) over ``rows`` rows of a design in long form; rows without a slot's entry hold 0 there."""
+    return long.groupBy("slot").agg((F.sum("value") / F.lit(float(rows))).alias("mean"))
+
+
+def slot_importance(long: DataFrame, weights: DataFrame, rows: int) -> DataFrame:
+    """Importance of every slot of a linear model from the non-zero entries (slot, value) of ``rows`` rows.
+
+    ``weights``: slot, coefficient, mean, one row per slot. A row without an entry holds 0, whose attribution is the
+    same for all such rows, so only their number counts.
+    """
+    c = F.col
+    part = c("coefficient") * (c("value") - c("mean"))
+    seen = long.join(F.broadcast(weights), "slot").groupBy("slot").agg(
+        F.count("*").alias("_n"), F.sum(F.abs(part)).alias("_abs"), F.sum(part).alias("_sum"))
+    zero = -c("coefficient") * c("mean")
+    absent = F.lit(float(rows)) - F.coalesce(c("_n"), F.lit(0))
+    per = weights.join(seen, "slot", "left").select(
+        c("slot").alias("feature"), ((F.coalesce(c("_abs"), F.lit(0.0)) + absent * F.abs(zero)) / F.lit(float(rows))).alias("mean_abs"),
+        ((F.coalesce(c("_sum"), F.lit(0.0)) + absent * zero) / F.lit(float(rows))).alias("mean_signed"))
+    return _ranked_importance(per)
+
+
 def group_importance(attributions: DataFrame, groups: DataFrame) -> DataFrame:
     """Importance summed by source group. ``groups``: feature, source_group."""
     per = importance(attributions).join(groups.select("feature", "source_group"), "feature")

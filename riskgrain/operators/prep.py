@@ -248,6 +248,13 @@ def transform(df: DataFrame, prep: FittedPrep, keep: Sequence[str] = (), output:
     return assembled.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], output)
 
 
+def design_long(design: DataFrame, names: Sequence[str], keep: Sequence[str] = (), vector: str = "features") -> DataFrame:
+    """(keep..., slot, value): the non-zero slots of each row's vector under their names."""
+    slots = F.array(*[F.lit(n) for n in names])
+    entries = F.transform(vector_to_array(vector), lambda x, i: F.struct(F.get(slots, i).alias("slot"), x.alias("value")))
+    return design.select(*keep, F.inline(F.filter(entries, lambda e: e["value"] != 0)))
+
+
 def non_finite_rows(design: DataFrame, vector: str = "features") -> DataFrame:
     """Rows whose assembled vector holds NaN or an infinity."""
     bad = F.exists(vector_to_array(vector), lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))

@@ -40,6 +40,29 @@ def metric_deltas(table: DataFrame, key: str, minuend: str, metrics: Sequence[st
     )
 
 
+def experiment_deltas(
+    table: DataFrame, model: str, data: str, versions: Sequence, baseline: str, metrics: Sequence[str]
+) -> DataFrame:
+    """(kind, subject, comparison, delta_...) between experiments, one row of ``table`` per model and data version.
+
+    ``more_data``: the same model on a version minus the one before it. ``other_model``: on the same version another
+    model minus the baseline. Pairs of which one side is absent have no row.
+    """
+    c, place = F.col, {v: i for i, v in enumerate(versions)}
+    number = F.create_map(*[F.lit(x) for v, i in place.items() for x in (v, i)])[c(data)]
+    rows = table.select(model, data, number.alias("_at"), *metrics).where(c("_at").isNotNull())
+    other = rows.select(c(model).alias("_m"), c(data).alias("_d"), c("_at").alias("_o"), *[c(m).alias(f"_b_{m}") for m in metrics])
+    deltas = [(c(m) - c(f"_b_{m}")).alias(f"delta_{m}") for m in metrics]
+
+    def compared(kind: str, condition, subject: str, left: str, right: str) -> DataFrame:
+        text = F.concat(c(left).cast("string"), F.lit("_minus_"), c(right).cast("string")).alias("comparison")
+        return rows.join(other, condition).select(F.lit(kind).alias("kind"), c(subject).cast("string").alias("subject"), text, *deltas)
+
+    more = compared("more_data", (c(model) == c("_m")) & (c("_at") == c("_o") + 1), model, data, "_d")
+    against = (c("_at") == c("_o")) & (c("_m") == baseline) & (c(model) != baseline)
+    return more.unionByName(compared("other_model", against, data, model, "_m"))
+
+
 def _wins(folds: DataFrame, key: str, baseline: str, metric: str, higher: bool) -> DataFrame:
     """Folds in which a candidate beats the baseline."""
     base = folds.where(F.col(key) == baseline).select("fold", F.col(metric).alias("_base"))

@@ -1072,17 +1072,53 @@ def _(s, d):
     return prep.group_levels(_app(s, d), fitted).select(ID, F.col("ORGANIZATION_TYPE").alias("level"))
 
 
-@register("design_matrix")
+def _design_sql() -> str:
+    """Non-zero slots: imputed and scaled numbers, missing indicators, one-hot levels with rare ones pooled."""
+    lead, parts = "SELECT SK_ID_CURR, TARGET, ", []
+    for c in _PREP:
+        filled = f"ifnull({c}, (SELECT quantile_cont({c}, 0.5) FROM train_app))"
+        parts.append(f"{lead}'numeric__{c}' AS slot, {filled} / (SELECT coalesce(nullif(stddev_pop({filled}), 0), 1) FROM train_app) AS value FROM app")
+        parts.append(f"{lead}'numeric__missingindicator_{c}', 1.0::DOUBLE FROM app WHERE {c} IS NULL AND (SELECT count(*) > count({c}) FROM train_app)")
+    for c in _PREP_ROLES.categorical:
+        level = f"ifnull({c}, '{prep.MISSING_LEVEL}')"
+        shares = f"SELECT {level} AS level, count(*) / (SELECT count(*) FROM train_app)::DOUBLE AS share FROM train_app GROUP BY ALL"
+        shown = f"CASE WHEN share < {prep.RARE_SHARE} AND level <> '{prep.MISSING_LEVEL}' THEN '{prep.RARE_LEVEL}' ELSE level END"
+        parts.append(f"{lead}'categorical__{c}_' || {shown}, 1.0::DOUBLE FROM app JOIN ({shares}) AS l ON level = {level}")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") AS slots WHERE value <> 0"
+
+
+ob.cte("design", ("app", "train_app"), _design_sql())
+
+
+def _design(s: SparkSession, d: str) -> tuple[DataFrame, prep.FittedPrep]:
+    fitted = prep.fit(_train_app(s, d), _PREP_ROLES)
+    return prep.design_long(prep.transform(_app(s, d), fitted, (ID, TARGET)), fitted.output_names, (ID, TARGET)), fitted
+
+
+register("design_matrix", sql(["design"], "SELECT * FROM design", ["value"]))(lambda s, d: _design(s, d)[0])
+
+
+@register(
+    "slot_importance",
+    sql(["design"], "SELECT feature, mean_abs, mean_signed, mean_abs / sum(mean_abs) OVER () AS share, row_number() OVER (ORDER BY mean_abs DESC, feature)::INTEGER AS rank FROM ("
+        "SELECT slot AS feature, (sum(abs(b * (value - m))) + (n - count(*)) * abs(b * m)) / n AS mean_abs, (sum(b * (value - m)) - (n - count(*)) * b * m) / n AS mean_signed FROM "
+        "(SELECT *, (SELECT count(*) FROM app)::DOUBLE AS n, 0.1 * length(slot) AS b, sum(value) OVER (PARTITION BY slot) / (SELECT count(*) FROM app) AS m FROM design) GROUP BY slot, n, b, m)",
+        ["mean_abs", "mean_signed", "share"]),
+)
 def _(s, d):
-    train, app = _train_app(s, d), _app(s, d)
-    fitted = prep.fit(train, _PREP_ROLES)
-    return prep.transform(app, fitted, (ID, TARGET)).select(ID, TARGET, F.col("features").cast("string").alias("features"))
+    """Slot-level importance of a linear model whose coefficients follow from the slots' names."""
+    long, _fitted = _design(s, d)
+    long, n = cut_lineage(long), _app(s, d).count()
+    weights = attribution.slot_means(long, n).withColumn("coefficient", F.length("slot") * F.lit(0.1))
+    return attribution.slot_importance(long, weights, n)
 
 
-@register("design_finite", sql(["app"], "SELECT count(*) AS row_count, 0::BIGINT AS non_finite_rows FROM app"))
+@register("design_finite", sql(["app"], "SELECT count(*) AS row_count, count(*) FILTER (SK_ID_CURR % 103 = 0) AS non_finite_rows FROM app"))
 def _(s, d):
+    """Rows with an infinite income, which no imputation mends, are counted in the assembled design."""
     train, app = _train_app(s, d), _app(s, d)
-    return prep.non_finite_rows(prep.transform(app, prep.fit(train, _PREP_ROLES), (ID,)))
+    infinite = F.when(F.col(ID) % 103 == 0, F.lit(float("inf"))).otherwise(F.col("AMT_INCOME_TOTAL"))
+    return prep.non_finite_rows(prep.transform(app.withColumn("AMT_INCOME_TOTAL", infinite), prep.fit(train, _PREP_ROLES), (ID,)))
 
 
 # --- models ----------------------------------------------------------------
@@ -1317,6 +1353,13 @@ register(
     sql(["model_metrics"], "SELECT 'baseline_minus_' || m.candidate AS comparison, " + ", ".join(f"b.{m} - m.{m} AS delta_{m}" for m in ("roc_auc", "pr_auc", "brier_score")) + " FROM model_metrics AS m, model_metrics AS b WHERE b.candidate = 'baseline' AND m.candidate <> 'baseline'",
         ["delta_roc_auc", "delta_pr_auc", "delta_brier_score"]),
 )(lambda s, d: selection.metric_deltas(metrics.evaluate(_variants(s, d), ["candidate"]), "candidate", "baseline", ["roc_auc", "pr_auc", "brier_score"]))
+_DELTAS = ", ".join(f"x.{m} - y.{m} AS delta_{m}" for m in ("roc_auc", "pr_auc", "brier_score"))
+register(
+    "experiment_deltas",
+    sql(["fold_metrics"], f"SELECT 'more_data' AS kind, x.candidate AS subject, x.fold || '_minus_' || y.fold AS comparison, {_DELTAS} FROM fold_metrics AS x JOIN fold_metrics AS y ON x.candidate = y.candidate AND x.fold = y.fold + 1 "
+        f"UNION ALL SELECT 'other_model', x.fold::VARCHAR, x.candidate || '_minus_' || y.candidate, {_DELTAS} FROM fold_metrics AS x JOIN fold_metrics AS y ON x.fold = y.fold AND y.candidate = 'baseline' AND x.candidate <> 'baseline'",
+        ["delta_roc_auc", "delta_pr_auc", "delta_brier_score"]),
+)(lambda s, d: selection.experiment_deltas(_fold_metrics(s, d), "candidate", "fold", [1, 2, 3], "baseline", ["roc_auc", "pr_auc", "brier_score"]))
 register(
     "model_ranking",
     sql(["model_metrics"], "SELECT candidate, pr_auc, row_number() OVER (ORDER BY pr_auc DESC, candidate)::INTEGER AS rank FROM model_metrics", ["pr_auc"]),
