@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgrain.llm.common import mix, small_batches, spans_hash, text_pieces
+from riskgrain.llm.common import mix, small_batches, spans_hash, stored_by, text_pieces
 
 #: Bytes of text in one block.
 BLOCK_BYTES = 4 << 20
@@ -110,6 +110,18 @@ def _unpack(data: bytes) -> list[str]:
     return zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")
 
 
+def _packed_numbers(x: np.ndarray) -> bytes:
+    """Numbers below 2**32, in two bytes each where they fit."""
+    if not len(x):
+        return b""
+    kind = np.uint16 if int(x.max()) < 1 << 16 else np.uint32
+    return bytes([kind(0).itemsize]) + zlib.compress(x.astype(kind).tobytes(), 1)
+
+
+def _unpacked_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), np.uint16 if data[0] == 2 else np.uint32) if data else np.zeros(0, np.uint32)
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """Small batches put together to about ``size`` bytes."""
     waiting, held = [], 0
@@ -164,7 +176,7 @@ def _split_blocks(df: DataFrame, key: str, text: str, spec, added: dict[str, int
                 packed = [_pack([words[k] for k in part]) for part in np.split(order, begin[1:])] if len(words) else []
                 none = pa.nulls(len(used), keys.type)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), name)), pa.array(used, pa.int32()), pa.array(packed, pa.binary()), none], names=schema.names)
-                shown = [zlib.compress(spot[c].tobytes(), 1) if len(c) else b"" for c in codes]
+                shown = [_packed_numbers(spot[c]) for c in codes]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(y - x, name)), pa.nulls(y - x, pa.int32()), pa.array(shown, pa.binary()), keys.slice(x, y - x)], names=schema.names)
 
     # as a column: a task of the union below would count its partitions otherwise
@@ -178,9 +190,9 @@ def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
     space. Special tokens in a text are recognised, none are added. Null counts as empty and gives no ids. Blocks are
     bounded by ``block_bytes`` (one longer text is a block), buckets of distinct words hold about a block's words each,
     and every block is a group of its own however many equal ones there are, so no key, copy or common word piles up.
-    The split runs once for the words and once for the texts; blocks are named by their place and content, and if a
-    source gave its rows in another order or partition the second time, the words of a block would be missing and the
-    job fails instead of giving wrong ids. A file scan never does.
+    Texts are split once: the blocks are written as a table bucketed by block in the shared folder, from which words go
+    out by hash bucket and to which their ids come back, while the texts' positions stay where they are. The result
+    reads that table, which is left to the cluster's policy for the folder.
     """
     small_batches(df.sparkSession)
     sc = df.sparkSession.sparkContext
@@ -190,7 +202,7 @@ def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
     buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
     added = added_tokens(tokenizer_json)
     words_spec = sc.broadcast(word_tokenizer_json(tokenizer_json))
-    split = _split_blocks(df, key, text, spec, added, buckets, block_bytes)
+    split = stored_by(_split_blocks(df, key, text, spec, added, buckets, block_bytes), "block")
     held: dict = {}  # a task's tokenizer, built once for all its buckets
 
     def encode(rows):
@@ -213,29 +225,23 @@ def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
             at = np.array([number[w] for w in words])
             n = lengths[at]
             take = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[at], n)
-            out.append(zlib.compress(np.concatenate(([len(n)], n, flat[take])).astype(np.uint32).tobytes(), 1))
+            out.append(_packed_numbers(np.concatenate(([len(n)], n, flat[take]))))
         return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "payload": pa.array(out, pa.binary())})
 
     encoded = split.where("bucket is not null").groupBy("bucket").applyInArrow(encode, "block bigint, bucket int, payload binary")
-    both = encoded.withColumn("key", F.lit(None).cast(df.schema[key].dataType)).unionByName(split.where("bucket is null"))
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL("ids array<int>, decoded string").fields])
 
-    def assemble(rows):
-        bucket, payload = rows.column("bucket").to_pylist(), rows.column("payload")
-        lists = {}
-        for k in range(len(bucket)):
-            if bucket[k] is not None:
-                lists[bucket[k]] = np.frombuffer(zlib.decompress(payload[k].as_py()), np.uint32)
-        n = np.concatenate([np.zeros(0, np.uint32), *(lists[k][1 : 1 + lists[k][0]] for k in sorted(lists))]).astype(np.int64)
-        flat = np.concatenate([np.zeros(0, np.uint32), *(lists[k][1 + lists[k][0] :] for k in sorted(lists))])
+    def assemble(rows, words):
+        lists = {k: _unpacked_numbers(p.as_py()) for k, p in zip(words.column("bucket").to_pylist(), words.column("payload"), strict=True)}
+        n = np.concatenate([np.zeros(0, np.uint32), *(lists[k][1 : 1 + int(lists[k][0])] for k in sorted(lists))]).astype(np.int64)
+        flat = np.concatenate([np.zeros(0, np.uint32), *(lists[k][1 + int(lists[k][0]) :] for k in sorted(lists))])
         begin = np.cumsum(n) - n
         piece = pieces.value
         shown = [" ".join([piece[i] for i in flat[x : x + m].tolist()]) for x, m in zip(begin.tolist(), n.tolist(), strict=True)]
-        at = [k for k in range(len(bucket)) if bucket[k] is None]
         ids, counts, decoded = [np.zeros(0, np.int32)], [], []
-        for k in at:
-            raw = payload[k].as_py()
-            words = np.frombuffer(zlib.decompress(raw), np.uint32) if raw else np.zeros(0, np.uint32)
+        for payload in rows.column("payload"):
+            raw = payload.as_py()
+            words = _unpacked_numbers(raw)
             if len(words) and int(words.max()) >= len(n):
                 raise RuntimeError("a block's words are incomplete")
             m = n[words]
@@ -244,11 +250,12 @@ def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
             counts.append(len(take))
             decoded.append(" ".join([shown[w] for w in words.tolist()]))
         bounds = np.concatenate(([0], np.cumsum(counts, dtype=np.int64))).astype(np.int32)
-        keys = rows.column("key").take(pa.array(at, pa.int64())).combine_chunks()
+        keys = rows.column("key").combine_chunks()
         lists_of = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(ids)))
         return pa.Table.from_arrays([keys if isinstance(keys, pa.Array) else pa.array([], keys.type), lists_of, pa.array(decoded, pa.string())], names=schema.names)
 
-    return both.groupBy("block").applyInArrow(assemble, schema)
+    texts = split.where("bucket is null").select("block", "payload", "key")
+    return texts.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def decode(df: DataFrame, tokenizer_json: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
