@@ -27,11 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared checkpoint folder and read it back.
 
-    Cuts lineage, survives lost executors and, unlike a checkpoint of rows, is compressed and read by column.
+    Cuts lineage, survives lost executors and, unlike a checkpoint of rows, is compressed and read by column. The
+    shuffles behind it are done with; Spark deletes their files once the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,6 +58,7 @@ def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, Callable[[], None]]:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.repartition(n, key).dropDuplicates([key])
     dealt.write.bucketBy(n, key).sortBy(key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    spark._jvm.System.gc()  # the exchange behind it is done with
 
     def drop() -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
@@ -65,6 +68,18 @@ def bucketed(df: DataFrame, key: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.table(name), drop
 
 
+def stored_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written as a table bucketed by ``key`` in the shared folder, without a shuffle: for keys with many bytes each.
+
+    Each task writes a file per bucket it has rows of.
+    """
+    spark = df.sparkSession
+    name, n = f"bucketed_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    spark._jvm.System.gc()
+    return spark.table(name)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows of an Arrow batch for this session, so that whole long texts fit a task's memory.
 
@@ -127,11 +142,17 @@ def text_pieces(column: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tu
         at = end
 
 
+#: Powers a task keeps for its next pieces; longer tables, for longer texts, are made anew.
+_KEPT_POWERS = 1 << 20
+
+
 def power_tables(n: int, _kept: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
     """Powers of the base and of its inverse modulo 2**64, at least ``n`` of each."""
+    if n > _KEPT_POWERS:
+        _kept = {}
     have = _kept.get("n", 0)
     if have < n:
-        size = 1 << max(16, int(n).bit_length())
+        size = 1 << max(16, int(n - 1).bit_length())
         for key, base in (("p", _BASE), ("q", _BASE_INVERSE)):
             out = np.empty(size, np.uint64)
             out[0] = 1
@@ -198,13 +219,11 @@ def hash_filter(keys: DataFrame, column: str, bits: int = 24) -> Callable[[str],
         all_marks[r["slice"]] = np.frombuffer(r["marks"], np.uint8)
     sent = keys.sparkSession.sparkContext.broadcast(all_marks.ravel())
 
-    @F.pandas_udf("boolean")
-    def may_hold(values):
-        import pandas as pd
-
-        null = values.isna().to_numpy()
-        at = mix(values.fillna(0).to_numpy().astype(np.int64).view(np.uint64)) >> _U(64 - bits)
+    @F.arrow_udf("boolean")
+    def may_hold(values: pa.Array) -> pa.Array:
+        null = values.is_null().to_numpy(zero_copy_only=False)
+        at = mix(values.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) >> _U(64 - bits)
         hit = (sent.value[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8)) & 1
-        return pd.Series(null | (hit == 1))
+        return pa.array(null | (hit == 1))
 
     return lambda name: may_hold(F.col(name).cast("long"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrain.llm.common import bucketed, free_name, hash_filter, mix, power_tables, settle, small_batches
+from riskgrain.llm.common import bucketed, free_name, hash_filter, mix, power_tables, settle, small_batches, unsettle
 from riskgrain.llm.linking import connect, shared_members
 
 SHINGLE = 8
@@ -66,7 +66,7 @@ def _runs(lines: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def band_members(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(bucket, node, n) of the non-empty lines in (node, line); n is 1. A line met again in a task counts once."""
+    """(bucket, node) of the non-empty lines in (node, line). A line met again in a task counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
@@ -86,53 +86,49 @@ def band_members(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataF
                 for k in range(rows):
                     key = mix(key * _U(0xD6E8FEB86659FD93) + sig[:, :, k])
                 own = np.repeat(nodes[x:y], bands)
-                yield pa.RecordBatch.from_pydict({"bucket": key.ravel().view(np.int64), "node": own, "n": np.ones(len(own), np.int64)})
-
-    return lines.select("node", "line").mapInArrow(run, "bucket bigint, node bigint, n bigint")
-
-
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(node, grams): the distinct shingles of each line in (node, line), as sorted packed 64-bit hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text, packed = b.column(1).to_pylist(), []
-            for x, y in _runs(text):
-                h, bounds = shingle_hashes(text[x:y], shingle)
-                row = np.repeat(np.arange(y - x), np.diff(bounds))
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                ends = np.searchsorted(row[new], np.arange(y - x + 1))
-                h = h[new]
-                packed += [h[u:v].tobytes() for u, v in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["node", "grams"])
+                yield pa.RecordBatch.from_pydict({"bucket": key.ravel().view(np.int64), "node": own})
+
+    return lines.select("node", "line").mapInArrow(run, "bucket bigint, node bigint")
+
+
+def line_sets(lines: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """The distinct shingles of each line, as sorted 64-bit hashes."""
+    out = []
+    for x, y in _runs(lines):
+        h, bounds = shingle_hashes(lines[x:y], shingle)
+        row = np.repeat(np.arange(y - x), np.diff(bounds))
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        h, ends = h[new], np.searchsorted(row[new], np.arange(y - x + 1))
+        out += [h[u:v] for u, v in zip(ends[:-1], ends[1:], strict=True)]
+    return out
 
-    return texts.select("node", "line").mapInArrow(run, "node bigint, grams binary")
 
+def verify_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose lines in (node, line) have at least the Jaccard similarity of shingles, counted exactly.
 
-def verify_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets in (node, grams) have at least the Jaccard similarity, counted exactly."""
+    Lines travel as text, which is a fraction of their sets' size; each task makes the sets of its lines.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, left, right = np.array(b.column(0)), b.column(2), b.column(3)
-            keep, start = np.zeros(len(a), bool), 0
-            for end in [*(np.flatnonzero(a[1:] != a[:-1]) + 1), len(a)] if len(a) else []:
-                mine = np.frombuffer(left[start].as_buffer(), np.uint64)
-                others = [np.frombuffer(x.as_buffer(), np.uint64) for x in right[start:end]]
-                sizes = np.array([len(o) for o in others])
-                flat = np.concatenate(others)
-                spot = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
-                common = np.add.reduceat((mine[spot] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-                keep[start:end] = common >= similarity * (len(mine) + sizes - common) - 1e-9
-                start = end
+            a, left = np.array(b.column(0)), b.column(2)
+            begin = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))[: len(a)]
+            mine, others = line_sets(left.take(pa.array(begin)).to_pylist(), shingle), line_sets(b.column(3).to_pylist(), shingle)
+            keep = np.zeros(len(a), bool)
+            for own, start, end in zip(mine, begin, [*begin[1:], len(a)], strict=True):
+                sizes = np.array([len(o) for o in others[start:end]])
+                flat = np.concatenate(others[start:end])
+                spot = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                common = np.add.reduceat((own[spot] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                keep[start:end] = common >= similarity * (len(own) + sizes - common) - 1e-9
             flags = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(flags), b.column(1).filter(flags)], names=["a", "b"])
 
-    a = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-    z = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
+    a = texts.select(F.col("node").alias("a"), F.col("line").alias("left"))
+    z = texts.select(F.col("node").alias("b"), F.col("line").alias("right"))
     return pairs.join(z, "b").join(a, "a").select("a", "b", "left", "right").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -156,13 +152,16 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """
     small_batches(df.sparkSession)
     occurrences = _lines(df, key, text)
-    members = settle(shared_members(band_members(occurrences, shingle, bands, rows)))
+    stored = settle(shared_members(band_members(occurrences, shingle, bands, rows)))
+    members = stored.withColumn("n", F.lit(1).cast("bigint"))
     may_need = hash_filter(members, "node")
     needed = members.select("node").distinct()
-    texts = occurrences.select("node", "line").where(may_need("node")).dropDuplicates(["node"])
-    sets, drop = bucketed(shingle_sets(texts.join(needed, "node", "left_semi"), shingle), "node")
-    labels = connect(members, sets, similarity, 0.0, lambda pairs: verify_pairs(pairs, sets, similarity))
+    asked = occurrences.select("node", "line").where(may_need("node")).dropDuplicates(["node"])
+    texts, drop = bucketed(asked.join(needed, "node", "left_semi"), "node")
+    sets_of = lambda column: line_sets(column.to_pylist(), shingle)
+    labels = connect(members, texts, similarity, 0.0, lambda pairs: verify_pairs(pairs, texts, shingle, similarity), sets_of)
     drop()
+    unsettle(stored)
     slim = settle(occurrences.select("key", "at", "node"))
     first = slim.groupBy("node").agg(F.min(F.struct("key", "at", "node")).alias("first"), F.count("*").alias("copies"))
     first = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -175,14 +174,22 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", removed: str | None = None, **options) -> DataFrame:
     """``df`` with the redundant lines taken out of each text, other columns and text without such lines unchanged.
 
-    ``removed`` names a new column with the number of lines taken out. A text that loses all its lines becomes empty;
-    null stays null. Of rows with one key each loses only lines that stand in its own text; equal lines at one place in
-    such rows cannot be told apart and stay or go together. Rows with a null key lose nothing but their lines still count as copies of others... they come first in the order of keys.
+    ``removed`` names a new column with the number of lines taken out; it must be a free name. A text that loses all its
+    lines becomes empty; null stays null. Of rows with one key each loses only lines that stand in its own text; equal
+    lines at one place in such rows cannot be told apart and stay or go together. Rows with a null key lose nothing, as
+    nothing tells them apart, but their lines count: they come first in the order of keys, so equal lines elsewhere go.
     """
-    count, at, tag = free_name(df, removed or "n_removed"), free_name(df, "gone_at"), free_name(df, "gone_key")
-    gone = settle(removed_lines(df, key, text, **options).groupBy("key").agg(F.collect_list(F.struct("at", "node")).alias("at")))
-    gone = gone.where("key is not null").select(F.col("key").alias(tag), F.col("at").alias(at))
-    touched = hash_filter(gone, tag)(key)
+    if removed and removed.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"column exists already: {removed}")
+    count, at, tag = removed or free_name(df, "n_removed"), free_name(df, "gone_at"), free_name(df, "gone_key")
+    found = removed_lines(df, key, text, **options).where("key is not null")
+    gone = settle(found.groupBy("key").agg(F.collect_list(F.struct("at", "node")).alias("at")))
+    gone = gone.select(F.col("key").alias(tag), F.col("at").alias(at))
+    number = free_name(df, "key_hash")
+    # keys of any type by a 64-bit hash; a row that passes without need loses nothing in the join
+    may_lose = hash_filter(gone.select(F.xxhash64(tag).alias(number)), number)
+    df = df.withColumn(number, F.when(F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.lit(0)))
+    touched = may_lose(number) & F.col(key).isNotNull()
     # a column of its own, so that the text is split once and not for every line
     lines = free_name(df, "gone_lines")
     joined = df.where(touched).join(gone, F.col(key) == F.col(tag), "left").withColumn(lines, F.split(F.col(text).cast("string"), "\n", -1))
@@ -195,4 +202,4 @@ def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", removed:
     columns = [F.when(F.col(at).isNull(), F.col(c)).otherwise(clean).alias(c) if c == text else F.col(c) for c in df.columns]
     out = joined.select(*columns, F.coalesce(F.size(lines) - F.size(at), F.lit(0)).cast("long").alias(count))
     out = out.unionByName(df.where(~touched).withColumn(count, F.lit(0).cast("long")))
-    return out if removed else out.drop(count)
+    return out.drop(number) if removed else out.drop(number, count)

@@ -28,14 +28,19 @@ SMALL, BLOCK = 32, 256
 
 
 def shared_members(members: DataFrame) -> DataFrame:
-    """The distinct rows of (bucket, node, n), n > 0, whose bucket holds at least two different nodes.
+    """The distinct rows of members (bucket, node, ...) whose bucket holds at least two different nodes.
 
     Counting and picking read one exchange of the members, by bucket.
     """
     dealt = members.repartition("bucket")
-    shared = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.max("n").alias("most"))
-    shared = shared.where("low < high and most > 0").select("bucket")
-    return dealt.join(shared.hint("shuffle_hash"), "bucket").select("bucket", "node", "n").distinct()
+    shared = dealt.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = shared.where("low < high").select("bucket")
+    return dealt.join(shared.hint("shuffle_hash"), "bucket").select(*members.columns).distinct()
+
+
+def packed_sets(column: pa.Array) -> list[np.ndarray]:
+    """Sets from their packed 64-bit hashes."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
 
 
 def _size_ok(a: str, b: str, share: float):
@@ -43,10 +48,10 @@ def _size_ok(a: str, b: str, share: float):
     return F.least(a, b) >= F.greatest(a, b) * F.lit(share - 1e-9)
 
 
-def block_links(members: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+def block_links(members: DataFrame, sets: DataFrame, share: float, sets_of: Callable[[pa.Array], list[np.ndarray]]) -> DataFrame:
     """(a, b) of components linked by members (bucket, node, comp) of one bucket and different components.
 
-    ``sets`` has (node, grams), the packed hashes of each member's set. Members outside their bucket's largest component
+    ``sets`` has (node, payload), from which ``sets_of`` makes the hashes of each member's set. Members outside their bucket's largest component
     are probes; every block of probes meets every block of the bucket's members in one task.
     """
     per = members.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
@@ -57,11 +62,11 @@ def block_links(members: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     probes = placed.where("comp <> main").select("bucket", "node", "comp", own("probe_blocks").alias("i"), every("blocks").alias("j"), F.lit(True).alias("probe"))
     targets = placed.select("bucket", "node", "comp", every("probe_blocks").alias("i"), own("blocks").alias("j"), F.lit(False).alias("probe"))
-    sent = probes.unionByName(targets).join(sets, "node").select("bucket", "i", "j", "probe", "comp", "grams")
+    sent = probes.unionByName(targets).join(sets.toDF("node", "payload"), "node").select("bucket", "i", "j", "probe", "comp", "payload")
 
     def compare(rows):
         comps, probe = np.array(rows.column("comp")), np.array(rows.column("probe"))
-        grams = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("grams")]
+        grams = sets_of(rows.column("payload"))
         left, right = np.flatnonzero(probe), np.flatnonzero(~probe)
         a, b = set_links([grams[k] for k in left], [grams[k] for k in right], share)
         x, y = comps[left[a]], comps[right[b]]
@@ -130,10 +135,10 @@ def _pairs(now: DataFrame, other: DataFrame, size_share: float, tested: DataFram
     return settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
 
 
-def connect(members: DataFrame, sets: DataFrame, share: float, size_share: float, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def connect(members: DataFrame, sets: DataFrame, share: float, size_share: float, verify: Callable[[DataFrame], DataFrame], sets_of: Callable[[pa.Array], list[np.ndarray]] = packed_sets) -> DataFrame:
     """(node, component) over the verified links among the members (bucket, node, n) of shared buckets.
 
-    ``members`` and ``sets`` (node, grams) should be written tables, as every round reads them; ``sets`` bucketed by
+    ``members`` and ``sets`` (node, payload, see ``block_links``) should be written tables, as every round reads them; ``sets`` bucketed by
     node. ``share``: the least Jaccard similarity of a link; ``size_share``: the least ratio of n. ``verify`` takes pairs
     (a, b), a < b, and returns those that are links. The result covers the nodes that have a link.
     """
@@ -159,4 +164,4 @@ def connect(members: DataFrame, sets: DataFrame, share: float, size_share: float
     small = rest.where(F.col("m") <= SMALL).drop("m")
     links = joined(_pairs(small, small.select("bucket", *names), size_share, tested))
     large = rest.where(F.col("m") > SMALL).select("bucket", "node", "comp")
-    return _merge(labels, links.unionByName(block_links(large, sets, share)).distinct())
+    return _merge(labels, links.unionByName(block_links(large, sets, share, sets_of)).distinct())
