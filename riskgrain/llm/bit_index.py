@@ -173,14 +173,15 @@ def block_top(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", own: bool = True, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, key, score): for each query the k vectors of largest integer inner product.
 
-    ``vectors`` and ``queries`` have an integer key and an array of integers, all of one length; null arrays and those
-    of another length than the first query's take no part. Ties go to the smaller key; ``own`` leaves out rows with the
+    ``vectors`` and ``queries`` have an integer key and an array of integers, all of one length; rows with a null
+    key or array and arrays of another length than the first query's take no part. Repeated rows all count. Ties go to the smaller key; ``own`` leaves out rows with the
     query's key. Queries go through in blocks of ``query_block``, each broadcast, against all vectors; a task returns k
     rows for a query and block of vectors, and the k best of these are final.
     """
     spark = vectors.sparkSession
-    rows = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v"))
-    usable = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+    named = F.col(vector).isNotNull() & F.col(key).isNotNull()
+    rows = queries.where(named).select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v"))
+    usable = vectors.where(named).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     schema = "query_id bigint, vec_id bigint, score bigint"
 
     def searcher(sent):

@@ -8,8 +8,10 @@ types together by dynamic programming over segments of bounded length. Its spans
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -324,11 +326,13 @@ def all_spans(text: str, model: SemiCrf) -> tuple[list[tuple[str, int, int]], li
     rank = {k: i for i, k in enumerate(KINDS)}
     more = []
     taken = sorted((a, b) for _, a, b in base)
+    starts, furthest = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    # how far the base spans reach that start before a place
+    reach = lambda place: furthest[n - 1] if (n := bisect_left(starts, place)) else 0
     for c in clusters(text):
         low, high = c[0][0], max(e for _, e in c)
-        if any(a <= low and high <= b for a, b in taken):
-            continue
-        more += [s for s in model.best(Lattice(text, c)) if all(s[2] <= a or b <= s[1] for a, b in taken)]
+        if reach(low + 1) < high:
+            more += [s for s in model.best(Lattice(text, c)) if reach(s[2]) <= s[1]]
     return base, sorted(base + more, key=lambda s: (rank[s[0]], s[1], s[2]))
 
 

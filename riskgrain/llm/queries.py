@@ -46,7 +46,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_text.extract(table(spark, sf_dir, "pages"), out="text")
+    found = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), out="text")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

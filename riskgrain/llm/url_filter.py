@@ -93,7 +93,7 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, ur
     """``df`` with the host, path, fitting rule and verdict of each url.
 
     ``rules`` are rows of (verdict, host, path). A rule fits its host and all subdomains if the path starts with the
-    rule's. The rule with more host labels wins, then the longer path; a block entry beats an equal allow entry. Urls
+    rule's; a rule with a null part fits nothing. The rule with more host labels wins, then the longer path; a block entry beats an equal allow entry. Urls
     that no rule fits have a null rule and the ``default`` verdict; null and urls without ``://`` have an empty host and
     path. Rules go through in blocks of bounded size; each row keeps its best rule so far, so no rule table is too
     large. The four new names must be free.
@@ -130,7 +130,8 @@ def filter_urls(df: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, ur
 
 def _blocks(rules: DataFrame, block_chars: int) -> Iterator[list[tuple[str, str, str]]]:
     block, size = [], 0
-    for r in rules.select("verdict", F.translate("host", _UPPER, _LOWER).alias("host"), "path").toLocalIterator():
+    whole = rules.where("verdict is not null and host is not null and path is not null")
+    for r in whole.select("verdict", F.translate("host", _UPPER, _LOWER).alias("host"), "path").toLocalIterator():
         if block and size + len(r["host"]) + len(r["path"]) > block_chars:
             yield block
             block, size = [], 0

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskgrain.llm import bit_index, line_dedup, ngram_join, sharding, url_filter
+from riskgrain.llm import bit_index, line_dedup, ngram_join, pii, sharding, url_filter
 from riskgrain.llm.common import hash_filter
 from riskgrain.llm.components import components
 from tests.llm.test_text_operators import ODD, documents
@@ -274,3 +274,49 @@ def test_line_signatures_estimate_similarity():
     sig = line_dedup.signatures(h, bounds, 2000)
     x, y = line_dedup._shingles(a, 8), line_dedup._shingles(b, 8)
     assert abs((sig[0] == sig[1]).mean() - len(x & y) / len(x | y)) < 0.05
+
+
+def test_top_k_without_null_keys_and_with_repeated_ones(spark):
+    rows = [(1, [1, 2]), (2, [3, 4]), (2, [3, 4]), (None, [9, 9]), (3, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<int>")
+    got = [tuple(r) for r in bit_index.top_k(df, df, k=5).orderBy("query_id", "rank").collect()]
+    # a repeated query asks once for each of its rows; only its own key is left out
+    assert set(got) >= {(1, 1, 2, 11), (1, 2, 2, 11), (2, 1, 1, 11)} and all(None not in r for r in got)
+
+
+def test_url_rules_with_null_parts_fit_nothing(spark):
+    urls = spark.createDataFrame([(1, "http://a.org/x"), (2, None)], "page_id bigint, url string")
+    rules = spark.createDataFrame([("block", None, "/"), ("block", "org", None), (None, "a.org", "/"), ("block", "a.org", "/x")], "verdict string, host string, path string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.filter_urls(urls, rules).collect()}
+    assert got == {1: ("a.org/x", "block"), 2: (None, "allow")}
+
+
+def test_line_dedup_with_text_keys_and_null_keys(spark):
+    rows = [("b", "one line here\nanother longer line"), ("a", "another longer line\nthird"), (None, "third\nonly null"), (None, "third"), ("c", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((tuple(r) for r in line_dedup.dedup_lines(df, removed="gone").collect()), key=repr)
+    # null keys come first and lose nothing
+    assert got == sorted([("b", "one line here", 1), ("a", "another longer line", 1), (None, "third\nonly null", 0), (None, "third", 0), ("c", None, 0)], key=repr)
+    with pytest.raises(ValueError, match="TEXT"):
+        line_dedup.dedup_lines(df, removed="TEXT")
+
+
+def test_small_and_large_buckets_compare_the_same_members(spark, monkeypatch):
+    from riskgrain.llm import linking
+
+    base = "a line of some length that many rows share but for its end "
+    rows = [(k, base + "xyzw"[k % 4] * 3 + str(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    results = []
+    for small in (1000, 2):
+        monkeypatch.setattr(linking, "SMALL", small)
+        results.append(sorted(tuple(r) for r in line_dedup.dedup_lines(df).collect()))
+    assert results[0] == results[1]
+
+
+def test_spans_of_many_addresses_equal_the_plain_rule():
+    model, text = pii.train(), " ".join(["a@b.co 1.2.3.4", "+1 (555) 123-4567 x", "call 555 1234", "4111 1111 1111 1111.5@x.y"] * 30)
+    base, spans = pii.all_spans(text, model)
+    taken = [(a, b) for _, a, b in base]
+    assert set(base) <= set(spans)
+    assert all(all(z <= a or b <= y for a, b in taken) for k, y, z in set(spans) - set(base))

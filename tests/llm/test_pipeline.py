@@ -95,3 +95,11 @@ def test_pii_query_equals_the_patterns(spark):
         assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest()
         assert [r[f"n_{k}"] for k, _, _ in PATTERNS] == [sum(s[0] == k for s in spans) for k, _, _ in PATTERNS]
         assert {f"{k}:{a}:{b}" for k, a, b in spans} <= set(r["spans"].split(",")) | {""}
+
+
+def test_stages_keep_columns_that_clash_with_their_own(spark):
+    rows = [(1, "a first line of words\nthe same line here", "en", "s", 41, 7, 8, 0.5), (2, "other words\nthe same line here", "en", "s", 30, 7, 8, 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _removed int, n_removed int, score double")
+    got = sorted(tuple(r) for r in corpus_pipeline.drop_repeated_lines(spark, docs, FOLDER).collect())
+    assert got == [rows[0], (2, "other words", "en", "s", 11, 7, 8, 0.5)]
+    assert corpus_pipeline.keep_good(spark, docs, FOLDER).columns == docs.columns
