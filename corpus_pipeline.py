@@ -6,21 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrain.llm import bpe, decontaminate, line_dedup, ngram_join, quality
-from riskgrain.llm.common import settle, table
+from riskgrain.llm.common import free_name, settle, table
 from riskgrain.llm.queries import tokenizer_json
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on this input's labelled ones, accepts."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_score").where(F.col("_score") >= quality.ACCEPTED).select(*docs.columns)
+    score = free_name(docs, "score")
+    return quality.score(docs, model, out=score).where(F.col(score) >= quality.ACCEPTED).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that similar earlier ones make redundant; those left without any line go."""
-    clean = line_dedup.dedup_lines(docs, removed="_removed")
-    clean = clean.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return clean.where((F.col("_removed") == 0) | (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) > 0)).select(*docs.columns)
+    removed = free_name(docs, "n_removed")
+    clean = line_dedup.dedup_lines(docs, removed=removed)
+    clean = clean.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return clean.where((F.col(removed) == 0) | (F.length(F.trim(F.translate("text", "\n\t\r", "   "))) > 0)).select(*docs.columns)
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
