@@ -20,9 +20,9 @@ from riskgrain.schemas import (
     TARGET,
     ContractError,
     require_columns,
-    schema_fingerprint,
 )
 
+
 def number(df: DataFrame, column: str) -> Column:
     """The column as a double; text tokens that do not parse become NULL."""
     if isinstance(df.schema[column].dataType, T.StringType):
