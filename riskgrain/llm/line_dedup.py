@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 #: Characters hashed at once, so that the work stays in the processor's cache.
 _RUN = 1 << 15
+#: Text bytes of the pairs of lines that a task compares at once; one longer pair is compared alone.
+_PAIR_BYTES = 1 << 19
 #: Lines a task remembers to have met.
 _REMEMBERED = 100_000
 
@@ -114,16 +117,23 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, left = np.array(b.column(0)), b.column(2)
-            begin = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))[: len(a)]
-            mine, others = line_sets(left.take(pa.array(begin)).to_pylist(), shingle), line_sets(b.column(3).to_pylist(), shingle)
-            keep = np.zeros(len(a), bool)
-            for own, start, end in zip(mine, begin, [*begin[1:], len(a)], strict=True):
-                sizes = np.array([len(o) for o in others[start:end]])
-                flat = np.concatenate(others[start:end])
-                spot = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                common = np.add.reduceat((own[spot] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
-                keep[start:end] = common >= similarity * (len(own) + sizes - common) - 1e-9
+            keys, keep = np.array(b.column(0)), np.zeros(b.num_rows, bool)
+            size = np.cumsum(np.array(pc.add(pc.binary_length(b.column(2)), pc.binary_length(b.column(3))), np.int64))
+            x = 0
+            while x < len(keys):
+                # so many pairs that the sets of their lines stay small, however long the lines are
+                y = max(x + 1, int(np.searchsorted(size, (size[x - 1] if x else 0) + _PAIR_BYTES, "right")))
+                a = keys[x:y]
+                begin = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                mine = line_sets(b.column(2).take(pa.array(x + begin)).to_pylist(), shingle)
+                others = line_sets(b.column(3)[x:y].to_pylist(), shingle)
+                for own, start, end in zip(mine, begin, [*begin[1:], len(a)], strict=True):
+                    sizes = np.array([len(o) for o in others[start:end]])
+                    flat = np.concatenate(others[start:end])
+                    spot = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    common = np.add.reduceat((own[spot] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                    keep[x + start : x + end] = common >= similarity * (len(own) + sizes - common) - 1e-9
+                x = y
             flags = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(flags), b.column(1).filter(flags)], names=["a", "b"])
 
