@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgrain.functions.scalars import flag, ratio, ratio_if_positive
+from riskgrain.functions.scalars import exact_sum, flag, ratio, ratio_if_positive
 from riskgrain.schemas import (
     BUREAU_FEATURES,
     EMPLOYED_SENTINEL,
@@ -130,23 +130,23 @@ def bureau_features(bureau: DataFrame) -> DataFrame:
         "DAYS_OVERDUE_MAX": F.max(late),
         "PROLONG_COUNT_SUM": F.sum(c("CNT_CREDIT_PROLONG").cast("double")),
         "CREDIT_AMOUNT_OBSERVED_COUNT": F.count(money(credit)),
-        "CREDIT_AMOUNT_SUM": F.sum(money(credit)),
-        "CREDIT_AMOUNT_MEAN": ratio(F.sum(money(credit)), F.count(money(credit))),
+        "CREDIT_AMOUNT_SUM": exact_sum(money(credit)),
+        "CREDIT_AMOUNT_MEAN": ratio(exact_sum(money(credit)), F.count(money(credit))),
         "CREDIT_AMOUNT_MAX": F.max(money(credit)),
         "DEBT_OBSERVED_COUNT": F.count(money(debt)),
-        "DEBT_SUM": F.sum(money(debt)),
-        "DEBT_MEAN": ratio(F.sum(money(debt)), F.count(money(debt))),
+        "DEBT_SUM": exact_sum(money(debt)),
+        "DEBT_MEAN": ratio(exact_sum(money(debt)), F.count(money(debt))),
         "DEBT_MAX": F.max(money(debt)),
-        "OVERDUE_AMOUNT_SUM": F.sum(money(overdue_amount)),
+        "OVERDUE_AMOUNT_SUM": exact_sum(money(overdue_amount)),
         "OVERDUE_AMOUNT_MAX": F.max(money(overdue_amount)),
         "MAX_OVERDUE_OBSERVED_COUNT": F.count(money(worst)),
         "MAX_OVERDUE_AMOUNT": F.max(money(worst)),
-        "ACTIVE_CREDIT_SUM": F.sum(money(credit, active)),
-        "ACTIVE_DEBT_SUM": F.sum(money(debt, active)),
-        "DEBT_CREDIT_RATIO": ratio(F.sum(F.when(both, debt)), F.sum(F.when(both, credit))),
+        "ACTIVE_CREDIT_SUM": exact_sum(money(credit, active)),
+        "ACTIVE_DEBT_SUM": exact_sum(money(debt, active)),
+        "DEBT_CREDIT_RATIO": ratio(exact_sum(F.when(both, debt)), exact_sum(F.when(both, credit))),
         "ANNUITY_OBSERVED_COUNT": F.count(money(annuity)),
-        "ANNUITY_SUM": F.sum(money(annuity)),
-        "ANNUITY_MEAN": ratio(F.sum(money(annuity)), F.count(money(annuity))),
+        "ANNUITY_SUM": exact_sum(money(annuity)),
+        "ANNUITY_MEAN": ratio(exact_sum(money(annuity)), F.count(money(annuity))),
     }
     main = rows.groupBy(ID).agg(*[e.alias(f"BUREAU_{n}") for n, e in measures.items()])
     loans = _distinct_per_customer(rows, "SK_ID_BUREAU", "BUREAU_LOAN_COUNT")

@@ -82,6 +82,20 @@ def test_duplicate_loan_ids_are_counted_once(spark):
     assert (r["BUREAU_RECORD_COUNT"], r["BUREAU_LOAN_COUNT"]) == (3, 2)
 
 
+def test_credit_sums_do_not_depend_on_the_order_of_rows(spark):
+    amounts = [337768.9, 303182.0, 168229.21, 103567.44, 204510.38, 161974.25, 313519.65, 121325.79, 190639.31, 233353.23, 363245.25, 201875.24]
+    fields = world.BUREAU.replace(" bigint", "").replace(" string", "").replace(" double", "").split(", ")
+    at = fields.index("AMT_CREDIT_SUM")
+    row = lambda k, i, x: tuple(x if j == at else {"SK_ID_CURR": k, "SK_ID_BUREAU": 100 * k + i}.get(f, v) for j, (f, v) in enumerate(zip(fields, world.BUREAU_ROWS[0])))
+    orders = [amounts, amounts[::-1], amounts[5:] + amounts[:5], sorted(amounts)]
+    rows = [row(k, i, x) for k, order in enumerate(orders) for i, x in enumerate(order)]
+    got = features.bureau_features(spark.createDataFrame(rows, world.BUREAU).coalesce(1)).collect()
+    assert {(r["BUREAU_CREDIT_AMOUNT_SUM"], r["BUREAU_DEBT_CREDIT_RATIO"]) for r in got} == {(2703190.65, 12 * 200.0 / 2703190.65)}
+    wild = [row(1, 1, 1.5), row(1, 2, float("inf")), row(2, 1, 1e30), row(2, 2, 2.0)]
+    got = features.bureau_features(spark.createDataFrame(wild, world.BUREAU)).collect()
+    assert {r["SK_ID_CURR"]: r["BUREAU_CREDIT_AMOUNT_SUM"] for r in got} == {1: float("inf"), 2: 1e30}
+
+
 def test_contract_counts_and_lineage(spark):
     app, splits, bureau, pay = world.tables(spark)
     v1 = features.application_mart(app, splits)
