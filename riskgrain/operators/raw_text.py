@@ -20,6 +20,7 @@ from riskgrain.session import small_table
 
 HIGH_MISSING_RATE = 0.5
 ROW, KEY, OWNER = "#row", "#key", "#owner"
+_SAME = "#same"
 #: The column whose values must not belong to several customers.
 OWNED = {"installments": "SK_ID_PREV"}
 INF = float("inf")
@@ -79,10 +80,17 @@ def column_rules(table: str, column: str) -> list[tuple[str, str]]:
     return rules
 
 
+#: Spellings Spark casts to a double other than NaN, without Java's suffixes. A cast that fails inside builds an exception
+#: for each token, which costs far more than the match.
+NUMBER = (
+    r"^[\x00-\x20]*[-+]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?"
+    r"|0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][-+]?[0-9]+)[\x00-\x20]*$"
+)
+
+
 def parsed(token: Column) -> Column:
     """The number a token stands for (infinite ones too), else NULL; a Java suffix does not make a number."""
-    value = F.when(~token.rlike(r"[0-9.][dDfF]\s*$"), token.try_cast("double"))
-    return F.nanvl(value, F.lit(None).cast("double"))
+    return F.when(token.rlike(NUMBER), token.try_cast("double"))
 
 
 COUNTERS = ("missing_count", "blank_count", "text_count", "infinite_count", "fraction_count", "outside_count", "one_count")
@@ -127,14 +135,14 @@ def column_states(df: DataFrame, table: str) -> DataFrame:
     spec, c = TABLES[table], F.col
     tokens = [c(x).cast("string").alias(x) for x in df.columns]
     same = [F.coalesce(parsed(c(x)).cast("string") if x not in spec.categorical else c(x), c(x), F.lit("\0")) for x in df.columns]
-    facts = {ROW: F.concat(F.hex(F.xxhash64(*same)), F.hex(F.xxhash64(F.lit(ROW), *same)))}
+    facts = {ROW: F.concat(F.hex(F.xxhash64(_SAME)), F.hex(F.xxhash64(F.lit(ROW), _SAME)))}
     if spec.primary_key in df.columns:
         facts[KEY] = F.coalesce(parsed(c(spec.primary_key)).cast("string"), c(spec.primary_key))
     owned = OWNED.get(table)
     if owned in df.columns and ID in df.columns:
         facts[OWNER] = F.concat(F.coalesce(parsed(c(owned)).cast("string"), c(owned)), F.lit("\0"), F.coalesce(c(ID), F.lit("")))
     cells = [F.struct(F.lit(k).alias("column_name"), e.alias("token")) for k, e in [*((x, c(x)) for x in df.columns), *facts.items()]]
-    long = df.select(*tokens).select(F.inline(F.array(*cells)))
+    long = df.select(*tokens).select("*", F.array(*same).alias(_SAME)).select(F.inline(F.array(*cells)))
     fact = c("column_name").isin(*facts)
     parts = F.split("token", "\0")
     long = long.join(_column_specs(df, table).drop("rules", "semantic_type"), "column_name", "left").select(

@@ -74,6 +74,17 @@ def test_findings_and_status(spark):
         quality.check_exact_columns(clean.drop("AMT_CREDIT"), "application")
 
 
+def test_no_token_reaches_a_cast_that_fails(spark):
+    numbers = ["1", "-1.5", "+.5", "5.", " 7 ", "1e5", "1E-3", "inf", "-Infinity", "+INF", "0x1.8p1", "-0.0", "\t3\n"]
+    others = ["", " ", ".", "-", "1e", "e5", "1d", "2.F ", "1 2", "nan", "-NaN", "Infinityx", "info", "N", "id5", "0,5", "1_0", "0x1", "\u0661"]
+    df = spark.createDataFrame([(t,) for t in [*numbers, *others]], "t string")
+    t, cast = F.col("t"), F.col("t").try_cast("double")
+    suffix = t.rlike(r"[0-9.][dDfF]\s*$")
+    rows = df.select("t", raw_text.parsed(t).alias("v"), t.rlike(raw_text.NUMBER).alias("fit"), F.when(~suffix & ~F.isnan(cast), cast).alias("old")).collect()
+    assert all(r["v"] == r["old"] for r in rows), [r for r in rows if r["v"] != r["old"]]
+    assert {r["t"] for r in rows if r["fit"]} == set(numbers) and all(r["v"] is not None for r in rows if r["fit"])
+
+
 def scans(df):
     """Files scans of the plan as it ran; a reused exchange is not scanned again."""
     df.collect()
