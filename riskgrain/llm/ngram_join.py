@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrain.llm.common import LOWER, bucketed, byte_class, free_name, mix, settle, small_batches, spans_hash, text_pieces, words_of
+from riskgrain.llm.common import LOWER, PIECE_BYTES, bucketed, byte_class, free_name, mix, settle, small_batches, spans_hash, text_pieces, unsettle, words_of
 from riskgrain.llm.linking import connect, shared_members
 
 #: Every byte but space and \x09-\x0D.
@@ -135,21 +136,27 @@ def prefixes(df: DataFrame, key: str, text: str, size: int, share: float, sent,
     return df.select(key, text).mapInArrow(run, f"key {kind}, n bigint, node bigint, prefix array<bigint>")
 
 
-def ordered_sets(df: DataFrame, text: str, size: int, sent, bits: int) -> DataFrame:
-    """(node, grams): the digest of each row's set and the whole ordered set, as packed 64-bit hashes."""
+def texts_by_set(df: DataFrame, text: str, size: int) -> DataFrame:
+    """(node, text): each row's text under the digest of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
         for b in batches:
-            node, packed = [np.zeros(0, np.uint64)], []
+            node = [np.zeros(0, np.uint64)]
             for _, _, data, offsets in text_pieces(b.column(0)):
-                g, bounds = _sets(data, offsets, size)
-                node.append(_digests(g, bounds))
-                g = _ordered(g, bounds, common, bits)
-                packed += [g[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(node)), pa.array(packed, pa.binary())], names=["node", "grams"])
+                node.append(_digests(*_sets(data, offsets, size)))
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(node)), b.column(0)], names=["node", "text"])
 
-    return df.select(text).mapInArrow(run, "node bigint, grams binary")
+    return df.select(text).mapInArrow(run, "node bigint, text string")
+
+
+def ordered_sets(texts: pa.Array, size: int, common: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The whole ordered set of each text."""
+    out = []
+    for _, _, data, offsets in text_pieces(texts):
+        g, bounds = _sets(data, offsets, size)
+        g = _ordered(g, bounds, common, bits)
+        out += [g[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    return out
 
 
 def trie_matches(probe: np.ndarray, sets: list[np.ndarray], share: float) -> np.ndarray:
@@ -182,23 +189,31 @@ def trie_matches(probe: np.ndarray, sets: list[np.ndarray], share: float) -> np.
     return out
 
 
-def verify_pairs(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """The pairs (a, b) whose sets in (node, grams) reach the similarity. Neighbouring rows with one a share a trie."""
+def verify_pairs(pairs: DataFrame, texts: DataFrame, size: int, share: float, sent, bits: int) -> DataFrame:
+    """The pairs (a, b) whose texts in (node, text) have sets that reach the similarity. Neighbouring rows with one a share a trie.
+
+    Sets travel as text, which is a fraction of their size; each task makes the sets of its texts, so many at a time
+    that they stay small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, hubs = np.array(b.column(0)), b.column(2)
-            ends = np.append(np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)) if len(a) else []
+            a, hubs, others = np.array(b.column(0)), b.column(2), b.column(3)
+            length = np.cumsum(np.array(pc.binary_length(others), np.int64))
             keep, start = np.zeros(len(a), bool), 0
-            for end in ends:
-                others = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(3)[start:end]]
-                keep[start:end] = trie_matches(np.frombuffer(hubs[start].as_buffer(), np.uint64), others, share)
-                start = end
+            while start < len(a):
+                end = start + int(np.argmax(np.append(a[start:] != a[start], True)))
+                probe = ordered_sets(hubs.slice(start, 1), size, sent.value, bits)[0]
+                while start < end:
+                    stop = int(np.searchsorted(length, (length[start - 1] if start else 0) + PIECE_BYTES, "right"))
+                    stop = min(end, max(start + 1, stop))
+                    keep[start:stop] = trie_matches(probe, ordered_sets(others.slice(start, stop - start), size, sent.value, bits), share)
+                    start = stop
             flags = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(flags), b.column(1).filter(flags)], names=["a", "b"])
 
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
     return both.mapInArrow(run, "a bigint, b bigint")
 
@@ -229,9 +244,11 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     chosen = first.join(needed, "node", "left_semi")
     # rows of one key may differ in text: each brings its own set, and sets that nobody asks for do no harm
     asked = docs.join(chosen, "key", "left_semi").unionByName(docs.where("key is null"))
-    sets, drop = bucketed(ordered_sets(asked, "text", size, sent, bits), "node")
-    labels = connect(members, sets, share, share, lambda pairs: verify_pairs(pairs, sets, share))
+    texts, drop = bucketed(texts_by_set(asked, "text", size), "node")
+    sets_of = lambda column: ordered_sets(column, size, sent.value, bits)
+    labels = connect(members, texts, share, share, lambda pairs: verify_pairs(pairs, texts, size, share, sent, bits), sets_of)
     drop()
+    unsettle(members)
     roots = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = roots.groupBy("component").agg(F.min("key").alias("component_id"))
     named = roots.select("node", "component").join(least, "component").select("node", "component_id")

@@ -320,3 +320,21 @@ def test_spans_of_many_addresses_equal_the_plain_rule():
     taken = [(a, b) for _, a, b in base]
     assert set(base) <= set(spans)
     assert all(all(z <= a or b <= y for a, b in taken) for k, y, z in set(spans) - set(base))
+
+
+def test_ngram_join_moves_no_more_than_the_texts(spark, monkeypatch):
+    word = lambda k: f"{k:04d}"
+    texts = [" ".join(word(k) for k in range(s, s + 300)) for s in (0, 3, 6, 400, 405, 1000)] + ["a b c", "A b c", None, ""]
+    sizes, whole = [], ngram_join.bucketed
+
+    def measured(df, key):
+        sizes.append(sum(len(v) for r in df.collect() for v in r if isinstance(v, (str, bytes, bytearray))))
+        return whole(df, key)
+
+    monkeypatch.setattr(ngram_join, "bucketed", measured)
+    monkeypatch.setattr(ngram_join, "PIECE_BYTES", 2000)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(documents(spark, texts), "doc_id", bits=12).collect()}
+    first = min(got)
+    # 295 of 301 shingles and 293 of 303 are common to neighbours
+    assert [got[first + k] - first for k in range(len(texts))] == [0, 0, 0, 3, 3, 5, 6, 6, 8, 9]
+    assert sizes and all(s <= sum(len(t or "") for t in texts) for s in sizes)
