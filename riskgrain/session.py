@@ -57,6 +57,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task of a join or grouping by nearly unique keys takes, about.
+ROWS_PER_TASK = 500_000
+#: Below so many such tasks Spark's own choice of partitions stands.
+FEW_TASKS = 8
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` into partitions whose number grows with ``rows``, the rows of the larger side of a join.
+
+    Spark merges shuffle pieces up to a size in compressed bytes, which tells little about the hash tables and sort buffers
+    of nearly unique keys: those take memory by rows.
+    """
+    tasks = -(-rows // ROWS_PER_TASK)
+    return df.repartition(tasks, *keys) if tasks > FEW_TASKS else df
+
+
 def default_buckets(spark: SparkSession) -> int:
     """How many pieces to cut a global order into: one per shuffle partition."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

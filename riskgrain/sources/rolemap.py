@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskgrain.session import spread
+
 ANCHOR_DATE = "2001-06-30"
 OUTSIDE_OFFSET = 1_000_000_000
 
@@ -218,8 +220,11 @@ def bureau(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def installments(spark: SparkSession, folder: str) -> DataFrame:
+    """Payments; the groupings by loan or instalment that follow keep the layout of this join."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = table(spark, folder, "lineitem")
+    rows = lines.count()
+    lines, orders = spread(lines, rows, "l_orderkey"), spread(orders, rows, "o_orderkey")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).selectExpr(*_spark(INSTALLMENTS_SQL))
 
 
