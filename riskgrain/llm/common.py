@@ -192,7 +192,7 @@ def sha_hex(column: Column) -> Column:
     return F.sha2(column, 256)
 
 
-def hash_filter(keys: DataFrame, column: str, bits: int = 24) -> Callable[[str], Column]:
+def hash_filter(keys: DataFrame, column: str, bits: int = 24) -> Callable[[str | Column], Column]:
     """A test that is true for every value of a 64-bit integer column of ``keys``, and for few others.
 
     It only spares rows a shuffle that would drop them in a join anyway: its size is fixed at 2**bits bits whatever the
@@ -226,4 +226,4 @@ def hash_filter(keys: DataFrame, column: str, bits: int = 24) -> Callable[[str],
         hit = (sent.value[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8)) & 1
         return pa.array(null | (hit == 1))
 
-    return lambda name: may_hold(F.col(name).cast("long"))
+    return lambda name: may_hold((F.col(name) if isinstance(name, str) else name).cast("long"))

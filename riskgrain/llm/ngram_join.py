@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrain.llm.common import LOWER, PIECE_BYTES, bucketed, byte_class, free_name, mix, settle, small_batches, spans_hash, text_pieces, unsettle, words_of
+from riskgrain.llm.common import LOWER, PIECE_BYTES, bucketed, byte_class, free_name, hash_filter, mix, settle, small_batches, spans_hash, text_pieces, unsettle, words_of
 from riskgrain.llm.linking import connect, shared_members
 
 #: Every byte but space and \x09-\x0D.
@@ -137,14 +137,17 @@ def prefixes(df: DataFrame, key: str, text: str, size: int, share: float, sent,
 
 
 def texts_by_set(df: DataFrame, text: str, size: int) -> DataFrame:
-    """(node, text): each row's text under the digest of its set."""
+    """(node, text): the texts under the digests of their sets. Of equal sets a task brings the first only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             node = [np.zeros(0, np.uint64)]
             for _, _, data, offsets in text_pieces(b.column(0)):
                 node.append(_digests(*_sets(data, offsets, size)))
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(node)), b.column(0)], names=["node", "text"])
+            nodes = _signed(np.concatenate(node))
+            new = pa.array([not (x in seen or seen.add(x)) for x in nodes.to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([nodes.filter(new), b.column(0).filter(new)], names=["node", "text"])
 
     return df.select(text).mapInArrow(run, "node bigint, text string")
 
@@ -242,8 +245,10 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     members = settle(shared_members(stands.select(F.explode("prefix").alias("bucket"), "node", "n")))
     needed = members.select("node").distinct()
     chosen = first.join(needed, "node", "left_semi")
-    # rows of one key may differ in text: each brings its own set, and sets that nobody asks for do no harm
-    asked = docs.join(chosen, "key", "left_semi").unionByName(docs.where("key is null"))
+    # rows of one key may differ in text: each brings its own set, and sets that nobody asks for do no harm. So texts need
+    # no exchange by key: a filter lets pass all rows with a chosen key or none, and few others
+    tag = F.when(F.col("key").isNotNull(), F.xxhash64("key"))
+    asked = docs.where(hash_filter(chosen.select(tag.alias("tag")), "tag")(tag))
     texts, drop = bucketed(texts_by_set(asked, "text", size), "node")
     sets_of = lambda column: ordered_sets(column, size, sent.value, bits)
     labels = connect(members, texts, share, share, lambda pairs: verify_pairs(pairs, texts, size, share, sent, bits), sets_of)

@@ -338,3 +338,23 @@ def test_ngram_join_moves_no_more_than_the_texts(spark, monkeypatch):
     # 295 of 301 shingles and 293 of 303 are common to neighbours
     assert [got[first + k] - first for k in range(len(texts))] == [0, 0, 0, 3, 3, 5, 6, 6, 8, 9]
     assert sizes and all(s <= sum(len(t or "") for t in texts) for s in sizes)
+
+
+def test_texts_of_the_join_meet_without_an_exchange_by_key(spark, monkeypatch):
+    plans, whole = [], ngram_join.bucketed
+
+    def seen(df, key):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return whole(df, key)
+
+    monkeypatch.setattr(ngram_join, "bucketed", seen)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(words[: 50 + k % 2])) for k in range(8)] + [(9, "a b c d"), (None, " ".join(words[:52])), (10, None)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id").collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**dict.fromkeys([*range(8), None], 0), 9: 9, 10: 10}
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_a_task_brings_equal_sets_once(spark):
+    df = spark.createDataFrame([("a b c d",), ("A  b c d",), ("x y",), ("a b c d",)], "text string").coalesce(1)
+    assert sorted(r["text"] for r in ngram_join.texts_by_set(df, "text", 3).collect()) == ["a b c d", "x y"]
