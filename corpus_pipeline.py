@@ -37,10 +37,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with the digest of what they decode to."""
-    done = bpe.encode_decode(docs, tokenizer_json())
+    done = bpe.encode_decode(docs, tokenizer_json(), block_bytes=ENCODE_BLOCK_BYTES)
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Bytes of text in one block of encoding: smaller than alone, as the workers' and the JVM's memory is what earlier stages left.
+ENCODE_BLOCK_BYTES = 2 << 20
+
 STAGES = [
     ("quality classifier", keep_good),
     ("line dedup", drop_repeated_lines),

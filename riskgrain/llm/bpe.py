@@ -232,6 +232,7 @@ def encode_decode(df: DataFrame, tokenizer_json: str, key: str = "doc_id", text:
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *T.StructType.fromDDL("ids array<int>, decoded string").fields])
 
     def assemble(rows, words):
+        pa.default_memory_pool().release_unused()  # what the block before took
         lists = {k: _unpacked_numbers(p.as_py()) for k, p in zip(words.column("bucket").to_pylist(), words.column("payload"), strict=True)}
         n = np.concatenate([np.zeros(0, np.uint32), *(lists[k][1 : 1 + int(lists[k][0])] for k in sorted(lists))]).astype(np.int64)
         flat = np.concatenate([np.zeros(0, np.uint32), *(lists[k][1 + int(lists[k][0]) :] for k in sorted(lists))])

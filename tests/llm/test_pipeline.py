@@ -103,3 +103,12 @@ def test_stages_keep_columns_that_clash_with_their_own(spark):
     got = sorted(tuple(r) for r in corpus_pipeline.drop_repeated_lines(spark, docs, FOLDER).collect())
     assert got == [rows[0], (2, "other words", "en", "s", 11, 7, 8, 0.5)]
     assert corpus_pipeline.keep_good(spark, docs, FOLDER).columns == docs.columns
+
+
+def test_encoding_in_the_pipeline_takes_smaller_blocks_with_the_same_ids(spark, monkeypatch):
+    taken, whole = [], corpus_pipeline.bpe.encode_decode
+    monkeypatch.setattr(corpus_pipeline.bpe, "encode_decode", lambda *a, **k: taken.append(k["block_bytes"]) or whole(*a, **k))
+    docs = spark.createDataFrame([(1, "one two two"), (2, None), (3, "Two, three")], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], list(r["ids"])) for r in corpus_pipeline.encode(spark, docs, "").collect())
+    assert taken[0] < corpus_pipeline.bpe.BLOCK_BYTES
+    assert got == sorted((r["doc_id"], list(r["ids"])) for r in whole(docs, corpus_pipeline.tokenizer_json()).collect())
