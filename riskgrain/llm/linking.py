@@ -38,6 +38,16 @@ def shared_members(members: DataFrame) -> DataFrame:
     return dealt.join(shared.hint("shuffle_hash"), "bucket").select(*members.columns).distinct()
 
 
+def one_per_set(members: DataFrame) -> DataFrame:
+    """The members (bucket, node), distinct rows, without buckets that propose what another one of the same members does.
+
+    Sets of members are told by two 64-bit hashes and their size.
+    """
+    h = lambda *salt: F.bit_xor(F.xxhash64("node", *salt))
+    per = members.groupBy("bucket").agg(F.count("*").alias("m"), h().alias("x"), h(F.lit(1)).alias("y"))
+    return members.join(per.groupBy("m", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
+
+
 def packed_sets(column: pa.Array) -> list[np.ndarray]:
     """Sets from their packed 64-bit hashes."""
     return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]

@@ -1,7 +1,8 @@
 """N-gram Jaccard join through prefix trees.
 
 A text is the set of its word n-grams, kept as hashes in one global order: n-grams met in few texts first. Similar sets
-must share one of their first few elements, so these propose candidates; the join itself stores the ordered sets of a
+must share one of their first few elements, and very similar ones a whole part when their elements are dealt into more
+parts than the sets may differ in elements; these propose candidates. The join itself stores the ordered sets of a
 probe's candidates in a trie and walks it once, sharing the overlap counted on a common path and leaving a branch as
 soon as the elements that remain cannot reach the overlap the similarity asks for.
 """
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrain.llm.common import LOWER, PIECE_BYTES, bucketed, byte_class, free_name, hash_filter, mix, settle, small_batches, spans_hash, text_pieces, unsettle, words_of
-from riskgrain.llm.linking import connect, shared_members
+from riskgrain.llm.linking import connect, one_per_set, shared_members
 
 #: Every byte but space and \x09-\x0D.
 WORD_BYTES = ~byte_class((9, 13), (32, 32))
@@ -26,6 +27,12 @@ WORD_BYTES = ~byte_class((9, 13), (32, 32))
 SKETCH_BITS = 22
 #: Counters of the sketch in one row between tasks.
 _SLICE = 1 << 14
+#: From this similarity on, candidates share a part of the set, of some ten elements, instead of one element.
+PARTS_FROM = 0.85
+#: Sets of sizes up to this factor are dealt into the same number of parts.
+_CLASS = 1.5
+#: Sets a task remembers to have met.
+_REMEMBERED = 100_000
 
 _U = np.uint64
 
@@ -102,14 +109,68 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def part_classes(share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes of set sizes: the largest size, in how many elements two similar sets up to it may differ, the number of parts.
+
+    Similar sets lie in one class or in two neighbouring ones. There are more parts than elements may differ in, so similar
+    sets agree in some; the few further ones make it rare that those could be empty. Where nothing may differ, only equal
+    sets are similar, and there are no parts.
+    """
+    rate = 2 * (1 - share) / (1 + share)
+    upper = [max(1, int(0.999_999 / rate))]
+    while upper[-1] < 1 << 40:
+        upper.append(max(int(upper[-1] * _CLASS), int(upper[-1] / share) + 1))
+    top = np.array(upper, np.int64)
+    differ = np.floor(rate * top + 1e-6).astype(np.int64)
+    return top, differ, np.where(differ > 0, differ + 2 + differ // 16, 0)
+
+
+def part_keys(g: np.ndarray, bounds: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, the row of each, rows of too few parts) of sets of sorted hashes.
+
+    A key stands for one part with all its elements. Sets that reach the similarity have a key in common, unless both are
+    rows of too few parts: the parts in which they agree may then all be empty.
+    """
+    top, differ, parts = part_classes(share)
+    sizes = np.diff(bounds)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(g ^ _U(0xA0761D6478BD642F)))))
+    own = np.searchsorted(top, sizes)
+    few, keys, rows = np.zeros(len(sizes), bool), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    # the own class, and the next one for sets that sets of it may be similar to
+    for c, takes in ((own, sizes > 0), (own + 1, sizes >= share * (top[own] + 1) - 1e-9)):
+        count = np.where(takes, parts[c], 0)
+        part = ((g >> _U(32)) * count.astype(np.uint64)[row]) >> _U(32)
+        new = np.ones(len(g), bool)
+        new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(g))
+        at = row[start]
+        few |= (np.bincount(at, minlength=len(sizes)) <= differ[c]) & (count > 0)
+        key = mix((running[end] - running[start]) ^ mix(part[start] * _U(0xD6E8FEB86659FD93) + c[at].astype(np.uint64)))
+        held = count[at] > 0
+        keys.append(key[held])
+        rows.append(at[held])
+    return np.concatenate(keys), np.concatenate(rows), np.flatnonzero(few)
+
+
+def _first_elements(g: np.ndarray, bounds: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(elements, the row of each) of which ordered sets that reach the similarity share one."""
+    sizes = np.diff(bounds)
+    keep = np.where(sizes > 0, sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1, 0)
+    row = np.repeat(np.arange(len(sizes)), keep)
+    return g[np.arange(len(row)) - np.repeat(np.cumsum(keep) - keep, keep) + bounds[:-1][row]], row
+
+
 def prefixes(df: DataFrame, key: str, text: str, size: int, share: float, sent, bits: int) -> DataFrame:
-    """(key, n, node, prefix): per row its set size, the digest of its set and the elements a similar set must share one of.
+    """(key, n, node, prefix): per row its set size, the digest of its set and the buckets a similar set must share one of.
 
-    Equal sets have equal digests; the empty set has a null one and no prefix.
+    Buckets are first elements of the ordered set or, for high similarities, parts of the set. Equal sets have equal
+    digests; of those a task meets, the first has buckets. The empty set has a null digest and no buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = sent.value
+        common, seen = sent.value, set()
         for b in batches:
             keys, n, node, empty, lists, flat = b.column(0), [], [], [], [np.zeros(1, np.int64)], []
             base = 0
@@ -117,16 +178,24 @@ def prefixes(df: DataFrame, key: str, text: str, size: int, share: float, sent,
                 g, bounds = _sets(data, offsets, size)
                 sizes = np.diff(bounds)
                 digest = _digests(g, bounds)
-                ordered = _ordered(g, bounds, common, bits)
-                keep = np.where(sizes > 0, sizes - np.ceil(share * sizes - 1e-9).astype(np.int64) + 1, 0)
-                row = np.repeat(np.arange(len(sizes)), keep)
-                at = np.arange(len(row)) - np.repeat(np.cumsum(keep) - keep, keep) + bounds[:-1][row]
+                if len(seen) > _REMEMBERED:
+                    seen.clear()
+                first = np.array([not (x in seen or seen.add(x)) for x in digest.tolist()], bool)
+                if share >= PARTS_FROM:
+                    made, row, few = part_keys(g, bounds, share)
+                    again = np.isin(np.repeat(np.arange(len(sizes)), sizes), few)
+                    g, bounds = g[again], np.concatenate(([0], np.cumsum(np.where(np.isin(np.arange(len(sizes)), few), sizes, 0))))
+                else:
+                    made, row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                more, more_row = _first_elements(_ordered(g, bounds, common, bits), bounds, share)
+                made, row = np.concatenate((made, more)), np.concatenate((row, more_row))
+                made, row = made[first[row]], row[first[row]]
                 n.append(sizes)
                 node.append(digest)
                 empty.append(sizes == 0)
-                flat.append(ordered[at])
-                lists.append(base + np.cumsum(keep))
-                base += int(keep.sum())
+                flat.append(made[np.argsort(row, kind="stable")])
+                lists.append(base + np.cumsum(np.bincount(row, minlength=len(sizes))))
+                base += len(made)
             cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
             nodes = pa.array(cat(node, np.uint64).view(np.int64), mask=cat(empty, bool))
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(lists).astype(np.int32)), _signed(cat(flat, np.uint64)))
@@ -235,14 +304,14 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     small_batches(spark)
     docs = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     sent = spark.sparkContext.broadcast(common_sketch(docs, "text", size, bits))
-    base = settle(prefixes(docs, "key", "text", size, share, sent, bits))
-    # one row stands for all rows of equal sets
-    first = base.where("node is not null").groupBy("node").agg(F.min("key").alias("key"))
-    stands = base.join(first, ["node", "key"], "left_semi")
-    # nodes that only rows with a null key have
-    keyless = base.where("node is not null and key is null").dropDuplicates(["node"])
-    stands = stands.unionByName(keyless.join(first.where("key is null"), "node", "left_semi"))
-    members = settle(shared_members(stands.select(F.explode("prefix").alias("bucket"), "node", "n")))
+    made = settle(prefixes(docs, "key", "text", size, share, sent, bits))
+    # rows of equal sets bring the same members, which count once
+    found = settle(shared_members(made.where("node is not null").select(F.explode("prefix").alias("bucket"), "node")))
+    base = settle(made.select("key", "n", "node"))
+    unsettle(made)
+    first = base.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.min("n").alias("n"))
+    members = settle(one_per_set(found).join(first.select("node", "n"), "node"))
+    unsettle(found)
     needed = members.select("node").distinct()
     chosen = first.join(needed, "node", "left_semi")
     # rows of one key may differ in text: each brings its own set, and sets that nobody asks for do no harm. So texts need
@@ -254,7 +323,7 @@ def jaccard_components(df: DataFrame, key: str, text: str = "text", size: int =
     labels = connect(members, texts, share, share, lambda pairs: verify_pairs(pairs, texts, size, share, sent, bits), sets_of)
     drop()
     unsettle(members)
-    roots = first.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    roots = first.select("node", "key").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = roots.groupBy("component").agg(F.min("key").alias("component_id"))
     named = roots.select("node", "component").join(least, "component").select("node", "component_id")
     out = base.select("key", "n", "node").join(named, "node", "left")

@@ -358,3 +358,23 @@ def test_texts_of_the_join_meet_without_an_exchange_by_key(spark, monkeypatch):
 def test_a_task_brings_equal_sets_once(spark):
     df = spark.createDataFrame([("a b c d",), ("A  b c d",), ("x y",), ("a b c d",)], "text string").coalesce(1)
     assert sorted(r["text"] for r in ngram_join.texts_by_set(df, "text", 3).collect()) == ["a b c d", "x y"]
+
+
+@pytest.mark.parametrize("share", [0.85, 0.9, 0.97])
+def test_similar_sets_share_a_part_and_others_do_not(share):
+    rng, met = np.random.default_rng(5), 0
+    for n in [1, 2, 5, 9, 10, 11, 13, 14, 19, 28, 40, 63, 100, 250, 700, 1500]:
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            drop, add = rng.integers(0, int(n * (1 - share)) + 2, 2)
+            b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64))))
+            c = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            keys, row, few = ngram_join.part_keys(np.concatenate((a, b, c)), np.cumsum([0, len(a), len(b), len(c)]), share)
+            own = [set(keys[row == k].tolist()) for k in range(3)]
+            common = len(np.intersect1d(a, b))
+            if np.array_equal(a, b) or common < share * (len(a) + len(b) - common) - 1e-9:
+                continue
+            met += 1
+            assert own[0] & own[1] or {0, 1} <= set(few.tolist())
+            assert not own[0] & own[2]
+    assert met > 40
