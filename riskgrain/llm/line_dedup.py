@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrain.llm.common import bucketed, free_name, hash_filter, mix, power_tables, settle, small_batches, unsettle
-from riskgrain.llm.linking import connect, shared_members
+from riskgrain.llm.linking import connect, one_per_set
 
 SHINGLE = 8
 SIMILARITY = 0.8
@@ -21,6 +21,8 @@ BANDS, ROWS = 16, 4
 _RUN = 1 << 15
 #: Text bytes of the pairs of lines that a task compares at once; one longer pair is compared alone.
 _PAIR_BYTES = 1 << 19
+#: Band values a task gathers before it sends them out, and bytes of text whose band values are one group.
+_GATHERED, _SLOT_BYTES = 1 << 20, 4 << 20
 #: Lines a task remembers to have met.
 _REMEMBERED = 100_000
 
@@ -39,22 +41,31 @@ def shingle_hashes(lines: list[str], size: int) -> tuple[np.ndarray, np.ndarray]
     starts = np.cumsum(lengths) - lengths
     count = np.maximum(lengths - size + 1, np.minimum(lengths, 1))
     first = np.cumsum(count) - count
-    at = np.arange(int(count.sum())) + np.repeat(starts - first, count)
-    end = np.minimum(at + size, np.repeat(starts + lengths, count))
     p, q = power_tables(len(points) + 1)
     total = np.zeros(len(points) + 1, np.uint64)
     np.cumsum((points.astype(np.uint64) + _U(1)) * p[: len(points)], out=total[1:])
-    return mix((total[end] - total[at]) * q[at]), np.append(first, len(at))
+    # hashes from every character on, of which those stay that end within their line; short lines are set below
+    begins = np.zeros(len(points), bool)
+    begins[np.arange(int(count.sum())) + np.repeat(starts - first, count)] = True
+    h = np.zeros(len(points), np.uint64)
+    h[: max(0, len(points) - size + 1)] = (total[size:] - total[: max(0, len(total) - size)]) * q[: max(0, len(points) - size + 1)]
+    short = np.flatnonzero((lengths < size) & (lengths > 0))
+    at = starts[short]
+    h[at] = (total[at + lengths[short]] - total[at]) * q[at]
+    return mix(h[begins]), np.append(first, int(count.sum()))
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     """lines x n MinHash values of non-empty runs of shingle hashes."""
     masks, odd = _multipliers(n)
-    out = np.empty((len(bounds) - 1, n), np.uint32)
+    out = np.empty((n, len(bounds) - 1), np.uint32)
     short = (h >> _U(32)).astype(np.uint32)
+    made = np.empty_like(short)
     for k in range(n):
-        out[:, k] = np.minimum.reduceat((short ^ masks[k]) * odd[k], bounds[:-1])
-    return out
+        np.bitwise_xor(short, masks[k], out=made)
+        np.multiply(made, odd[k], out=made)
+        np.minimum.reduceat(made, bounds[:-1], out=out[k])
+    return out.T
 
 
 def _runs(lines: list[str]) -> Iterator[tuple[int, int]]:
@@ -68,12 +79,28 @@ def _runs(lines: list[str]) -> Iterator[tuple[int, int]]:
         yield at, len(lines)
 
 
-def band_members(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """(bucket, node) of the non-empty lines in (node, line). A line met again in a task counts once."""
+def band_members(lines: DataFrame, shingle: int, bands: int, rows: int, slots: int) -> DataFrame:
+    """(slot, buckets, nodes) of the non-empty lines in (node, line): equally many 64-bit numbers, packed.
+
+    A bucket lies in one of ``slots`` slots. A line met again in a task counts once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, bands + 1, dtype=np.uint64))
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch:
+            bucket, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            slot = _slots(bucket, slots)
+            order = np.argsort(slot, kind="stable")
+            slot, bucket, node = slot[order], bucket[order], node[order]
+            begin = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+            ends = pa.array(np.append(begin, len(slot)).astype(np.int32) * 8)
+            packed = [pa.Array.from_buffers(pa.binary(), len(begin), [None, ends.buffers()[1], pa.py_buffer(x)]) for x in (bucket, node)]
+            return pa.RecordBatch.from_arrays([pa.array(slot[begin], pa.int32()), *packed], names=["slot", "buckets", "nodes"])
+
         for b in batches:
             nodes, first = np.unique(np.array(b.column(0)), return_index=True)
             new = np.array([x not in seen for x in nodes.tolist()], bool)
@@ -88,24 +115,55 @@ def band_members(lines: DataFrame, shingle: int, bands: int, rows: int) -> DataF
                 key = np.broadcast_to(salt, (y - x, bands)).copy()
                 for k in range(rows):
                     key = mix(key * _U(0xD6E8FEB86659FD93) + sig[:, :, k])
-                own = np.repeat(nodes[x:y], bands)
-                yield pa.RecordBatch.from_pydict({"bucket": key.ravel().view(np.int64), "node": own})
+                held.append((key.ravel(), np.repeat(nodes[x:y], bands)))
+            if sum(len(k) for k, _ in held) >= _GATHERED:
+                yield sent()
+        if held:
+            yield sent()
+
+    return lines.select("node", "line").mapInArrow(run, "slot int, buckets binary, nodes binary")
+
+
+def _slots(bucket: np.ndarray, slots: int) -> np.ndarray:
+    return (((bucket >> _U(32)) * _U(slots)) >> _U(32)).astype(np.int32)
+
+
+def shared_buckets(packed: DataFrame) -> DataFrame:
+    """The distinct (bucket, node) of packed members whose bucket holds at least two different nodes."""
+
+    def pick(rows):
+        numbers = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(v.as_buffer(), kind) for v in rows.column(name))])
+        bucket, node = numbers("buckets", np.uint64), numbers("nodes", np.int64)
+        order = np.argsort(bucket)
+        bucket = bucket[order]
+        same = bucket[1:] == bucket[:-1]
+        again = np.append(same, False) | np.append(False, same)
+        bucket, node = bucket[again], node[order[again]]
+        order = np.lexsort((node, bucket))
+        bucket, node = bucket[order], node[order]
+        new = np.append(True, (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1]))[: len(bucket)]
+        bucket, node = bucket[new], node[new]
+        same = bucket[1:] == bucket[:-1]
+        again = (np.append(same, False) | np.append(False, same))[: len(bucket)]
+        return pa.table({"bucket": bucket[again].view(np.int64), "node": node[again]})
 
-    return lines.select("node", "line").mapInArrow(run, "bucket bigint, node bigint")
+    return packed.groupBy("slot").applyInArrow(pick, "bucket bigint, node bigint")
 
 
 def line_sets(lines: list[str], shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct shingles of each line, as sorted 64-bit hashes."""
+    """The distinct shingles of each line, as sorted hashes of 52 bits: a line's number in a run takes the others."""
+    low, rest = _U(52), _U((1 << 52) - 1)
     out = []
     for x, y in _runs(lines):
         h, bounds = shingle_hashes(lines[x:y], shingle)
-        row = np.repeat(np.arange(y - x), np.diff(bounds))
-        order = np.lexsort((h, row))
-        h, row = h[order], row[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-        h, ends = h[new], np.searchsorted(row[new], np.arange(y - x + 1))
-        out += [h[u:v] for u, v in zip(ends[:-1], ends[1:], strict=True)]
+        for u in range(0, y - x, 4096):
+            v = min(u + 4096, y - x)
+            row = np.repeat(np.arange(v - u, dtype=np.uint64), np.diff(bounds[u : v + 1]))
+            h_of = np.sort((row << low) | (h[bounds[u] : bounds[v]] >> _U(12)))
+            h_of = h_of[np.append(True, h_of[1:] != h_of[:-1])[: len(h_of)]]
+            ends = np.searchsorted(h_of, np.arange(v - u, dtype=np.uint64) << low).tolist() + [len(h_of)]
+            h_of &= rest
+            out += [h_of[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return out
 
 
@@ -148,7 +206,8 @@ def _shingles(line: str, size: int) -> set[str]:
 
 def _lines(df: DataFrame, key: str, text: str) -> DataFrame:
     lines = df.select(F.col(key).alias("key"), F.posexplode(F.split(F.col(text).cast("string"), "\n", -1)).alias("at", "line"))
-    return lines.where(F.col("line").rlike(r"[^ \t\r\x0b\x0c]")).withColumn("node", F.xxhash64("line"))
+    # without decoding the line, as a regular expression would
+    return lines.where(F.ltrim("line", F.lit(" \t\r\x0b\x0c")) != "").withColumn("node", F.xxhash64("line"))
 
 
 def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -162,7 +221,11 @@ def removed_lines(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     """
     small_batches(df.sparkSession)
     occurrences = _lines(df, key, text)
-    stored = settle(shared_members(band_members(occurrences, shingle, bands, rows)))
+    size = df.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    slots = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // _SLOT_BYTES))
+    found = settle(shared_buckets(band_members(occurrences, shingle, bands, rows, slots)))
+    stored = settle(one_per_set(found))
+    unsettle(found)
     members = stored.withColumn("n", F.lit(1).cast("bigint"))
     may_need = hash_filter(members, "node")
     needed = members.select("node").distinct()

@@ -378,3 +378,16 @@ def test_similar_sets_share_a_part_and_others_do_not(share):
             assert own[0] & own[1] or {0, 1} <= set(few.tolist())
             assert not own[0] & own[2]
     assert met > 40
+
+
+def test_buckets_of_the_same_members_count_once(spark, monkeypatch):
+    taken = []
+    for module in (ngram_join, line_dedup):
+        whole = module.connect
+        monkeypatch.setattr(module, "connect", lambda members, *a, whole=whole: taken.append(members.count()) or whole(members, *a))
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(f"v{k}" for k in range(300))]
+    got = ngram_join.jaccard_components(documents(spark, texts), "doc_id", bits=12).collect()
+    assert sorted(r["component_id"] for r in got) == [0, 0, 2]
+    assert sorted(r["gone"] for r in line_dedup.dedup_lines(documents(spark, texts), removed="gone").collect()) == [0, 0, 1]
+    assert taken == [2, 2]
