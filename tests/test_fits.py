@@ -2,6 +2,7 @@
 
 import threading
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskgrain.operators import models, prep
@@ -30,12 +31,29 @@ class Meeting:
         return self.name, rows.count(), rows.rdd.getNumPartitions()
 
 
+class Sizes:
+    """An estimator whose fit returns the rows of each partition."""
+
+    def fit(self, rows):
+        return [len(p) for p in rows.rdd.glom().collect()]
+
+
 def test_small_fits_run_at_the_same_time_and_keep_their_order(spark):
     design = spark.range(90, numPartitions=4)
     work = [(models.Fitter(lambda rows, k=k: (Meeting(k), rows)), design) for k in "abc"]
     assert models.fit_together(work) == [("a", 90, 1), ("b", 90, 1), ("c", 90, 1)]
 
 
+@pytest.mark.parametrize("most,expected", [(1_000, 4), (50, 8)])
+def test_a_design_takes_no_more_equal_partitions_than_cores_and_rows_need(spark, monkeypatch, most, expected):
+    monkeypatch.setattr(models, "PARTITION_ROWS", 10)
+    monkeypatch.setattr(models, "PARTITION_ROWS_MOST", most, raising=False)
+    design = spark.range(400, numPartitions=40)
+    sizes = models.Fitter(lambda rows: (Sizes(), rows))
+    (got,) = models.fit_together([(sizes, design)])
+    assert len(got) == expected and sum(got) == 400 and max(got) < 1.25 * 400 / expected
+
+
 def test_restricted_preprocessing_equals_a_fit_of_the_part(spark):
     rows = _rows(spark)
     whole = prep.fit(rows, ROLES, share=0.1)
